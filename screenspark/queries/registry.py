@@ -9,7 +9,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("cleaning", "profiling")
+MODULES = ("cleaning", "profiling", "splitting", "scoring", "preparing", "predicting", "tokens")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
