@@ -9,7 +9,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("cleaning", "profiling", "splitting", "scoring", "preparing", "predicting", "tokens")
+MODULES = (
+    "cleaning",
+    "profiling",
+    "splitting",
+    "scoring",
+    "preparing",
+    "predicting",
+    "tokens",
+    "storing",
+    "modelling",
+)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

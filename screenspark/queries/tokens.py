@@ -9,6 +9,7 @@ from screenspark.operators import bits as B
 from screenspark.queries.fixtures import LONG, known_labels, properties, table
 from screenspark.queries.profiling import rounded
 from screenspark.queries.registry import query
+from screenspark.session import spread_small
 
 TOK = """tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS t
   FROM documents)"""
@@ -19,11 +20,14 @@ GRAMS = f"""{TOK}, pieces AS (
   setbits AS (SELECT DISTINCT doc_id, (('0x' || substr(md5(p), 1, 8))::BIGINT % 2048)::INT AS bit FROM pieces),
   fp AS (SELECT d.doc_id, coalesce(b.bits, []) AS bits FROM documents d LEFT JOIN
     (SELECT doc_id, list(bit ORDER BY bit) AS bits FROM setbits GROUP BY doc_id) b USING (doc_id))"""
+PACKED = f"""{GRAMS}, fb AS (SELECT d.doc_id, coalesce(b.b, bitstring('0', 2048)) AS b FROM documents d LEFT JOIN
+    (SELECT doc_id, bitstring_agg(bit, 0, 2047) AS b FROM setbits GROUP BY doc_id) b USING (doc_id))"""
 
 
 def fingerprints(spark, sf_dir, *keep):
-    documents = table(spark, sf_dir, "documents").select("doc_id", *keep, K.tokens("text").alias("words"))
-    return documents.select("doc_id", *keep, K.gram_bits("words").alias("bits"))
+    documents = spread_small(table(spark, sf_dir, "documents").select("doc_id", *keep, "text"))
+    words = documents.select("doc_id", *keep, K.tokens("text").alias("words"))
+    return words.select("doc_id", *keep, K.gram_bits("words").alias("bits"))
 
 
 def _digest(df, column="bits"):
@@ -80,8 +84,9 @@ def pattern_key_bits(spark, sf_dir):
         (SELECT doc_id, list(bit ORDER BY bit) AS bits FROM setbits GROUP BY doc_id) b USING (doc_id)) {_DIGEST}""",
 )
 def token_pair_fingerprints(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id", K.tokens("text").alias("words"))
-    return _digest(documents.select("doc_id", K.pair_bits("words").alias("bits")))
+    documents = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = documents.select("doc_id", K.tokens("text").alias("words"))
+    return _digest(words.select("doc_id", K.pair_bits("words").alias("bits")))
 
 
 @query(
@@ -158,13 +163,12 @@ def bit_frequency(spark, sf_dir):
 
 _PAIR_STATS = """count(*) AS n_pairs, max(s) AS max_similarity, min(s) AS min_similarity,
   count(*) FILTER (s >= 0.8) AS n_similar, round(avg(s), 9) AS mean_similarity"""
-_SIM = """len(list_intersect(a.bits, b.bits)) /
-  nullif(len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits)), 0)::DOUBLE"""
+_SIM = "bit_count(a.b & b.b) / nullif(bit_count(a.b | b.b), 0)::DOUBLE"
 
 
 @query(
     "sample_similarity",
-    f"""WITH {GRAMS}, s AS (SELECT f.*, lang FROM fp f JOIN documents USING (doc_id)
+    f"""WITH {PACKED}, s AS (SELECT f.*, lang FROM fb f JOIN documents USING (doc_id)
           QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id)) <= 1000),
         p AS (SELECT a.lang, {_SIM} AS s FROM s a JOIN s b ON a.lang = b.lang AND a.doc_id < b.doc_id)
         SELECT lang, {_PAIR_STATS} FROM p WHERE s IS NOT NULL GROUP BY lang""",
@@ -179,8 +183,8 @@ def sample_similarity(spark, sf_dir):
 
 @query(
     "band_similarity",
-    f"""WITH {GRAMS}, {LONG}, n AS (SELECT target, label, bits, row_number() OVER (PARTITION BY target, label ORDER BY doc_id) AS rn
-          FROM long JOIN fp USING (doc_id)),
+    f"""WITH {PACKED}, {LONG}, n AS (SELECT target, label, b, row_number() OVER (PARTITION BY target, label ORDER BY doc_id) AS rn
+          FROM long JOIN fb USING (doc_id)),
         p AS (SELECT a.target, a.label, {_SIM} AS s FROM n a JOIN n b ON a.target = b.target AND a.label = b.label
           AND b.rn BETWEEN a.rn + 1 AND a.rn + 99)
         SELECT target, label, {_PAIR_STATS} FROM p WHERE s IS NOT NULL GROUP BY target, label""",
@@ -193,8 +197,8 @@ def band_similarity(spark, sf_dir):
 
 @query(
     "cross_similarity",
-    f"""WITH {GRAMS}, {LONG}, n AS (SELECT target, label, bits, row_number() OVER (PARTITION BY target, label ORDER BY doc_id) AS rn
-          FROM long JOIN fp USING (doc_id)),
+    f"""WITH {PACKED}, {LONG}, n AS (SELECT target, label, b, row_number() OVER (PARTITION BY target, label ORDER BY doc_id) AS rn
+          FROM long JOIN fb USING (doc_id)),
         p AS (SELECT a.target, {_SIM} AS s FROM n a JOIN n b ON a.target = b.target AND a.label = 1 AND b.label = 0
           AND a.rn <= 100 AND b.rn <= 100)
         SELECT target, {_PAIR_STATS} FROM p WHERE s IS NOT NULL GROUP BY target""",
