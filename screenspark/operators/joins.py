@@ -1,10 +1,31 @@
-"""Equi-join with a keyed table when a few keys hold a large share of the rows."""
+"""Joins of a large table with a keyed one: by broadcast if the size is proven, else with hot keys split off."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows up to which a table of statistics is fetched and sent to every task.
+SMALL_ROWS = 50_000
+
+
+def join_small(rows: DataFrame, statistics: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a table of statistics that is expected to be small.
+
+    It is computed at once, reading at most SMALL_ROWS + 1 rows. If that was all, the fetched rows are broadcast: the
+    size is known, the large table stays in place, and its statistics are not computed again. Otherwise the join is
+    left to the optimizer.
+    """
+    fetched = statistics.limit(SMALL_ROWS + 1).collect()
+    if len(fetched) > SMALL_ROWS:
+        return rows.join(statistics, list(on), how)
+    local = rows.sparkSession.createDataFrame(fetched, statistics.schema)
+    if not on:
+        raise ValueError("a join needs a key")
+    return rows.join(F.broadcast(local), list(on), how)
+
 #: A key with at least this share of all rows is hot. By arithmetic there are at most 1 / share such keys.
 HOT_SHARE = 0.001
 

@@ -139,17 +139,41 @@ def positives_by_target(predictions: DataFrame) -> DataFrame:
     )
 
 
-def entity_profile(predictions: DataFrame, id_column: str) -> DataFrame:
-    """Class counts, overall class, pass status and mean probability per entity."""
-    counted = (
-        classified(predictions)
-        .groupBy(id_column)
-        .agg(
-            *_classes(),
-            F.count_if(F.col("prediction") == 0).alias("n_passed"),
-            F.count_if(F.col("prediction") == 1).alias("n_failed"),
-            F.avg("probability").alias("average_probability"),
-        )
+def by_target(targets: Sequence[str]) -> Column:
+    """The known probabilities of a row as ``array<struct<p, target>>``."""
+    entries = F.array(*[F.struct(F.col(f"`{t}`").alias("p"), F.lit(t).alias("target")) for t in targets])
+    return F.filter(entries, lambda e: e["p"].isNotNull())
+
+
+def mean_probability(targets: Sequence[str]) -> Column:
+    known = by_target(targets)
+    return S.ratio(F.aggregate(known, F.lit(0.0), lambda a, e: a + e["p"]), F.size(known))
+
+
+def entity_profile(
+    wide: DataFrame, id_column: str, targets: Sequence[str], keep: Sequence[str] = ()
+) -> DataFrame:
+    """Class counts, overall class, pass status and mean probability per entity.
+
+    Takes one probability column per target, as models leave it, so every entity is settled within its row and nothing
+    is shuffled.
+    """
+    known = F.col("_known")
+
+    def count(test) -> Column:
+        return F.size(F.filter(known, test)).cast("bigint")
+
+    counted = wide.select(
+        id_column, *keep, by_target(targets).alias("_known"), mean_probability(targets).alias("average_probability")
+    ).select(
+        id_column,
+        *keep,
+        count(lambda e: e["p"] < S.LOW_LIMIT).alias("n_low"),
+        count(lambda e: (e["p"] >= S.LOW_LIMIT) & (e["p"] < S.HIGH_LIMIT)).alias("n_moderate"),
+        count(lambda e: e["p"] >= S.HIGH_LIMIT).alias("n_toxic"),
+        count(lambda e: e["p"] <= S.DECISION_LIMIT).alias("n_passed"),
+        count(lambda e: e["p"] > S.DECISION_LIMIT).alias("n_failed"),
+        "average_probability",
     )
     summary = (
         F.when(
@@ -165,21 +189,20 @@ def entity_profile(predictions: DataFrame, id_column: str) -> DataFrame:
     )
 
 
-def overall_counts(predictions: DataFrame, id_column: str) -> DataFrame:
+def overall_counts(wide: DataFrame, id_column: str, targets: Sequence[str]) -> DataFrame:
     """Entities per overall class."""
-    return entity_profile(predictions, id_column).groupBy("overall").agg(F.count(F.lit(1)).alias("n_entities"))
+    return entity_profile(wide, id_column, targets).groupBy("overall").agg(F.count(F.lit(1)).alias("n_entities"))
 
 
-def screening_totals(predictions: DataFrame, id_column: str) -> DataFrame:
+def screening_totals(wide: DataFrame, id_column: str, targets: Sequence[str]) -> DataFrame:
     """Entities, targets, entities with and without a toxic target, and the mean toxic count per target."""
-    per_entity = entity_profile(predictions, id_column)
+    per_entity = entity_profile(wide, id_column, targets)
     totals = per_entity.agg(
         F.count(F.lit(1)).alias("n_entities"),
         F.count_if(F.col("n_toxic") > 0).alias("n_toxic_entities"),
         F.count_if(F.col("n_toxic") == 0).alias("n_safe_entities"),
         F.sum("n_toxic").alias("_toxic"),
-        F.max(F.col("n_passed") + F.col("n_failed")).alias("n_targets"),
-    )
+    ).withColumn("n_targets", F.lit(len(targets)).cast("bigint"))
     return totals.select(
         "n_entities",
         "n_targets",
@@ -194,7 +217,7 @@ def top_entities_by_target(
 ) -> DataFrame:
     """The k most probable entities of each target.
 
-    A rank window would sort every target in one task; the bounded heap of ``max_by`` keeps k rows per task instead.
+    Each task passes on k rows per target and share, so no target is sorted whole.
     """
     rows = predictions.where(F.col("probability") > S.DECISION_LIMIT) if positives_only else predictions
     return top_rows(rows.where(F.col("probability").isNotNull()), ["target"], "probability", id_column, k)
@@ -216,16 +239,22 @@ def top_rows(df: DataFrame, by: Sequence[str], value: str, id_column: str, k: in
     )
 
 
-def top_entities(predictions: DataFrame, id_column: str, k: int) -> DataFrame:
-    """The k entities with the highest mean probability over targets."""
-    means = predictions.groupBy(id_column).agg(F.avg("probability").alias("average_probability"))
-    return means.orderBy(F.col("average_probability").desc(), id_column).limit(k)
+def top_entities(wide: DataFrame, id_column: str, targets: Sequence[str], k: int) -> DataFrame:
+    """The k entities with the highest mean probability over targets; k rows per task reach the last step."""
+    means = wide.select(id_column, mean_probability(targets).alias("average_probability"))
+    return means.orderBy(F.col("average_probability").desc_nulls_last(), id_column).limit(k)
 
 
-def top_targets(predictions: DataFrame, id_column: str, k: int = 3) -> DataFrame:
-    """The k most probable targets of every entity; an entity has only as many rows as there are targets."""
-    place = F.row_number().over(Window.partitionBy(id_column).orderBy(F.col("probability").desc(), "target"))
-    return predictions.withColumn("place", place).where(F.col("place") <= k)
+def top_targets(wide: DataFrame, id_column: str, targets: Sequence[str], k: int = 3) -> DataFrame:
+    """The k most probable targets of every entity, equal ones by name; sorted within the row."""
+    ordered = F.array_sort(F.transform(by_target(targets), lambda e: F.struct((-e["p"]).alias("p"), e["target"].alias("target"))))
+    rows = wide.select(id_column, F.posexplode(F.slice(ordered, 1, k)).alias("place", "e"))
+    return rows.select(
+        id_column,
+        F.col("e.target").alias("target"),
+        (-F.col("e.p")).alias("probability"),
+        (F.col("place") + 1).alias("place"),
+    )
 
 
 def first_rows(df: DataFrame, order: Sequence[str], k: int = 19) -> DataFrame:

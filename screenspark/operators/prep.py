@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenspark.functions.scalars import finite_or_null
+from screenspark.operators.joins import join_small
 from screenspark.operators.ranking import exact_quantiles
 
 
@@ -32,7 +33,7 @@ def class_weights(labels: DataFrame, by: Sequence[str] = ("target",), label: str
 
 def with_weights(labels: DataFrame, by: Sequence[str] = ("target",), label: str = "label") -> DataFrame:
     """Label rows with their class weight. Two rows per target on the small side."""
-    return labels.join(class_weights(labels, by, label), [*by, label])
+    return join_small(labels, class_weights(labels, by, label), [*by, label])
 
 
 def doubles(features: str) -> Column:

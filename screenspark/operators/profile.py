@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from screenspark.functions.draws import hash_key
 from screenspark.functions.scalars import Rule, ratio, ratio_or_zero, rules_met
 from screenspark.operators.clean import long_labels, long_numbers
+from screenspark.operators.joins import join_small
 from screenspark.operators.ranking import exact_quantiles
 
 
@@ -219,7 +220,7 @@ def histogram(df: DataFrame, value: str, bins: int, strata: Sequence[str] = (),
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
     )
     width = (F.col("_hi") - F.col("_lo")) / bins
-    binned = known.join(F.broadcast(ranges) if not strata else ranges, on).select(
+    binned = join_small(known, ranges, on).select(
         *on,
         *by,
         F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1)).cast("int").alias("bin"),
@@ -248,7 +249,7 @@ def box_table(df: DataFrame, strata: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whisker ends and the number of points beyond them, per stratum."""
     quartiles = exact_quantiles(df, strata, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * WHISKER
-    joined = df.where(F.col(value).isNotNull()).select(*strata, value).join(quartiles, list(strata))
+    joined = join_small(df.where(F.col(value).isNotNull()).select(*strata, value), quartiles, strata)
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return joined.groupBy(*strata).agg(
         F.max("n").alias("n"),

@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from screenspark.functions.draws import hash_key
+from screenspark.operators.joins import join_small
 
 B1, B2 = "_bucket", "_tie_bucket"
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16384
 
 
 def bucket_count(spark: SparkSession) -> int:
@@ -30,6 +31,11 @@ def bucket_count(spark: SparkSession) -> int:
     return max(32, min(MAX_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def hash_digits(spark: SparkSession) -> int:
+    """Hex digits that cut a hash into a few shares per shuffle task: 256 shares at least."""
+    return max(2, math.ceil(math.log(bucket_count(spark), 16)))
+
+
 def order_number(df: DataFrame, name: str) -> Column:
     """A double that never decreases along the order of the column."""
     kind = df.schema[name].dataType
@@ -129,7 +135,6 @@ def shuffled_numbers(
     strata: Sequence[str] = (),
     out: str = "rn",
     first: str | None = None,
-    digits: int = 2,
 ) -> DataFrame:
     """1, 2, 3 ... in a repeatable shuffled order of distinct ids within each stratum, plus ``<out>_all``.
 
@@ -138,7 +143,7 @@ def shuffled_numbers(
     """
     keyed = df.withColumn("_shuffle_key", hash_key(seed, *strata, id_column))
     bucketed = keyed.withColumn(B1, F.col(first) if first else F.lit(0)).withColumn(
-        B2, F.substring("_shuffle_key", 1, digits)
+        B2, F.substring("_shuffle_key", 1, hash_digits(df.sparkSession))
     )
     order = [F.col(c) for c in ([first] if first else [])] + [F.col("_shuffle_key"), F.col(id_column)]
     return running_sums(bucketed, strata, order, {out: F.lit(1)}).drop("_shuffle_key")
@@ -193,15 +198,18 @@ def exact_quantiles(
             hit = hit | ((low >= first) & (low < after)) | ((high >= first) & (high < after))
         return hit
 
+    # Two buckets per stratum and quantile at most.
     kept = offsets.where(wanted_in(F.col("n_before"), F.col("n_before") + F.col("n_in")))
     by = [*strata, B1, B2]
+    facts = ["n_before", "n_all"]
     counted = (
-        bucketed.join(kept.select(*by), by, "left_semi").groupBy(*by, value).agg(F.count(F.lit(1)).alias("_rows"))
+        join_small(bucketed, kept.select(*by, *facts), by)
+        .groupBy(*by, *facts, value)
+        .agg(F.count(F.lit(1)).alias("_rows"))
     )
     here = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
         counted.withColumn("_upto", F.sum("_rows").over(here))
-        .join(kept, by)
         .withColumn("_after", F.col("n_before") + F.col("_upto"))
         .withColumn("_first", F.col("_after") - F.col("_rows"))
     )

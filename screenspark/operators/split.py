@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenspark.operators.joins import join_keyed
+from screenspark.operators.joins import join_keyed, join_small
 from screenspark.operators.ranking import row_numbers, shuffled_numbers
 
 TRAIN, VALID, TEST = "train", "val", "test"
@@ -21,7 +21,7 @@ TRAIN, VALID, TEST = "train", "val", "test"
 def merge_small_strata(df: DataFrame, stratum: str, smallest: int = 2, pooled: int = -1) -> DataFrame:
     """Strata with fewer rows than ``smallest`` share one stratum. The list of strata is small by nature."""
     small = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < smallest)
-    marked = df.join(small.select(stratum, F.lit(True).alias("_small")), stratum, "left")
+    marked = join_small(df, small.select(stratum, F.lit(True).alias("_small")), [stratum], "left")
     return marked.withColumn(
         stratum, F.when(F.col("_small"), F.lit(pooled)).otherwise(F.col(stratum))
     ).drop("_small")
@@ -75,7 +75,7 @@ def stratified_holdout(
     sizes = sizes.withColumn("_train", F.col("_n") - F.col("_test") - F.col("_val"))
     earlier = within.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_train_before", F.coalesce(F.sum("_train").over(earlier), F.lit(0)))
-    joined = numbered.join(sizes.select(*strata, "_test", "_val", "_train_before"), strata)
+    joined = join_small(numbered, sizes.select(*strata, "_test", "_val", "_train_before"), strata)
     used = F.col("_test") + F.col("_val")
     part = F.when(F.col("_rn") <= F.col("_test"), TEST).when(F.col("_rn") <= used, VALID).otherwise(TRAIN)
     out = joined.withColumn("part", part)

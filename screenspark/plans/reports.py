@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from screenspark.functions.scalars import confidence, decision_class, mean_spread_text
 from screenspark.operators.metrics import METRICS
+from screenspark.operators.predictions import by_target, entity_profile
 
 
 def wide_summary(summary: DataFrame, by: Sequence[str] = ("target", "model")) -> DataFrame:
@@ -174,20 +175,11 @@ def export_rows(summary: DataFrame, feature_counts: DataFrame, seconds: DataFram
     return overview.select("target", F.to_json(document).alias("document"))
 
 
-def profile_report(predictions: DataFrame, id_column: str, k: int = 3) -> DataFrame:
-    """Class counts, overall class, status and the k most probable targets per entity, in one grouping.
-
-    An entity has one row per target, so sorting its targets in an array is bounded.
-    """
-    from screenspark.operators.predictions import entity_profile
-
-    ordered = F.sort_array(
-        F.collect_list(F.struct((-F.col("probability")).alias("p"), F.col("target").alias("target")))
-    )
-    tops = predictions.groupBy(id_column).agg(
-        F.array_join(F.transform(F.slice(ordered, 1, k), lambda s: s["target"]), ", ").alias("top_targets")
-    )
-    profile = entity_profile(predictions, id_column)
-    return profile.join(tops, id_column).select(
-        id_column, "n_toxic", "n_moderate", "n_low", "overall", "status", "top_targets"
+def profile_report(wide: DataFrame, id_column: str, targets: Sequence[str], k: int = 3) -> DataFrame:
+    """Class counts, overall class, status and the k most probable targets per entity, all within the row."""
+    ordered = F.array_sort(
+        F.transform(by_target(targets), lambda e: F.struct((-e["p"]).alias("p"), e["target"].alias("target")))
     )
+    tops = F.array_join(F.transform(F.slice(ordered, 1, k), lambda e: e["target"]), ", ")
+    profile = entity_profile(wide.withColumn("top_targets", tops), id_column, targets, ["top_targets"])
+    return profile.select(id_column, "n_toxic", "n_moderate", "n_low", "overall", "status", "top_targets")

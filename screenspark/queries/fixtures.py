@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from screenspark.functions.draws import draw32
 from screenspark.functions.scalars import Rule
 from screenspark.operators.clean import long_labels
+from screenspark.session import spread_small
 
 TARGETS = ("quality", "toxic")
 MODELS = ("forest", "linear", "boosted")
@@ -48,7 +49,7 @@ LONG = """long AS (
 
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count properties of each whole text."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread_small(table(spark, sf_dir, "documents"))
     return documents.select(
         "doc_id",
         "source",
@@ -86,11 +87,14 @@ def score_sql(salt: str, *keys: str) -> str:
     return f"((('0x' || substr(md5({text}), 1, 8))::BIGINT % 101) / 100.0::DOUBLE)"
 
 
+def wide_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with a probability column per target, as models leave it."""
+    return table(spark, sf_dir, "documents").select("doc_id", *[score(t, "doc_id").alias(t) for t in TARGETS])
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, target, probability)`` for every document and target."""
-    documents = table(spark, sf_dir, "documents").select("doc_id")
-    wide = documents.select("doc_id", *[score(t, "doc_id").alias(t) for t in TARGETS])
-    return wide.unpivot(["doc_id"], list(TARGETS), "target", "probability")
+    return wide_probabilities(spark, sf_dir).unpivot(["doc_id"], list(TARGETS), "target", "probability")
 
 
 PREDICTIONS = f"""predictions AS (

@@ -6,7 +6,16 @@ from pyspark.sql import functions as F
 
 from screenspark.functions import scalars as S
 from screenspark.operators import predictions as P
-from screenspark.queries.fixtures import PREDICTIONS, TARGETS, predictions, score_sql, table
+from screenspark.queries.fixtures import (
+    PREDICTIONS,
+    TARGETS,
+    known_labels,
+    predictions,
+    score,
+    score_sql,
+    table,
+    wide_probabilities,
+)
 from screenspark.queries.profiling import rounded
 from screenspark.queries.registry import query
 
@@ -104,7 +113,7 @@ _PROFILE = f"""{CLASSED}, pc AS (SELECT doc_id, {_COUNTS}, count(*) FILTER (pred
     f"WITH {_PROFILE} SELECT * REPLACE (round(average_probability, 6) AS average_probability) FROM profile",
 )
 def entity_profile(spark, sf_dir):
-    return rounded(P.entity_profile(predictions(spark, sf_dir), "doc_id"), "average_probability")
+    return rounded(P.entity_profile(wide_probabilities(spark, sf_dir), "doc_id", TARGETS), "average_probability")
 
 
 @query(
@@ -112,7 +121,7 @@ def entity_profile(spark, sf_dir):
     f"WITH {_PROFILE} SELECT overall, count(*) AS n_entities FROM profile GROUP BY overall",
 )
 def overall_class_counts(spark, sf_dir):
-    return P.overall_counts(predictions(spark, sf_dir), "doc_id")
+    return P.overall_counts(wide_probabilities(spark, sf_dir), "doc_id", TARGETS)
 
 
 @query(
@@ -122,7 +131,7 @@ def overall_class_counts(spark, sf_dir):
           round(sum(n_toxic) / max(n_passed + n_failed)::DOUBLE, 6) AS mean_toxic_per_target FROM profile""",
 )
 def screening_totals(spark, sf_dir):
-    return rounded(P.screening_totals(predictions(spark, sf_dir), "doc_id"), "mean_toxic_per_target")
+    return rounded(P.screening_totals(wide_probabilities(spark, sf_dir), "doc_id", TARGETS), "mean_toxic_per_target")
 
 
 def _ranked(where: str, k: int) -> str:
@@ -146,7 +155,7 @@ def top_positive_entities_by_target(spark, sf_dir):
         ORDER BY avg(probability) DESC, doc_id LIMIT 30""",
 )
 def top_entities(spark, sf_dir):
-    return rounded(P.top_entities(predictions(spark, sf_dir), "doc_id", 30), "average_probability")
+    return rounded(P.top_entities(wide_probabilities(spark, sf_dir), "doc_id", TARGETS, 30), "average_probability")
 
 
 @query(
@@ -155,7 +164,7 @@ def top_entities(spark, sf_dir):
           ORDER BY probability DESC, target)::INT AS place FROM predictions QUALIFY place <= 3""",
 )
 def top_targets_by_entity(spark, sf_dir):
-    return P.top_targets(predictions(spark, sf_dir), "doc_id", 3)
+    return P.top_targets(wide_probabilities(spark, sf_dir), "doc_id", TARGETS, 3)
 
 
 @query(
@@ -165,7 +174,6 @@ def top_targets_by_entity(spark, sf_dir):
 )
 def targets_by_positive_rate(spark, sf_dir):
     from screenspark.operators.profile import target_summary
-    from screenspark.queries.fixtures import known_labels
 
     summary = target_summary(known_labels(spark, sf_dir)).select("target", "positive_ratio")
     return rounded(summary.orderBy(F.col("positive_ratio").desc(), "target").limit(6), "positive_ratio")
@@ -199,7 +207,7 @@ def shortened_texts(spark, sf_dir):
 def profile_report(spark, sf_dir):
     from screenspark.plans.reports import profile_report as report
 
-    return report(predictions(spark, sf_dir), "doc_id")
+    return report(wide_probabilities(spark, sf_dir), "doc_id", TARGETS)
 
 
 @query(
@@ -209,7 +217,6 @@ def profile_report(spark, sf_dir):
 )
 def missing_features_as_zero(spark, sf_dir):
     from screenspark.operators.select import features_by_name
-    from screenspark.queries.fixtures import score
 
     documents = table(spark, sf_dir, "documents")
     matrix = documents.select("doc_id", F.array(score("a", "doc_id"), score("b", "doc_id")).alias("f"))

@@ -8,6 +8,7 @@ from screenspark.functions.scalars import finite_or_null
 from screenspark.operators import clean as C
 from screenspark.operators import groups as G
 from screenspark.operators import profile as P
+from screenspark.operators.joins import join_small
 from screenspark.queries.fixtures import (
     LONG,
     LONG_ALL,
@@ -23,6 +24,7 @@ from screenspark.queries.fixtures import (
     wide_labels,
 )
 from screenspark.queries.registry import query
+from screenspark.session import materialise
 
 
 def rounded(df, *columns, digits=6):
@@ -111,7 +113,7 @@ _LONG_PROPS = "plong AS (" + " UNION ALL ".join(
           min(value) AS min, max(value) AS max FROM plong GROUP BY property""",
 )
 def property_summary(spark, sf_dir):
-    return rounded(P.property_summary(properties(spark, sf_dir), PROPERTIES), "mean", "median")
+    return rounded(P.property_summary(materialise(properties(spark, sf_dir)), PROPERTIES), "mean", "median")
 
 
 @query(
@@ -249,7 +251,7 @@ def group_property_differences(spark, sf_dir):
     per_group = documents.groupBy("source").agg(
         F.avg("n_chars").alias("group_chars"), F.count(F.lit(1)).cast("double").alias("group_size")
     )
-    entities = documents.join(per_group, "source")
+    entities = join_small(documents, per_group, ["source"])
     out = P.class_differences(known_labels(spark, sf_dir), entities, "doc_id", ["group_chars", "group_size"])
     return rounded(out, "active_mean", "inactive_mean", "difference", "pct_difference", digits=4)
 
@@ -277,7 +279,7 @@ def _histogram_sql(source: str, value: str, bins: int, strata: str, by: str) ->
     + _histogram_sql("j", "value", 20, "property", "class"),
 )
 def property_histogram_by_class(spark, sf_dir):
-    long = P.labelled_numbers(known_labels(spark, sf_dir), properties(spark, sf_dir), "doc_id", PROPERTIES)
+    long = P.labelled_numbers(known_labels(spark, sf_dir), materialise(properties(spark, sf_dir)), "doc_id", PROPERTIES)
     long = long.withColumn("class", F.concat_ws("=", "target", "label"))
     out = rounded(P.histogram(long, "value", 20, ["property"], ["class"]), "bin_from", "bin_to", digits=4)
     return rounded(out, "density", digits=9)
@@ -308,7 +310,7 @@ _BOX = """q AS (SELECT {keys}, count(*) AS n, quantile_cont(value, 0.25) AS q1,
     + _BOX.format(keys="target, label, property"),
 )
 def box_table_by_class(spark, sf_dir):
-    long = P.labelled_numbers(known_labels(spark, sf_dir), properties(spark, sf_dir), "doc_id", PROPERTIES)
+    long = P.labelled_numbers(known_labels(spark, sf_dir), materialise(properties(spark, sf_dir)), "doc_id", PROPERTIES)
     return rounded(P.box_table(long, ["target", "label", "property"], "value"), "q1", "median", "q3", digits=4)
 
 

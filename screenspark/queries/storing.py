@@ -153,15 +153,16 @@ def available_targets(spark, sf_dir):
 
 @query(
     "resumed_work",
-    "SELECT DISTINCT p_brand AS target FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size >= 50)",
+    """SELECT DISTINCT s_nationkey::VARCHAR AS target FROM supplier
+       WHERE s_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9700)""",
 )
 def resumed_work(spark, sf_dir):
-    """Brands with a large part are marked as finished; the others are left to do."""
+    """Nations with a rich supplier are marked as finished; the others are left to do."""
     path = scratch_path(spark, "progress")
-    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("target"), "p_size")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("target"), "s_acctbal")
     nothing = writers.read_progress(spark, path, "r1")
-    work = unfinished(parts.select("target").distinct(), nothing)
-    done = [r["target"] for r in parts.where(F.col("p_size") >= 50).select("target").distinct().collect()]
+    work = unfinished(suppliers.select("target").distinct(), nothing)
+    done = [r["target"] for r in suppliers.where(F.col("s_acctbal") > 9700).select("target").distinct().collect()]
     writers.write_progress(spark, path, "r1", done)
     writers.write_progress(spark, path, "r1", done)
     return unfinished(work, writers.read_progress(spark, path, "r1"))
