@@ -9,7 +9,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenspark.functions.scalars import ratio
@@ -105,12 +105,8 @@ def assign_clusters(df: DataFrame, features: str, clustering: Clustering) -> Dat
 def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Rows and percentage per cluster."""
     sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("cluster_size"))
-    total = sizes.agg(F.sum("cluster_size").alias("_total")).withColumn("_one", F.lit(1))
-    return (
-        sizes.withColumn("_one", F.lit(1))
-        .join(total, "_one")
-        .select(cluster, "cluster_size", (ratio(F.col("cluster_size"), F.col("_total")) * 100).alias("cluster_pct"))
-    )
+    total = F.sum("cluster_size").over(Window.partitionBy())  # one row per cluster
+    return sizes.select(cluster, "cluster_size", (ratio(F.col("cluster_size"), total) * 100).alias("cluster_pct"))
 
 
 def targets_by_cluster(entities: DataFrame, labels: DataFrame, id_column: str, cluster: str = "cluster") -> DataFrame:

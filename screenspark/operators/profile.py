@@ -207,37 +207,33 @@ def histogram(df: DataFrame, value: str, bins: int, strata: Sequence[str] = (),
     Every bin is listed, empty ones with 0, for each ``by`` class seen. ``density`` sums to 1 over bin widths.
     """
     known = df.where(F.col(value).isNotNull()).select(*strata, *by, F.col(value).cast("double").alias("_v"))
-    ranges = known.groupBy(*strata).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    if not strata:
-        ranges = ranges.withColumn("_one", F.lit(1))
-        known = known.withColumn("_one", F.lit(1))
-    on = list(strata) or ["_one"]
     # A single value gets the unit range around it.
-    flat = F.col("_lo") == F.col("_hi")
-    ranges = ranges.where(F.col("_lo").isNotNull()).select(
-        *on,
-        F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
-        F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
-    )
+    lowest, highest = F.min("_v"), F.max("_v")
+    flat = F.when(lowest == highest, F.lit(0.5)).otherwise(F.lit(0.0))
+    limits = [(lowest - flat).alias("_lo"), (highest + flat).alias("_hi")]
+    if strata:
+        ranges = known.groupBy(*strata).agg(*limits)
+        ranged = join_small(known, ranges, strata)
+    else:
+        row = known.agg(*limits).first()
+        ranged = known.withColumns({"_lo": F.lit(row["_lo"]), "_hi": F.lit(row["_hi"])})
     width = (F.col("_hi") - F.col("_lo")) / bins
-    binned = join_small(known, ranges, on).select(
-        *on,
-        *by,
-        F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1)).cast("int").alias("bin"),
-    )
-    counts = binned.groupBy(*on, *by, "bin").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(*on, *by).agg(F.sum("n").alias("_total"))
-    grid = totals.join(ranges, on).withColumn(
-        "bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
-    )
-    return grid.join(counts, [*on, *by, "bin"], "left").select(
+    place = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
+    keys = [*strata, *by, "_lo", "_hi"]
+    counts = ranged.groupBy(*keys, place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # A few rows per stratum from here on.
+    found = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
+    classes = counts.groupBy(*keys).agg(F.sum("n").alias("_total"), found.alias("_found"))
+    listed = classes.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    n = F.coalesce(F.try_element_at("_found", F.col("bin")), F.lit(0).cast("bigint"))
+    return listed.select(
         *strata,
         *by,
         "bin",
         (F.col("_lo") + F.col("bin") * width).alias("bin_from"),
         (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_to"),
-        F.coalesce(F.col("n"), F.lit(0)).alias("n"),
-        (F.coalesce(F.col("n"), F.lit(0)) / (F.col("_total") * width)).alias("density"),
+        n.alias("n"),
+        (n / (F.col("_total") * width)).alias("density"),
     )
 
 

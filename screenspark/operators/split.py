@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from screenspark.operators.joins import join_keyed, join_small
 from screenspark.operators.ranking import row_numbers, shuffled_numbers
+from screenspark.session import materialise
 
 TRAIN, VALID, TEST = "train", "val", "test"
 
@@ -183,7 +184,7 @@ def group_folds(df: DataFrame, group: str, n_splits: int = 5, seed: int = 42) ->
     place = F.col("_rn") - 1
     mine = F.element_at(F.filter("_runs", lambda r: r["start"] <= place), -1)
     turn = F.pmod(place - mine["start"], F.size(mine["folds"]).cast("bigint")).cast("int")
-    folds = placed.select(group, "_size", F.get(mine["folds"], turn).alias("fold"))
+    folds = materialise(placed.select(group, "_size", F.get(mine["folds"], turn).alias("fold")))
     total = sum(size * n for size, n in histogram)
     return join_keyed(df, folds, group, "_size", total).drop("_size")
 

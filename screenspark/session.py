@@ -42,9 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = os.path.join(tempfile.gettempdir(), "screenspark-scratch")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return os.path.join(tempfile.gettempdir(), "screenspark-scratch")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
