@@ -46,30 +46,40 @@ def _tail(items: Column, skip: int) -> Column:
     return F.slice(items, skip + 1, F.greatest(F.size(items) - skip, F.lit(0)))
 
 
+def _bind(value: Column, body) -> Column:
+    """Compute a value once per row and use it several times in an expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def gram_bits(words: Column | str, n_bits: int = N_BITS, max_gram: int = MAX_GRAM, portable: bool = True) -> Column:
     """Bit set of all runs of 1 to ``max_gram`` neighbouring tokens. No token, no bit.
 
     Shifted copies of the token array are zipped, so a text of n tokens costs n steps per gram length.
     """
-    single = col_of(words)
-    grams = [single]
-    for n in range(2, max_gram + 1):
-        grams.append(F.zip_with(_head(grams[-1], 1), _tail(single, n - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    return _places(F.concat(*grams), n_bits, portable)
+
+    def longer(single: Column, grams: list[Column]) -> Column:
+        if len(grams) == max_gram:
+            return _places(F.concat(*grams), n_bits, portable)
+        zipped = F.zip_with(_head(grams[-1], 1), _tail(single, len(grams)), lambda a, b: F.concat_ws(" ", a, b))
+        return _bind(zipped, lambda found: longer(single, [*grams, found]))
+
+    return _bind(col_of(words), lambda single: longer(single, [single]))
 
 
 def pair_bits(words: Column | str, n_bits: int = N_BITS, max_distance: int = 4, portable: bool = True) -> Column:
     """Bit set of (token, later token, distance) for distances up to ``max_distance``."""
-    single = col_of(words)
 
-    def at(distance: int) -> Column:
+    def at(single: Column, distance: int) -> Column:
         return F.zip_with(
             _head(single, distance),
             _tail(single, distance),
             lambda a, b: F.concat_ws("|", a, b, F.lit(str(distance))),
         )
 
-    return _places(F.concat(*[at(d) for d in range(1, max_distance + 1)]), n_bits, portable)
+    return _bind(
+        col_of(words),
+        lambda single: _places(F.concat(*[at(single, d) for d in range(1, max_distance + 1)]), n_bits, portable),
+    )
 
 
 def key_bits(text: Column | str, patterns: Sequence[str]) -> Column:

@@ -17,11 +17,13 @@ from screenspark.operators.ranking import running_sums, value_buckets
 
 def _score_counts(scored: DataFrame, by: Sequence[str], label: str, probability: str) -> DataFrame:
     """Positives and negatives per distinct score, with running and total counts."""
-    known = scored.where(F.col(label).isNotNull() & F.col(probability).isNotNull())
-    collapsed = known.groupBy(*by, F.col(probability).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
+    known = scored.where(F.col(label).isNotNull() & F.col(probability).isNotNull()).select(
+        *by, F.col(label).alias("_label"), F.col(probability).cast("double").alias("score")
     )
-    bucketed = value_buckets(collapsed, "score")
+    collapsed = known.groupBy(*by, "score").agg(
+        F.count_if(F.col("_label") == 1).alias("pos"), F.count_if(F.col("_label") != 1).alias("neg")
+    )
+    bucketed = value_buckets(collapsed, "score", bounds_from=known)
     return running_sums(bucketed, by, [F.col("score")], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")})
 
 

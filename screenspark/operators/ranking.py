@@ -43,7 +43,10 @@ def order_number(df: DataFrame, name: str) -> Column:
         return F.col(name).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(F.col(name)).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(F.col(name)).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        # Wall-clock fields of a zoneless time; a zoned one would jump back an hour in autumn.
         day = F.unix_date(F.col(name).cast("date")).cast("double")
         return day * 86400 + F.hour(name) * 3600 + F.minute(name) * 60 + F.second(name)
     raise TypeError(f"column {name} of type {kind.simpleString()} has no numeric order; rank it by hash instead")
@@ -69,14 +72,17 @@ def _cut(df: DataFrame, number: Column, cuts: Sequence[float], out: str) -> Data
     return bucketizer.transform(df.withColumn(raw, number)).drop(raw)
 
 
-def value_buckets(df: DataFrame, key: str, tie: str | None = None, n: int | None = None) -> DataFrame:
+def value_buckets(
+    df: DataFrame, key: str, tie: str | None = None, n: int | None = None, bounds_from: DataFrame | None = None
+) -> DataFrame:
     """Add bucket columns that follow the order ``(key, tie)`` and hold about equal numbers of rows.
 
-    One aggregate pass over ``key`` runs at once, a second one over ``tie`` only if some value is hot.
+    One aggregate pass over ``key`` runs at once, a second one over ``tie`` only if some value is hot. ``bounds_from``
+    is a table with the same key that is cheaper to read, such as the rows that ``df`` was collapsed from.
     """
     n = n or bucket_count(df.sparkSession)
     number = order_number(df, key)
-    cuts, hot = _splits(df, number, n)
+    cuts, hot = _splits(bounds_from if bounds_from is not None else df, number, n)
     out = _cut(df, number, cuts, B1)
     if hot and tie is not None:
         is_hot = number.isin(hot)

@@ -56,10 +56,10 @@ def mutual_information(df: DataFrame, features: str, label: str, bins: int = 10)
     )
     row = limits.select(vector_to_array("s.min").alias("lo"), vector_to_array("s.max").alias("hi")).first()
     widths = [(hi - lo) / bins if hi > lo else 1.0 for lo, hi in zip(row["lo"], row["hi"])]
-    shifted = F.zip_with(doubles(features), numbers(row["lo"]), lambda x, lo: x - lo)
-    binned = F.zip_with(shifted, numbers(widths), lambda x, w: F.least(F.floor(x / w), F.lit(bins - 1)).cast("int"))
+    place = (F.col("_v") - F.get(numbers(row["lo"]), F.col("idx"))) / F.get(numbers(widths), F.col("idx"))
     counts = (
-        vectors.select(F.col(label).alias("_y"), F.posexplode(binned).alias("idx", "_bin"))
+        vectors.select(F.col(label).alias("_y"), F.posexplode(doubles(features)).alias("idx", "_v"))
+        .select("idx", "_y", F.least(F.floor(place), F.lit(bins - 1)).cast("int").alias("_bin"))
         .groupBy("idx", "_bin", "_y")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -123,7 +123,7 @@ class SelectionSettings:
     correlation_limit: float = CORRELATION_LIMIT
     univariate_k: int = UNIVARIATE_K
     model_top_n: int = MODEL_TOP_N
-    trees: int = IMPORTANCE_TREES
+    importance_trees: int = IMPORTANCE_TREES
     seed: int = 42
 
 
@@ -159,7 +159,7 @@ def fit_selection(
     places = [places[i] for i in sorted(best)]
 
     kept = pick_features(df, features, places)
-    importance = forest_importance(kept, features, label, settings.trees, settings.seed)
+    importance = forest_importance(kept, features, label, settings.importance_trees, settings.seed)
     order = sorted(range(len(places)), key=lambda i: (-importance[i], i))[: settings.model_top_n]
     history += [("model", names[p], i in set(order), importance[i]) for i, p in enumerate(places)]
     places = [places[i] for i in order]

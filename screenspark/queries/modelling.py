@@ -72,6 +72,14 @@ def network_scores(spark, sf_dir):
     return _scores(spark, sf_dir, M.NETWORK)
 
 
+@query("voting_scores")
+def voting_scores(spark, sf_dir):
+    rows = labelled_vectors(spark, sf_dir)
+    targets = [f"is_{c}" for c in CLASSES]
+    by_kind = {kind: M.train_targets(rows, "x", targets, kind, QUICK) for kind in (M.FOREST, M.BOOSTED)}
+    return rounded(M.score_voting(by_kind, rows, "x", "vec_id"), "probability")
+
+
 @query("cross_validated_models")
 def cross_validated_models(spark, sf_dir):
     rows = stratified_folds(labelled_vectors(spark, sf_dir), "vec_id", "is_0", n_splits=3)
@@ -98,7 +106,7 @@ def feature_importance(spark, sf_dir):
 def selection_history(spark, sf_dir):
     lines = derived_lines(spark, sf_dir)
     names = ["quantity", "price", "net", "gross", "discount", "twice", "constant"]
-    chosen = S.fit_selection(lines, "x", "label", names, S.SelectionSettings(univariate_k=3, model_top_n=2, trees=10))
+    chosen = S.fit_selection(lines, "x", "label", names, S.SelectionSettings(univariate_k=3, model_top_n=2, importance_trees=10))
     return rounded(chosen.history_table(lines), "score")
 
 
@@ -178,7 +186,7 @@ def top_cluster_by_target(spark, sf_dir):
 QUICK_RUN = R.ScreeningSettings(
     cv_folds=3,
     models=(M.FOREST, M.LOGISTIC),
-    selection=S.SelectionSettings(univariate_k=20, model_top_n=10, trees=10),
+    selection=S.SelectionSettings(univariate_k=20, model_top_n=10, importance_trees=10),
     model=QUICK,
     variance_limit=0.0,
 )
@@ -198,6 +206,18 @@ def screening_overview(spark, sf_dir):
     return rounded(report.overview, "roc_auc_mean", "pr_auc_mean")
 
 
+@query("model_descriptions")
+def model_descriptions(spark, sf_dir):
+    folder = scratch_path(spark, "run")
+    _run(spark, sf_dir, folder)
+    return R.model_info(spark, folder).select(
+        "target",
+        F.get_json_object("document", "$.performance.best_model").alias("best_model"),
+        F.get_json_object("document", "$.selected_features_count").cast("int").alias("n_features"),
+        F.get_json_object("document", "$.training_config.cv_folds").cast("int").alias("cv_folds"),
+    )
+
+
 @query("stored_run_scores")
 def stored_run_scores(spark, sf_dir):
     folder = scratch_path(spark, "run")

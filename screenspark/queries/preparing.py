@@ -220,3 +220,14 @@ def synthetic_minority_rows(spark, sf_dir):
         F.round(F.get("x", F.lit(0)), 6).alias("first_value"),
         F.round(F.get("x", F.lit(63)), 6).alias("last_value"),
     )
+
+
+@query(
+    "oversampled_class_sizes",
+    """WITH s AS (SELECT (label = 0)::INT AS y, count(*) AS n FROM embeddings GROUP BY 1)
+       SELECT y, false AS synthetic, n FROM s
+       UNION ALL SELECT y, true, (SELECT max(n) FROM s) - n FROM s WHERE n < (SELECT max(n) FROM s)""",
+)
+def oversampled_class_sizes(spark, sf_dir):
+    rows = vectors(spark, sf_dir).withColumn("y", (F.col("label") == 0).cast("int"))
+    return O.oversample(rows, "vec_id", "x", "y").groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))

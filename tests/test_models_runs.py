@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,10 +11,11 @@ from screenspark.operators.metrics import evaluate
 from screenspark.operators.select import SelectionSettings
 from screenspark.operators.split import stratified_folds
 from screenspark.plans import screening as R
+from screenspark.plans.presets import ASSAY_SETTINGS
 from screenspark.sources import readers, writers
 from screenspark.streaming.rowwise import stream_predictions, write_available
 
-QUICK = M.ModelSettings(trees=10, depth=4, linear_iterations=20, rounds=5, network_iterations=30, calibration_folds=2)
+QUICK = M.ModelSettings(trees=5, depth=3, linear_iterations=10, rounds=5, network_iterations=30, calibration_folds=2)
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +40,14 @@ def test_every_model_separates(separable, kind):
     assert evaluate(joined, ["target"]).first()["roc_auc"] > 0.95
 
 
+def test_voting_averages_the_kinds(separable):
+    by_kind = {k: M.train_targets(separable, "x", ["y"], k, QUICK) for k in (M.FOREST, M.LOGISTIC)}
+    voted = {r["id"]: r["probability"] for r in M.score_voting(by_kind, separable, "x", "id").collect()}
+    single = [M.score_targets(fitted, separable, "x", "id") for fitted in by_kind.values()]
+    means = single[0].unionByName(single[1]).groupBy("id").agg(F.avg("probability").alias("p"))
+    assert voted == pytest.approx({r["id"]: r["p"] for r in means.collect()})
+
+
 def test_targets_with_few_rows_are_skipped(separable):
     assert set(M.train_targets(separable, "x", ["y", "half"], M.LOGISTIC, QUICK, smallest=200)) == {"y"}
 
@@ -84,7 +95,7 @@ def settings(**changes):
         cv_folds=2,
         min_known=50,
         models=(M.FOREST, M.LOGISTIC),
-        selection=SelectionSettings(univariate_k=3, model_top_n=2, trees=5),
+        selection=SelectionSettings(univariate_k=3, model_top_n=2, importance_trees=5),
         model=QUICK,
     )
     return R.replace(base, **changes)
@@ -103,33 +114,39 @@ def inputs(separable):
 def test_run_resume_and_scoring(spark, inputs, tmp_path):
     features, labels = inputs
     folder = str(tmp_path / "run")
-    first = R.run_screening(features, labels, NAMES, folder, settings(), ["y"])
+    first = R.run_screening(features, labels, NAMES, folder, settings(models=(M.FOREST,)), ["y"])
     assert first.finished == ["y"] and not first.failed
-    second = R.run_screening(features, labels, NAMES, folder, settings(scale=True, oversample=True), ["y", "half"])
+    second = R.run_screening(features, labels, NAMES, folder, settings(scale=True, oversample=True, select_in_folds=False), ["y", "half"])
     assert second.finished == ["half"]
     assert {r["target"] for r in second.overview.collect()} == {"y", "half"}
     results = readers.read_results(spark, f"{folder}/results")
-    assert results.count() == 2 * 2 * 2 * 7
+    assert results.count() == (1 + 2) * 2 * 7
     scored = R.score_run(features, NAMES, folder)
     assert scored.count() == 480 and scored.where("probability is null").count() == 0
     fewer = R.score_run(features.withColumn("features", F.slice("features", 2, 3)), NAMES[1:], folder)
     assert fewer.count() == 480
     export = {r["target"]: r["document"] for r in R.export_run(spark, folder).collect()}
     assert '"selected_features_count":2' in export["y"]
+    info = {r["target"]: json.loads(r["document"]) for r in R.model_info(spark, folder).collect()}
+    assert len(info["half"]["model_comparison"]) == 2 and info["half"]["training_config"]["cv_folds"] == 2
+    assert info["y"]["performance"]["roc_auc"] > 0.95 and len(info["y"]["selected_features"]) == 2
     assert writers.read_progress(spark, f"{folder}/progress").count() == 2
 
 
 def test_a_failing_target_does_not_stop_the_others(inputs, tmp_path):
     features, labels = inputs
     report = R.run_screening(
-        features, labels, NAMES, str(tmp_path / "run"), settings(overrides={"half": {"models": ("unknown",)}}), ["y", "half"]
+        features, labels, NAMES, str(tmp_path / "run"), settings(models=(M.FOREST,), select_in_folds=False, overrides={"half": {"models": ("unknown",)}}), ["y", "half"]
     )
     assert report.finished == ["y"] and list(report.failed) == ["half"]
 
 
 def test_settings_of_a_target():
-    base = settings(overrides={"t": {"univariate_k": 9, "trees": 77, "cv_folds": 4}})
+    base = settings(overrides={"t": {"univariate_k": 9, "trees": 77, "cv_folds": 4}} | {"p": ASSAY_SETTINGS["NR-AR"]})
     own = base.for_target("t")
+    assert own.model.trees == 77 and own.selection.importance_trees == 5
+    preset = base.for_target("p")
+    assert (preset.model.trees, preset.model.depth, preset.selection.correlation_limit) == (150, 12, 0.85)
     assert own.selection.univariate_k == 9 and own.cv_folds == 4 and base.for_target("u").cv_folds == 2
 
 

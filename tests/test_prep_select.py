@@ -94,7 +94,7 @@ def test_selection_chain(spark):
     data = np.stack([signal, signal * 2 + 1, *draw.normal(size=(5, 300))], axis=1)
     df = matrix(spark, data, [(int(v),) for v in y])
     names = ["signal", "copy", "n1", "n2", "n3", "n4", "n5"]
-    got = S.fit_selection(df, "x", "y", names, S.SelectionSettings(univariate_k=4, model_top_n=2, trees=10))
+    got = S.fit_selection(df, "x", "y", names, S.SelectionSettings(univariate_k=4, model_top_n=2, importance_trees=10))
     assert got.names[0] == "signal" and len(got.names) == 2 and "copy" not in got.names
     steps = {}
     for step, name, kept, _ in got.history:

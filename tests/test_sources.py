@@ -1,7 +1,6 @@
 import pytest
 from conftest import rows
 
-from screenspark.functions.scalars import RULE_OF_FIVE  # noqa: F401
 from screenspark.operators import predictions as P
 from screenspark.sources import readers, writers
 
@@ -42,7 +41,7 @@ inactive
 
 $$$$
 second
-> <TOX21_T_active> (2)
+> <PANEL_T_active> (2)
 Active
 
 > <NOTE>
@@ -71,7 +70,7 @@ def test_records(spark, tmp_path):
     records = readers.read_entities(spark, put(tmp_path / "r.sdf", RECORDS))
     got = {r["record_id"]: r["props"] for r in records.collect()}
     assert got[1] == {"T": "1", "Activity_U": "inactive"}
-    assert got[2]["NOTE"] == "two\nlines" and got[2]["TOX21_T_active"] == "Active"
+    assert got[2]["NOTE"] == "two\nlines" and got[2]["PANEL_T_active"] == "Active"
     assert got[3] == {"NOTE": "b"}
     labels = readers.record_labels(records, ["T", "U"])
     assert {r["record_id"]: (r["T"], r["U"]) for r in labels.collect()} == {1: (1, 0), 2: (1, None), 3: (None, None)}
