@@ -247,7 +247,8 @@ def top_entities(wide: DataFrame, id_column: str, targets: Sequence[str], k: int
 
 def top_targets(wide: DataFrame, id_column: str, targets: Sequence[str], k: int = 3) -> DataFrame:
     """The k most probable targets of every entity, equal ones by name; sorted within the row."""
-    ordered = F.array_sort(F.transform(by_target(targets), lambda e: F.struct((-e["p"]).alias("p"), e["target"].alias("target"))))
+    turned = F.transform(by_target(targets), lambda e: F.struct((-e["p"]).alias("p"), e["target"].alias("target")))
+    ordered = F.array_sort(turned)
     rows = wide.select(id_column, F.posexplode(F.slice(ordered, 1, k)).alias("place", "e"))
     return rows.select(
         id_column,

@@ -73,7 +73,10 @@ def mutual_information(df: DataFrame, features: str, label: str, bins: int = 10)
 
 
 def anova_f(df: DataFrame, features: str, label: str) -> DataFrame:
-    """``(idx, f_value)``: spread between class means over spread within classes; NULL for a constant feature."""
+    """``(idx, f_value)``: spread between class means over spread within classes.
+
+    Infinite for a feature that is constant within every class but not overall, NULL for a constant one.
+    """
     known = df.where(F.col(label).isNotNull())
     moments = _moments_row(known, features, [label])
     long = moments.select(
@@ -95,7 +98,9 @@ def anova_f(df: DataFrame, features: str, label: str) -> DataFrame:
     )
     between = F.try_divide(F.col("b"), (F.col("k") - 1).cast("double"))
     within = F.try_divide(F.col("w"), F.col("n") - F.col("k"))
-    return sums.select("idx", F.try_divide(between, within).alias("f_value"))
+    perfect = (F.col("b") > 0) & (F.col("w") == 0)
+    f_value = F.when(perfect, F.lit(float("inf"))).otherwise(F.try_divide(between, within))
+    return sums.select("idx", f_value.alias("f_value"))
 
 
 def top_features(scores: DataFrame, value: str, k: int) -> DataFrame:

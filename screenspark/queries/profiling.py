@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from screenspark.functions.scalars import finite_or_null
-from screenspark.operators import clean as C
 from screenspark.operators import groups as G
 from screenspark.operators import profile as P
 from screenspark.operators.joins import join_small

@@ -116,7 +116,8 @@ def test_run_resume_and_scoring(spark, inputs, tmp_path):
     folder = str(tmp_path / "run")
     first = R.run_screening(features, labels, NAMES, folder, settings(models=(M.FOREST,)), ["y"])
     assert first.finished == ["y"] and not first.failed
-    second = R.run_screening(features, labels, NAMES, folder, settings(scale=True, oversample=True, select_in_folds=False), ["y", "half"])
+    changed = settings(scale=True, oversample=True, select_in_folds=False)
+    second = R.run_screening(features, labels, NAMES, folder, changed, ["y", "half"])
     assert second.finished == ["half"]
     assert {r["target"] for r in second.overview.collect()} == {"y", "half"}
     results = readers.read_results(spark, f"{folder}/results")
@@ -135,9 +136,8 @@ def test_run_resume_and_scoring(spark, inputs, tmp_path):
 
 def test_a_failing_target_does_not_stop_the_others(inputs, tmp_path):
     features, labels = inputs
-    report = R.run_screening(
-        features, labels, NAMES, str(tmp_path / "run"), settings(models=(M.FOREST,), select_in_folds=False, overrides={"half": {"models": ("unknown",)}}), ["y", "half"]
-    )
+    bad = settings(models=(M.FOREST,), select_in_folds=False, overrides={"half": {"models": ("unknown",)}})
+    report = R.run_screening(features, labels, NAMES, str(tmp_path / "run"), bad, ["y", "half"])
     assert report.finished == ["y"] and list(report.failed) == ["half"]
 
 

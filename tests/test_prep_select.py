@@ -83,8 +83,8 @@ def test_mutual_information_and_f(spark):
     assert mi[0] == pytest.approx(math.log(2)) and mi[3] == pytest.approx(math.log(2))
     assert mi[1] == pytest.approx(0, abs=1e-12) and mi[2] == pytest.approx(0, abs=1e-12)
     f = {r["idx"]: r["f_value"] for r in S.anova_f(df, "x", "y").collect()}
-    assert f[0] is None and f[2] is None and f[1] == pytest.approx(0) and f[3] > 1000
-    assert [r["idx"] for r in S.top_features(S.anova_f(df, "x", "y"), "f_value", 1).collect()] == [3]
+    assert f[0] == math.inf and f[2] is None and f[1] == pytest.approx(0) and f[3] > 1000
+    assert [r["idx"] for r in S.top_features(S.anova_f(df, "x", "y"), "f_value", 2).collect()] == [0, 3]
 
 
 def test_selection_chain(spark):
