@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenspark.llm import sharding
+from screenspark.llm import sharding, simhash
 from screenspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @query("op1_sharding")
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded_documents(table(spark, folder, "documents"))
+
+
+@query("op4_simhash_near_dedup")
+def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.linked_documents(table(spark, folder, "documents"))
