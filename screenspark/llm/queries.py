@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenspark.llm import sharding, simhash
+from screenspark.llm import decontaminate, sharding, simhash
 from screenspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +32,8 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_simhash_near_dedup")
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.linked_documents(table(spark, folder, "documents"))
+
+
+@query("op7_benchmark_decontamination", decontaminate.ORACLE)
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
