@@ -36,8 +36,8 @@ def words_of(text: Column, lowered=ascii_lower) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words; only the pieces before the first and after the last separator can be empty."""
-    cut = F.split(F.coalesce(text, F.lit("")), NOT_WORD)
+    """Number of words (full lowering has the same); only the pieces before the first and after the last separator can be empty."""
+    cut = F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD)
     empty = (F.get(cut, F.lit(0)) == "").cast("int") + F.when(F.size(cut) > 1, (F.element_at(cut, -1) == "").cast("int")).otherwise(0)
     return (F.size(cut) - empty).cast("bigint")
 
@@ -186,11 +186,11 @@ ORACLE = """
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 i AS (
   SELECT item_id, list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 win AS (
   SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM (
     SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p

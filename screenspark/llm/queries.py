@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenspark.llm import decontaminate, sharding, simhash
+from screenspark.llm import decontaminate, embedding_links, sharding, simhash
 from screenspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,8 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_benchmark_decontamination", decontaminate.ORACLE)
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op5_embedding_near_dedup", embedding_links.ORACLE)
+def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_links.vector_components(table(spark, folder, "embeddings"))

@@ -43,6 +43,7 @@ DOCS = [
     (None, f"{LONG} {LONG}"),
     (9, "...!!! "),
     (10, "one"),
+    (13, "ONE TWO!! THREE.\n"),
     (11, "é accent"),
     (12, " ".join(["pad"] * 500 + [LONG] + ["pad"] * 500)),
 ]
