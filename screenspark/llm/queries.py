@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenspark.llm import decontaminate, embedding_links, sharding, simhash
+from screenspark.llm import bpe, decontaminate, embedding_links, sharding, simhash
 from screenspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,8 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 @query("op5_embedding_near_dedup", embedding_links.ORACLE)
 def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_links.vector_components(table(spark, folder, "embeddings"))
+
+
+@query("op8_bpe_encoding_and_decoding")
+def op8_bpe_encoding_and_decoding(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents"))
