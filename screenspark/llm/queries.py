@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenspark.llm import bpe, decontaminate, embedding_links, sharding, simhash
+from screenspark.llm import bpe, decontaminate, embedding_links, sharding, simhash, token_files
 from screenspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,8 @@ def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_bpe_encoding_and_decoding")
 def op8_bpe_encoding_and_decoding(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"))
+
+
+@query("op6_token_id_binary_output")
+def op6_token_id_binary_output(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.through_file(table(spark, folder, "documents"))
