@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenspark.llm import bpe, decontaminate, embedding_links, sharding, simhash, token_files
+from screenspark.llm import bpe, decontaminate, embedding_links, language, sharding, simhash, token_files
 from screenspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,8 @@ def op8_bpe_encoding_and_decoding(spark: SparkSession, folder: str) -> DataFrame
 @query("op6_token_id_binary_output")
 def op6_token_id_binary_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.through_file(table(spark, folder, "documents"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.document_languages(table(spark, folder, "documents"))
