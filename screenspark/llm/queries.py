@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenspark.llm import bpe, decontaminate, embedding_links, language, sharding, simhash, token_files
+from screenspark.llm import bpe, decontaminate, embedding_links, language, quality, sharding, simhash, token_files
 from screenspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,8 @@ def op6_token_id_binary_output(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.document_languages(table(spark, folder, "documents"))
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.document_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
