@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenspark.llm import bpe, decontaminate, embedding_links, language, quality, sharding, simhash, token_files
+from screenspark.llm import bpe, decontaminate, embedding_links, html_content, language, quality, sharding, simhash, token_files, url_filter
 from screenspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,13 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_quality_classifier")
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.document_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op2_url_filters")
+def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.page_verdicts(table(spark, folder, "pages"))
+
+
+@query("op3_html_extraction")
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_content.page_texts(table(spark, folder, "pages"))
