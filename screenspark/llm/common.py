@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from screenspark.session import materialise
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -43,6 +44,14 @@ def bounded_sample(rows: DataFrame, key: Iterable[Column], limit: int, seed: int
     return rows.where(unit_draw(F.lit(seed), *key) < F.lit(limit / n))
 
 
+def sent_if_small(rows: DataFrame, limit: int, entries: Column | None = None) -> DataFrame:
+    """The rows, written down so that they are made once, with a broadcast hint if they hold at most ``limit`` entries
+    (by default rows); a join with more is left to the optimizer."""
+    kept = materialise(rows)
+    n = kept.agg(F.sum(F.lit(1) if entries is None else entries)).first()[0] or 0
+    return F.broadcast(kept) if n <= limit else kept
+
+
 def sorted_runs(frames: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
     """Cut frames whose rows come sorted by ``key`` so that no key is spread over two frames."""
     held: list[pd.DataFrame] = []
@@ -61,9 +70,3 @@ def sorted_runs(frames: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd.D
             held.append(frame)
     if held:
         yield pd.concat(held, ignore_index=True)
-
-
-def batched(items: Iterable, n: int) -> Iterator[list]:
-    it = iter(items)
-    while part := list(itertools.islice(it, n)):
-        yield part

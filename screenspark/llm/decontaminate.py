@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenspark.llm.common import ascii_lower
+from screenspark.llm.common import ascii_lower, sent_if_small
 from screenspark.session import materialise
 
 SPAN = 10
@@ -57,16 +57,12 @@ def winnowed(hashes: Column) -> Column:
 
 
 def _sent(rows: DataFrame, entries: Column | None = None) -> DataFrame:
-    """The rows with a broadcast hint if they hold few entries; written down, so they are counted and used once."""
-    kept = materialise(rows)
-    n = kept.agg(F.sum(F.lit(1) if entries is None else entries)).first()[0] or 0
-    return F.broadcast(kept) if n <= BROADCAST_ROWS else kept
+    return sent_if_small(rows, BROADCAST_ROWS, entries)
 
 
 def _with_key(documents: DataFrame, id_column: str, text: str) -> DataFrame:
     """Two hashes stand for a row's id and text: rows that are equal in both have equal hits."""
-    named = documents.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    return named.select("id", "text", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", F.lit(1), "id").alias("k2"))
+    return documents.withColumns({"__k1": F.xxhash64(id_column, text), "__k2": F.xxhash64(F.col(text), F.lit(1), F.col(id_column))})
 
 
 def _indexed(benchmark: DataFrame, item_column: str, item_text: str) -> DataFrame:
@@ -80,18 +76,8 @@ def _indexed(benchmark: DataFrame, item_column: str, item_text: str) -> DataFram
     return materialise(items.withColumn("r", F.monotonically_increasing_id()))
 
 
-def overlaps(
-    documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text",
-    item_column: str = "item_id", item_text: str = "text",
-) -> DataFrame:
-    """(id, text, spans, items) of every row of ``documents``: disjoint [first, after) word spans, in order, that lie in
-    occurrences of benchmark windows, and the ids of the items that occur, in order; both NULL if there are none.
-
-    A window is ten consecutive words of an item, or the whole item if it has one to nine. NULL and empty texts have
-    no words, items without words no windows. Repeated documents each get their row; repeated items count once per id;
-    an item with a NULL id is found but not listed. Empty tables give no hits. Further columns are ignored.
-    """
-    docs = _with_key(documents, id_column, text)
+def _keyed_overlaps(docs: DataFrame, benchmark: DataFrame, item_column: str, item_text: str) -> DataFrame:
+    """(k1, k2, spans, items) of the documents, as of ``_with_key``, in which a benchmark window occurs."""
     items = _indexed(benchmark, item_column, item_text)
     short = [r["m"] for r in items.where(F.col("m") < SPAN).select("m").distinct().collect()]  # nine at most
 
@@ -99,11 +85,11 @@ def overlaps(
     def tagged(hashes: Column, n: int) -> Column:
         return F.transform(hashes, lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
 
-    lowered = docs.select("k1", "k2", words_of(F.col("text"), F.lower).alias("w"))
+    lowered = docs.select("__k1", "__k2", words_of(F.col("text"), F.lower).alias("w"))
     parts = [tagged(winnowed(F.col("g")), GRAM)]
     parts += [tagged(F.array_distinct(gram_hashes(F.col("w"), n)), -n) for n in short]
     prints = lowered.withColumn("g", gram_hashes(F.col("w"), GRAM))
-    prints = prints.select("k1", "k2", F.inline(F.concat(*parts)))
+    prints = prints.select("__k1", "__k2", F.inline(F.concat(*parts)))
     long_items = items.where(F.col("m") >= SPAN).select("r", gram_hashes(F.col("lw"), GRAM).alias("g"))
     long_items = long_items.select("r", winnowed(F.col("g")).alias("chosen"), F.posexplode("g").alias("q", "h"))
     of_items = long_items.where(F.array_contains("chosen", F.col("h"))).select(F.lit(GRAM).alias("n"), "h", "r", "q")
@@ -111,10 +97,10 @@ def overlaps(
         whole = items.where(F.col("m") == n).select(F.lit(-n).alias("n"), F.get(gram_hashes(F.col("lw"), n), F.lit(0)).alias("h"), "r")
         of_items = of_items.unionByName(whole.withColumn("q", F.lit(0)))
     found = prints.join(_sent(of_items), ["n", "h"])
-    hits = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("n", "h", "r", "q")).alias("met"))
+    hits = found.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("n", "h", "r", "q")).alias("met"))
 
     # Back to the texts of the documents with a hit: on which diagonals of which items do shared grams lie?
-    hit = docs.join(_sent(hits, F.size("met")), ["k1", "k2"]).select("k1", "k2", "met", "text")
+    hit = docs.join(_sent(hits, F.size("met")), ["__k1", "__k2"]).select("__k1", "__k2", "met", "text")
     hit = hit.withColumn("w", words_of(F.col("text"), F.lower))
 
     def placed(n: int) -> Column:
@@ -133,7 +119,7 @@ def overlaps(
             ),
         )
     )
-    laid = hit.withColumn("w", words_of(F.col("text"))).select("k1", "k2", "w", F.inline(F.array_distinct(diagonals)))
+    laid = hit.withColumn("w", words_of(F.col("text"))).select("__k1", "__k2", "w", F.inline(F.array_distinct(diagonals)))
     laid = laid.join(_sent(items.select("r", "item", "m", "iw"), F.size("iw")), "r")
 
     # Extend: the runs of equal words along the diagonal that are long enough.
@@ -151,8 +137,8 @@ def overlaps(
         )
 
     runs = F.aggregate(numbered, F.struct(F.lit(0).alias("start"), none.alias("out")), extend, lambda a: a["out"])
-    spans = laid.select("k1", "k2", "item", F.explode(runs).alias("span"))
-    by_document = spans.groupBy("k1", "k2").agg(
+    spans = laid.select("__k1", "__k2", "item", F.explode(runs).alias("span"))
+    by_document = spans.groupBy("__k1", "__k2").agg(
         F.array_sort(F.collect_set("span")).alias("raw"), F.array_sort(F.collect_set("item")).alias("items")
     )
 
@@ -162,8 +148,33 @@ def overlaps(
         touches = (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["after"] >= x["first"])
         return F.when(touches, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(joined))).otherwise(F.concat(a, F.array(x)))
 
-    results = by_document.select("k1", "k2", F.aggregate("raw", none, merge).alias("spans"), "items")
-    return docs.join(_sent(results, F.size("spans") + F.size("items")), ["k1", "k2"], "left").select("id", "text", "spans", "items")
+    return by_document.select("__k1", "__k2", F.aggregate("raw", none, merge).alias("spans"), "items")
+
+
+def overlaps(
+    documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text",
+    item_column: str = "item_id", item_text: str = "text",
+) -> DataFrame:
+    """(id, text, spans, items) of every row of ``documents``: disjoint [first, after) word spans, in order, that lie in
+    occurrences of benchmark windows, and the ids of the items that occur, in order; both NULL if there are none.
+
+    A window is ten consecutive words of an item, or the whole item if it has one to nine. NULL and empty texts have
+    no words, items without words no windows. Repeated documents each get their row; repeated items count once per id;
+    an item with a NULL id is found but not listed. Empty tables give no hits. Further columns are ignored.
+    """
+    docs = _with_key(documents.select(F.col(id_column).alias("id"), F.col(text).alias("text")), "id", "text")
+    results = _sent(_keyed_overlaps(docs, benchmark, item_column, item_text), F.size("spans") + F.size("items"))
+    return docs.join(results, ["__k1", "__k2"], "left").select("id", "text", "spans", "items")
+
+
+def clean_documents(
+    documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text",
+    item_column: str = "item_id", item_text: str = "text",
+) -> DataFrame:
+    """The rows of ``documents`` in which no benchmark window occurs, all columns as they were."""
+    docs = _with_key(documents.select(F.col(id_column).alias("id"), F.col(text).alias("text")), "id", "text")
+    found = _sent(_keyed_overlaps(docs, benchmark, item_column, item_text).select("__k1", "__k2"))
+    return _with_key(documents, id_column, text).join(found, ["__k1", "__k2"], "left_anti").select(*documents.columns)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

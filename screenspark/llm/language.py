@@ -14,8 +14,6 @@ of its stretch.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -185,7 +183,11 @@ def identified(documents: DataFrame, samples: tuple[tuple[str, str], ...], text:
     is kept, repeated ones too; columns named lang_pred or score are replaced.
     """
     kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
+    judged = documents.select(*kept, _judge(samples)(F.col(text)).alias("__judged"))
+    return judged.select(*kept, "__judged.lang_pred", "__judged.score")
 
+
+def _judge(samples: tuple[tuple[str, str], ...]):
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def judge(texts: pd.Series) -> pd.DataFrame:
         if not samples:
@@ -193,8 +195,7 @@ def identified(documents: DataFrame, samples: tuple[tuple[str, str], ...], text:
         names, scores = cross_parser(samples).predict(texts.tolist())
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    judged = documents.select(*kept, judge(F.col(text)).alias("_judged"))
-    return judged.select(*kept, "_judged.lang_pred", "_judged.score")
+    return judge
 
 
 def training_rows(documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -209,8 +210,11 @@ def document_languages(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(documents: DataFrame) -> DataFrame:
-    """The documents whose language can be told; columns as before."""
-    found = identified(documents.withColumnRenamed("score", "_own_score"), learn(training_rows(documents)))
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).drop("lang_pred", "score")
-    return kept.withColumnRenamed("_own_score", "score") if "score" in documents.columns else kept
+def accepted(documents: DataFrame, text: str = "text") -> DataFrame:
+    """The documents whose language can be told; columns as they were. Nothing is rejected if nothing was learned."""
+    samples = learn(training_rows(documents))
+    if not samples:
+        return documents
+    judged = documents.withColumn("__judged", _judge(samples)(F.col(text)))
+    sure = (F.col("__judged.lang_pred") != UNKNOWN) & (F.col("__judged.score") >= MIN_SCORE)
+    return judged.where(sure).select(*documents.columns)

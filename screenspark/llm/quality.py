@@ -241,13 +241,17 @@ def scored(documents: DataFrame, machine: Machine, text: str = "text") -> DataFr
 
     Every row is kept, repeated ones too; a column named score is replaced.
     """
+    return documents.withColumn("score", _judge(documents, machine)(F.col(text)))
+
+
+def _judge(documents: DataFrame, machine: Machine):
     shared = documents.sparkSession.sparkContext.broadcast(machine)  # WIDTH x (FACTORS + 1) numbers, whatever the data
 
     @F.pandas_udf("double")
     def judge(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.scores(texts.tolist()))
 
-    return documents.withColumn("score", judge(F.col(text)))
+    return judge
 
 
 def document_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -261,8 +265,7 @@ def document_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not clearly of label 0; columns as before."""
-    machine = learn(documents, labels)
-    found = scored(documents.withColumnsRenamed({"score": "_own_score"}), machine).where(F.col("score") >= REJECTED_BELOW)
-    return found.drop("score").withColumnsRenamed({"_own_score": "score"})
+def accepted(documents: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that are not clearly of label 0; columns as they were."""
+    judge = _judge(documents, learn(documents, labels))
+    return documents.withColumn("__score", judge(F.col(text))).where(F.col("__score") >= REJECTED_BELOW).select(*documents.columns)

@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenspark.llm.common import sorted_runs
+from screenspark.llm.common import sent_if_small, sorted_runs
 from screenspark.llm.graph import components
 from screenspark.session import materialise
 
@@ -37,6 +37,8 @@ PIVOTS_PER_BLOCK = 8
 PASS_ROWS = 4096
 #: Shingles hashed at a time: bounds the memory for long texts.
 CHUNK = 1 << 17
+#: Keys of dropped rows (two numbers each) up to which they are sent to every task; more are joined by key.
+BROADCAST_ROWS = 500_000
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -81,15 +83,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id, fp): the fingerprint of every text as a signed long. Words are cut at ASCII white space, A-Z lowered."""
+    """(id, mark, fp): a hash of every text and its fingerprint as a signed long. Words are cut at ASCII white space,
+    A-Z lowered."""
 
     def of_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             prints = np.array([fingerprint(t, size) for t in frame["t"]], np.uint64)
-            yield pd.DataFrame({"id": frame["id"], "fp": prints.view(np.int64)})
+            yield pd.DataFrame({"id": frame["id"], "mark": frame["mark"], "fp": prints.view(np.int64)})
 
-    kept = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).alias("t"))
-    return kept.mapInPandas(of_frames, "id bigint, fp bigint")
+    kept = documents.select(F.col(id_column).cast("bigint").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("t"))
+    return kept.mapInPandas(of_frames, "id bigint, mark bigint, fp bigint")
 
 
 def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +174,8 @@ def fingerprint_links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(
     documents: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SHINGLE, bits: int = MAX_BITS
 ) -> DataFrame:
-    """(id, fp, component): the smallest id that links reach from each document, through equal or near fingerprints.
+    """(id, mark, fp, root, component): root names the group, component is the smallest id
+    that links reach from each document, through equal or near fingerprints; mark is a hash of the text.
 
     One row per row of ``documents``, copies included. NULL, empty and wordless texts have fingerprint zero and are
     linked like any other. A NULL id is never the smallest; a component without ids has a NULL one. An empty table
@@ -183,7 +187,36 @@ def near_duplicates(
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     member = member.select("fp", "first", F.coalesce("root", "fp").alias("root"))
     first = member.groupBy("root").agg(F.min("first").alias("component"))
-    return prints.join(member.join(first, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    member = member.join(first, "root").select("fp", "root", "component")
+    return prints.join(member, "fp").select("id", "mark", "fp", "root", "component")
+
+
+def one_per_group(
+    documents: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SHINGLE, bits: int = MAX_BITS
+) -> DataFrame:
+    """One row of every group of near-duplicates, that of the smallest id (of equal ids, the smallest hash of the
+    text; of equal rows, any); NULL ids come last. All columns as they were.
+
+    The rows to drop, by id and hash, go back to the scan of the documents; texts are not grouped.
+    """
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
+    found = materialise(near_duplicates(documents, id_column, text, size, bits))
+    rows = found.groupBy("root", "id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    told = materialise(rows.join(first, "root").withColumn("stays", order == F.col("first")))
+    again = told.where("stays and n > 1").select("id", "mark")
+    gone = sent_if_small(told.where("not stays or n > 1").select("id", "mark"), BROADCAST_ROWS)
+
+    keyed = documents.withColumns({"__id": F.col(id_column).cast("bigint"), "__mark": F.xxhash64(text)})
+
+    def same(keys: DataFrame) -> Column:
+        return keyed["__id"].eqNullSafe(keys["id"]) & (keyed["__mark"] == keys["mark"])
+
+    left = keyed.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():
+        again = sent_if_small(again, BROADCAST_ROWS)
+        left = left.unionByName(keyed.join(again, same(again), "left_semi").dropDuplicates(["__id", "__mark"]))
+    return left.select(*documents.columns)
 
 
 def linked_documents(documents: DataFrame) -> DataFrame:
