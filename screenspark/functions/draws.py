@@ -22,6 +22,11 @@ def draw32(seed: int | str, *keys: Column | str) -> Column:
     return F.conv(F.substring(hash_key(seed, *keys), 1, 8), 16, 10).cast("bigint")
 
 
+def draw60(seed: int | str, *keys: Column | str) -> Column:
+    """Whole number in [0, 2^60): a remainder by a row count is as good as unbiased."""
+    return F.conv(F.substring(hash_key(seed, *keys), 1, 15), 16, 10).cast("bigint")
+
+
 def draw_unit(seed: int | str, *keys: Column | str) -> Column:
     """Number in [0, 1)."""
     return draw32(seed, *keys) / F.lit(TWO_32)

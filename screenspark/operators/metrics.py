@@ -71,8 +71,10 @@ def evaluate(
     counts = _score_counts(scored, by, label, probability)
     tp_above, fp_above = _hits_above()
     called = F.col("score") > F.lit(limit)
-    pairs = F.col("pos") * (F.col("neg_upto") - F.col("neg") + F.col("neg") / 2)
-    steps = F.col("pos") * tp_above / (tp_above + fp_above)
+    # Products of counts pass the range of whole numbers in groups of some billion rows.
+    pos = F.col("pos").cast("double")
+    pairs = pos * (F.col("neg_upto") - F.col("neg") + F.col("neg") / 2)
+    steps = pos * tp_above / (tp_above + fp_above)
     summed = counts.groupBy(*by).agg(
         F.sum(pairs).alias("_pairs"),
         F.sum(steps).alias("_steps"),
@@ -86,7 +88,7 @@ def evaluate(
     one_class = (F.col("_p") == 0) | (F.col("_n") == 0)
     return summed.select(
         *by,
-        ratio(F.col("_pairs"), F.col("_p") * F.col("_n")).alias("roc_auc"),
+        ratio(F.col("_pairs"), F.col("_p").cast("double") * F.col("_n")).alias("roc_auc"),
         F.when(~one_class, ratio(F.col("_steps"), F.col("_p"))).alias("pr_auc"),
         "tp",
         "fp",

@@ -52,24 +52,42 @@ def order_number(df: DataFrame, name: str) -> Column:
     raise TypeError(f"column {name} of type {kind.simpleString()} has no numeric order; rank it by hash instead")
 
 
-def _splits(df: DataFrame, number: Column, n: int) -> tuple[list[float], list[float]]:
-    """Interior cut points and the values that hold more than one bucket's share. One small row reaches the driver."""
-    steps = [i / n for i in range(1, n)]
-    row = df.select(F.percentile_approx(number, F.array(*map(F.lit, steps)), F.lit(20 * n)).alias("q")).first()
+#: First-level groups whose sketches are merged before the last merge.
+SKETCH_GROUPS = 64
+
+
+def _splits(df: DataFrame, number: Column, n: int) -> tuple[list[float], list[float], bool]:
+    """Interior cut points, the values that hold more than one bucket's share, and whether some rows have no number.
+
+    Every task sketches its rows; SKETCH_GROUPS tasks merge the sketches of the tasks and one merges theirs, each a
+    few thousand numbers. The bounds are approximate, what is computed within them is exact.
+    """
+    known = number.isNotNull() & ~F.isnan(number)
+    tagged = df.select(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"), F.when(known, number).alias("x"))
+    sketch = F.kll_sketch_agg_double("x", F.lit(min(65535, max(256, 8 * n))))
+    first = tagged.groupBy("g").agg(sketch.alias("s"), F.count("x").alias("n"), F.count(F.lit(1)).alias("rows"))
+    whole = first.agg(
+        F.kll_merge_agg_double(F.when(F.col("n") > 0, F.col("s"))).alias("s"), F.sum("n").alias("n"), F.sum("rows").alias("rows")
+    )
+    ranks = F.array(*[F.lit(i / n) for i in range(1, n)])
+    quantile = F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", ranks))
+    row = whole.select(quantile.alias("q"), "n", "rows").first()
     quantiles = [float(v) for v in (row["q"] or [])]
     hot = sorted({a for a, b in zip(quantiles, quantiles[1:]) if a == b})
     cuts = set(quantiles) | {math.nextafter(v, math.inf) for v in hot}
-    return sorted(cuts), hot
+    return sorted(c for c in cuts if math.isfinite(c)), hot, (row["rows"] or 0) > (row["n"] or 0)
 
 
 def _cut(df: DataFrame, number: Column, cuts: Sequence[float], out: str) -> DataFrame:
+    """The number's bucket: NULLs below all others, NaN above, as in the sort order."""
     if not cuts:
-        return df.withColumn(out, F.lit(0.0))
+        return df.withColumn(out, F.when(number.isNull(), -1.0).when(F.isnan(number), 1.0).otherwise(0.0))
     raw = f"{out}_key"
     bucketizer = Bucketizer(
         splits=[-math.inf, *cuts, math.inf], inputCol=raw, outputCol=out, handleInvalid="keep"
     )
-    return bucketizer.transform(df.withColumn(raw, number)).drop(raw)
+    cut = bucketizer.transform(df.withColumn(raw, number))
+    return cut.withColumn(out, F.when(F.col(raw).isNull(), -1.0).otherwise(F.col(out))).drop(raw)
 
 
 def value_buckets(
@@ -82,12 +100,13 @@ def value_buckets(
     """
     n = n or bucket_count(df.sparkSession)
     number = order_number(df, key)
-    cuts, hot = _splits(bounds_from if bounds_from is not None else df, number, n)
+    cuts, hot, unknown = _splits(bounds_from if bounds_from is not None else df, number, n)
     out = _cut(df, number, cuts, B1)
-    if hot and tie is not None:
-        is_hot = number.isin(hot)
+    if (hot or unknown) and tie is not None:
+        # Rows without a number are one value too. The buckets are shared out over the hot values.
+        is_hot = number.isin(hot) | number.isNull() | F.isnan(number) if hot else number.isNull() | F.isnan(number)
         tie_number = order_number(df, tie)
-        tie_cuts, _ = _splits(df.where(is_hot), tie_number, n)
+        tie_cuts, _, _ = _splits(df.where(is_hot), tie_number, max(2, math.ceil(n / (len(hot) + unknown))))
         return _cut(out, F.when(is_hot, tie_number).otherwise(F.lit(-math.inf)), tie_cuts, B2)
     return out.withColumn(B2, F.lit(0.0))
 
@@ -115,11 +134,14 @@ def running_sums(
     ``order`` must be total within a stratum and must agree with the bucket columns. The join back is on the window's
     own partitioning, so only the small offset table moves again.
     """
-    by = [*strata, B1, B2]
-    here = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = bucketed.select("*", *[F.sum(c).over(here).alias(f"{n}_here") for n, c in sums.items()])
+    # One struct as the key: NULLs within it are equal, in the shuffle as in the join.
+    at = F.struct(*strata, B1, B2)
+    here = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keyed = bucketed.withColumn("_at", at)
+    local = keyed.select("*", *[F.sum(c).over(here).alias(f"{n}_here") for n, c in sums.items()])
     offsets = bucket_offsets(bucketed, strata, sums)
-    joined = local.join(offsets, by)
+    offsets = offsets.select(at.alias("_at"), *[f"{n}_{x}" for n in sums for x in ("before", "all")])
+    joined = local.join(offsets, "_at")
     added = [(F.col(f"{n}_here") + F.col(f"{n}_before")).alias(n) for n in sums]
     added += [F.col(f"{n}_all") for n in sums]
     kept = [c for c in bucketed.columns if c not in (B1, B2)]
@@ -156,26 +178,25 @@ def shuffled_numbers(
 
 
 def scan_numbers(df: DataFrame, out: str = "rn") -> DataFrame:
-    """1, 2, 3 ... in scan order, without a shuffle of the rows.
+    """1, 2, 3 ... in the order of file names and of the rows in each file, without a shuffle of the rows.
 
-    ``monotonically_increasing_id`` carries the scan task in its upper bits and the position in its lower 33; the
-    number of rows of the tasks before gives the offset. Both sides read the same files with the same split sizes.
+    ``df`` is a scan, filtered or not; rows that come from no file are numbered task by task.
+    ``monotonically_increasing_id`` carries the scan task in its upper bits and counts rows in its lower 33; the piece
+    of a file that a task reads starts at some count. The rows of the pieces before give the offset, in a table with a
+    row per piece. Both sides read the same files with the same split sizes.
     """
-    tagged = df.withColumn("_scan", F.monotonically_increasing_id())
-    task, position = F.shiftright("_scan", 33), F.col("_scan").bitwiseAND(F.lit((1 << 33) - 1))
-    tagged = tagged.withColumn("_task", task)
-    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tagged = df.withColumns(
+        {"_scan": F.monotonically_increasing_id(), "_file": F.input_file_name(), "_start": F.input_file_block_start()}
+    ).withColumn("_task", F.shiftright("_scan", 33))
+    piece = ["_file", "_start", "_task"]
+    before = Window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        tagged.groupBy("_task")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_task", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    )
-    return (
-        tagged.withColumn("_position", position)
-        .join(offsets, "_task")
-        .withColumn(out, F.col("_before") + F.col("_position") + 1)
-        .drop("_task", "_before", "_position", "_scan")
+        tagged.groupBy(*piece)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_scan").alias("_first"))
+        .select(*piece, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     )
+    numbered = join_small(tagged, offsets, piece).withColumn(out, F.col("_before") + F.col("_scan") - F.col("_first") + 1)
+    return numbered.drop(*piece, "_first", "_before", "_scan")
 
 
 def exact_quantiles(

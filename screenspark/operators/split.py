@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenspark.operators.joins import join_keyed, join_small
+from screenspark.operators.joins import join_keyed, join_small, null_safe
 from screenspark.operators.ranking import row_numbers, shuffled_numbers
 from screenspark.session import materialise
 
@@ -168,25 +168,32 @@ def _deal(counts: Sequence[tuple[int, int]], n_splits: int) -> list[tuple[int, l
     return plan
 
 
-def group_folds(df: DataFrame, group: str, n_splits: int = 5, seed: int = 42) -> DataFrame:
+def group_folds(df: DataFrame, group: str, n_splits: int = 5, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """Add ``fold`` so that no group is in two folds; the largest groups go first, each to the lightest fold.
 
-    Only the histogram of group sizes reaches the driver: n rows have at most sqrt(2 n) different group sizes.
+    With ``by``, such as the target of known labels, each of its values has folds of its own. Rows without a group are
+    one group. Only the histograms of group sizes reach the driver: n rows have at most sqrt(2 n) different sizes.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    histogram = [(r["_size"], r["n"]) for r in sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()]
-    if sum(n for _, n in histogram) < n_splits:
+    by = list(by)
+    sizes = df.groupBy(*by, group).agg(F.count(F.lit(1)).alias("_size"))
+    counted = sizes.groupBy(*by, "_size").agg(F.count(F.lit(1)).alias("n")).collect()
+    histograms: dict[tuple, list[tuple[int, int]]] = {}
+    for r in counted:
+        histograms.setdefault(tuple(r[c] for c in by), []).append((r["_size"], r["n"]))
+    if min((sum(n for _, n in h) for h in histograms.values()), default=0) < n_splits:
         raise ValueError(f"{n_splits} folds need at least that many groups")
     run = T.StructType([T.StructField("start", T.LongType()), T.StructField("folds", T.ArrayType(T.IntegerType()))])
-    schema = T.StructType([T.StructField("_size", T.LongType()), T.StructField("_runs", T.ArrayType(run))])
-    plan = df.sparkSession.createDataFrame(_deal(histogram, n_splits), schema)
-    placed = shuffled_numbers(sizes, group, seed, ["_size"], out="_rn").drop("_rn_all").join(plan, "_size")
+    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("_size", T.LongType()), T.StructField("_runs", T.ArrayType(run))])
+    dealt = [(*key, size, runs) for key, h in histograms.items() for size, runs in _deal(h, n_splits)]
+    plan = df.sparkSession.createDataFrame(dealt, schema)
+    numbered = shuffled_numbers(sizes, group, seed, [*by, "_size"], out="_rn").drop("_rn_all")
+    placed = null_safe(numbered, F.broadcast(plan), [*by, "_size"])  # as many rows as the histograms
     place = F.col("_rn") - 1
     mine = F.element_at(F.filter("_runs", lambda r: r["start"] <= place), -1)
     turn = F.pmod(place - mine["start"], F.size(mine["folds"]).cast("bigint")).cast("int")
-    folds = materialise(placed.select(group, "_size", F.get(mine["folds"], turn).alias("fold")))
-    total = sum(size * n for size, n in histogram)
-    return join_keyed(df, folds, group, "_size", total).drop("_size")
+    folds = materialise(placed.select(*by, group, "_size", F.get(mine["folds"], turn).alias("fold")))
+    total = sum(size * n for h in histograms.values() for size, n in h)
+    return join_keyed(df, folds, [*by, group], "_size", total).drop("_size")
 
 
 def group_fold_report(df: DataFrame, group: str, n_splits: int = 5) -> DataFrame:
@@ -205,13 +212,14 @@ def group_fold_report(df: DataFrame, group: str, n_splits: int = 5) -> DataFrame
     )
 
 
-def time_folds(df: DataFrame, time: str, id_column: str, n_splits: int = 5) -> DataFrame:
+def time_folds(df: DataFrame, time: str, id_column: str, n_splits: int = 5, by: Sequence[str] = ()) -> DataFrame:
     """Expanding-window folds along time: equal test blocks at the end, training on everything before each.
 
     Adds ``test_fold`` (NULL for rows that are never tested) and ``trains_from``, the first fold that trains on the
-    row; a row trains every fold from there on. Two columns instead of up to ``n_splits`` copies of each row.
+    row; a row trains every fold from there on. With ``by`` each of its values is cut on its own. Rows without a time
+    come first. Two columns instead of up to ``n_splits`` copies of each row.
     """
-    placed = row_numbers(df, time, id_column, out="_rn")
+    placed = row_numbers(df, time, id_column, by, out="_rn")
     place, n = F.col("_rn") - 1, F.col("_rn_all")
     block = F.floor(n / F.lit(n_splits + 1))
     start = n - block * n_splits

@@ -201,8 +201,8 @@ def nearest_rows_in_class(spark, sf_dir):
            ORDER BY list_distance(a.e, b.e), b.vec_id) AS place
          FROM x a JOIN x b ON a.y = 1 AND b.y = 1 AND a.vec_id <> b.vec_id QUALIFY place <= 5),
        r AS (SELECT unnest(range(n0 - n1)) AS seq, n1 FROM s),
-       w AS (SELECT seq, ('0x' || substr(md5('42:base:' || seq), 1, 8))::BIGINT % n1 AS no,
-         ('0x' || substr(md5('42:neighbour:' || seq), 1, 8))::BIGINT % 5 + 1 AS place,
+       w AS (SELECT seq, ('0x' || substr(md5('42:base:' || seq), 1, 15))::BIGINT % n1 AS no,
+         ('0x' || substr(md5('42:neighbour:' || seq), 1, 15))::BIGINT % 5 + 1 AS place,
          ('0x' || substr(md5('42:gap:' || seq), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS gap FROM r)
        SELECT seq, 1 AS y, b.vec_id AS base, d.neighbour, round(gap, 9) AS gap,
          round(b.e[1] + gap * (t.e[1] - b.e[1]), 6) AS first_value, round(b.e[64] + gap * (t.e[64] - b.e[64]), 6) AS last_value

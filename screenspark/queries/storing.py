@@ -14,7 +14,7 @@ from screenspark.queries.predicting import CLASSED
 from screenspark.queries.registry import query
 from screenspark.queries.scoring import FOLDED, fold_rows
 from screenspark.queries.splitting import LONG
-from screenspark.session import scratch_path, spread_small
+from screenspark.session import scratch_path
 from screenspark.sources import readers, writers
 
 
@@ -33,20 +33,22 @@ def csv_scan(spark, sf_dir):
 
 @query(
     "csv_scan_default_ids",
-    """SELECT 'compound_' || rn AS compound_id, rn FROM (SELECT row_number() OVER (ORDER BY l_orderkey) AS rn FROM lineitem)""",
+    """SELECT 'compound_' || rn AS compound_id, l_orderkey, l_linenumber FROM (
+         SELECT l_orderkey, l_linenumber, row_number() OVER () AS rn FROM lineitem)""",
 )
 def csv_scan_default_ids(spark, sf_dir):
-    """Every row of a file without ids gets the next number, whatever task reads it."""
+    """Every row of a folder of files without ids gets the next number in file order, whatever task reads it."""
     path = scratch_path(spark, "lines")
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("string").alias("smiles"), "l_orderkey")
+    lines = table(spark, sf_dir, "lineitem")
+    lines = lines.select(F.col("l_shipdate").cast("string").alias("smiles"), "l_orderkey", "l_linenumber")
     writers.write_csv(lines, path)
     numbered = readers.read_entity_csv(spark, path)
-    return numbered.select("compound_id", F.substring_index("compound_id", "_", -1).cast("bigint").alias("rn"))
+    return numbered.select("compound_id", F.col("l_orderkey").cast("bigint").alias("l_orderkey"), F.col("l_linenumber").cast("int").alias("l_linenumber"))
 
 
-@query("scan_row_numbers", "SELECT row_number() OVER (ORDER BY event_id) AS rn FROM events")
+@query("scan_row_numbers", "SELECT event_id, row_number() OVER () AS rn FROM events")
 def scan_row_numbers(spark, sf_dir):
-    return scan_numbers(table(spark, sf_dir, "events").select("event_id"), "rn").select("rn")
+    return scan_numbers(table(spark, sf_dir, "events").select("event_id"), "rn")
 
 
 @query(
@@ -192,7 +194,7 @@ def streamed_classes(spark, sf_dir):
     from screenspark.streaming.rowwise import stream_predictions, write_available
 
     source, sink = scratch_path(spark, "incoming"), scratch_path(spark, "classed")
-    spread_small(predictions(spark, sf_dir)).write.parquet(source)
+    predictions(spark, sf_dir).write.parquet(source)
     stream = stream_predictions(spark, source, "doc_id bigint, target string, probability double")
     write_available(stream, sink, scratch_path(spark, "progress")).awaitTermination()
     return spark.read.parquet(sink)

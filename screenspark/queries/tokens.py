@@ -9,7 +9,6 @@ from screenspark.operators import bits as B
 from screenspark.queries.fixtures import LONG, known_labels, properties, table
 from screenspark.queries.profiling import rounded
 from screenspark.queries.registry import query
-from screenspark.session import spread_small
 
 TOK = """tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS t
   FROM documents)"""
@@ -24,8 +23,10 @@ PACKED = f"""{GRAMS}, fb AS (SELECT d.doc_id, coalesce(b.b, bitstring('0', 2048)
     (SELECT doc_id, bitstring_agg(bit, 0, 2047) AS b FROM setbits GROUP BY doc_id) b USING (doc_id))"""
 
 
-def fingerprints(spark, sf_dir, *keep):
-    documents = spread_small(table(spark, sf_dir, "documents").select("doc_id", *keep, "text"))
+def fingerprints(spark, sf_dir, *keep, only=None):
+    documents = table(spark, sf_dir, "documents").select("doc_id", *keep, "text")
+    if only is not None:
+        documents = documents.join(only, "doc_id", "left_semi")
     words = documents.select("doc_id", *keep, K.tokens("text").alias("words"))
     return words.select("doc_id", *keep, K.gram_bits("words").alias("bits"))
 
@@ -84,7 +85,7 @@ def pattern_key_bits(spark, sf_dir):
         (SELECT doc_id, list(bit ORDER BY bit) AS bits FROM setbits GROUP BY doc_id) b USING (doc_id)) {_DIGEST}""",
 )
 def token_pair_fingerprints(spark, sf_dir):
-    documents = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = documents.select("doc_id", K.tokens("text").alias("words"))
     return _digest(words.select("doc_id", K.pair_bits("words").alias("bits")))
 
@@ -151,8 +152,7 @@ def bit_profile(spark, sf_dir):
         FROM j JOIN u USING (target, label) GROUP BY target, label""",
 )
 def bit_profile_by_class(spark, sf_dir):
-    joined = known_labels(spark, sf_dir).join(fingerprints(spark, sf_dir), "doc_id")
-    out = B.bit_profile(joined, ["target", "label"], "bits", K.N_BITS)
+    out = B.bit_profile(_labelled_bits(spark, sf_dir), ["target", "label"], "bits", K.N_BITS)
     return rounded(rounded(out, "density", digits=9), "bits_per_row")
 
 
@@ -161,52 +161,55 @@ def bit_frequency(spark, sf_dir):
     return B.bit_frequency(fingerprints(spark, sf_dir), [], "bits")
 
 
-_PAIR_STATS = """count(*) AS n_pairs, max(s) AS max_similarity, min(s) AS min_similarity,
-  count(*) FILTER (s >= 0.8) AS n_similar, round(avg(s), 9) AS mean_similarity"""
 _SIM = "bit_count(a.b & b.b) / nullif(bit_count(a.b | b.b), 0)::DOUBLE"
 
 
+def _similar_sql(by: str, rows: str, crossing: str = "") -> str:
+    """All pairs of the rows (by..., doc_id, label, b), compared one by one."""
+    on = " AND ".join(f"a.{c.strip()} = b.{c.strip()}" for c in by.split(","))
+    return f"""{rows}, p AS (
+      SELECT {", ".join(f"a.{c.strip()}" for c in by.split(","))}, a.doc_id AS x, b.doc_id AS y, {_SIM} AS s
+      FROM n a JOIN n b ON {on} AND a.doc_id < b.doc_id {crossing} WHERE {_SIM} >= 0.8),
+    c AS (SELECT {by}, count(*) AS n_similar, round(max(s), 9) AS max_similarity FROM p GROUP BY {by}),
+    w AS (SELECT {by}, count(DISTINCT z) AS n_with_partner FROM (
+      SELECT {by}, x AS z FROM p UNION ALL SELECT {by}, y FROM p) GROUP BY {by})
+    SELECT {by}, n_rows, coalesce(n_with_partner, 0) AS n_with_partner, coalesce(n_similar, 0) AS n_similar, max_similarity
+    FROM (SELECT {by}, count(*) AS n_rows FROM n GROUP BY {by}) LEFT JOIN c USING ({by}) LEFT JOIN w USING ({by})"""
+
+
 @query(
-    "sample_similarity",
-    f"""WITH {PACKED}, s AS (SELECT f.*, lang FROM fb f JOIN documents USING (doc_id)
-          QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id)) <= 1000),
-        p AS (SELECT a.lang, {_SIM} AS s FROM s a JOIN s b ON a.lang = b.lang AND a.doc_id < b.doc_id)
-        SELECT lang, {_PAIR_STATS} FROM p WHERE s IS NOT NULL GROUP BY lang""",
+    "similar_texts_by_language",
+    _similar_sql("lang", f"WITH {PACKED}, n AS (SELECT f.doc_id, f.b, lang, 0 AS label FROM fb f JOIN documents USING (doc_id))"),
 )
-def sample_similarity(spark, sf_dir):
-    """All pairs of a sample of 1,000 texts per language."""
-    texts = fingerprints(spark, sf_dir, "lang")
-    return rounded(
-        B.sample_similarity(texts, ["lang"], "doc_id", "bits", K.N_BITS), "mean_similarity", digits=9
-    )
+def similar_texts_by_language(spark, sf_dir):
+    """All pairs of similar texts of each language."""
+    return rounded(B.similar_rows(fingerprints(spark, sf_dir, "lang"), ["lang"], "bits", K.N_BITS), "max_similarity", digits=9)
+
+
+def _labelled_bits(spark, sf_dir):
+    """Bit sets of the texts with a label; the others are dropped before their texts are hashed."""
+    labels = known_labels(spark, sf_dir)
+    return labels.join(fingerprints(spark, sf_dir, only=labels.select("doc_id").distinct()), "doc_id")
 
 
 @query(
-    "band_similarity",
-    f"""WITH {PACKED}, {LONG}, n AS (SELECT target, label, b, row_number() OVER (PARTITION BY target, label ORDER BY doc_id) AS rn
-          FROM long JOIN fb USING (doc_id)),
-        p AS (SELECT a.target, a.label, {_SIM} AS s FROM n a JOIN n b ON a.target = b.target AND a.label = b.label
-          AND b.rn BETWEEN a.rn + 1 AND a.rn + 99)
-        SELECT target, label, {_PAIR_STATS} FROM p WHERE s IS NOT NULL GROUP BY target, label""",
+    "similar_texts_by_class",
+    _similar_sql("target, label", f"WITH {PACKED}, {LONG}, n AS (SELECT target, label, doc_id, b FROM long JOIN fb USING (doc_id))"),
 )
-def band_similarity(spark, sf_dir):
-    joined = known_labels(spark, sf_dir).join(fingerprints(spark, sf_dir), "doc_id")
-    out = B.band_similarity(joined, ["target", "label"], "doc_id", "bits", K.N_BITS)
-    return rounded(out, "mean_similarity", digits=9)
+def similar_texts_by_class(spark, sf_dir):
+    """All pairs of similar texts of each class."""
+    out = B.similar_rows(_labelled_bits(spark, sf_dir), ["target", "label"], "bits", K.N_BITS)
+    return rounded(out, "max_similarity", digits=9)
 
 
 @query(
-    "cross_similarity",
-    f"""WITH {PACKED}, {LONG}, n AS (SELECT target, label, b, row_number() OVER (PARTITION BY target, label ORDER BY doc_id) AS rn
-          FROM long JOIN fb USING (doc_id)),
-        p AS (SELECT a.target, {_SIM} AS s FROM n a JOIN n b ON a.target = b.target AND a.label = 1 AND b.label = 0
-          AND a.rn <= 100 AND b.rn <= 100)
-        SELECT target, {_PAIR_STATS} FROM p WHERE s IS NOT NULL GROUP BY target""",
+    "similar_texts_across_classes",
+    _similar_sql("target", f"WITH {PACKED}, {LONG}, n AS (SELECT target, label, doc_id, b FROM long JOIN fb USING (doc_id))", "AND a.label <> b.label"),
 )
-def cross_similarity(spark, sf_dir):
-    joined = known_labels(spark, sf_dir).join(fingerprints(spark, sf_dir), "doc_id")
-    out = B.cross_similarity(joined, ["target"], "label", "doc_id", "bits", K.N_BITS)
-    return rounded(out, "mean_similarity", digits=9)
+def similar_texts_across_classes(spark, sf_dir):
+    """All pairs of similar texts with different labels."""
+    out = B.similar_rows(_labelled_bits(spark, sf_dir), ["target"], "bits", K.N_BITS, side="label")
+    return rounded(out, "max_similarity", digits=9)
 
 
 @query(

@@ -57,12 +57,3 @@ def materialise(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal a table of few file splits over all cores before costly expressions.
-
-    A large table has more splits than cores and is left alone, so nothing is shuffled there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -30,7 +30,7 @@ SOME = (
     "fold_standardised_features",
     "synthetic_minority_rows",
     "token_fingerprints",
-    "band_similarity",
+    "similar_texts_across_classes",
     "entity_profile",
     "record_scan",
     "top_cluster_by_target",
@@ -60,6 +60,6 @@ def test_every_sql_has_a_query():
 
 
 def test_no_query_joins_without_a_key(spark):
-    for name in ("groups_by_activity", "box_table_by_class", "group_folds", "sample_similarity", "nearest_rows_in_class"):
+    for name in ("groups_by_activity", "box_table_by_class", "group_folds", "similar_texts_by_language", "nearest_rows_in_class"):
         plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan

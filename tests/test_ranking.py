@@ -78,7 +78,7 @@ def test_scan_numbers_are_contiguous(spark, tmp_path):
 def test_joins_keep_every_row(spark, skewed, monkeypatch):
     keyed = skewed.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     plain = skewed.join(keyed, "v")
-    assert rows(join_keyed(skewed, keyed, "v", "n", 6000), "id", "first") == rows(plain, "id", "first")
+    assert rows(join_keyed(skewed, keyed, ["v"], "n", 6000), "id", "first") == rows(plain, "id", "first")
     assert rows(join_small(skewed, keyed, ["v"]), "id", "first") == rows(plain, "id", "first")
     monkeypatch.setattr("screenspark.operators.joins.SMALL_ROWS", 3)
     assert rows(join_small(skewed, keyed, ["v"]), "id", "first") == rows(plain, "id", "first")

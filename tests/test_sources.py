@@ -105,6 +105,8 @@ def test_progress_is_kept_per_target(spark, tmp_path):
     writers.write_progress(spark, path, "r", ["a"])
     assert rows(writers.read_progress(spark, path, "r"), "target") == [("NR-B/x",), ("a",)]
     assert writers.read_progress(spark, path, "other").count() == 0
+    writers.write_progress(spark, path, "other", ["a"])
+    assert rows(writers.read_progress(spark, path), "run_id", "target") == [("other", "a"), ("r", "NR-B/x"), ("r", "a")]
 
 
 def test_partitions_are_replaced_not_doubled(spark, tmp_path):

@@ -70,14 +70,14 @@ def sets(spark):
     return spark.createDataFrame(data, "id long, g string, y int, bits array<int>")
 
 
-def expect(pairs):
-    found = [t for a, b in pairs if (t := tanimoto(a, b)) is not None]
+def expect(rows, pairs):
+    found = [(i, j, t) for i, j in pairs if (t := tanimoto(rows[i], rows[j])) is not None and t >= 0.8]
+    partners = {x for i, j, _ in found for x in (i, j)}
     return {
-        "n_pairs": len(found),
-        "max_similarity": max(found),
-        "min_similarity": min(found),
-        "n_similar": sum(t >= 0.8 for t in found),
-        "mean_similarity": pytest.approx(sum(found) / len(found)),
+        "n_rows": len(rows),
+        "n_with_partner": len(partners),
+        "n_similar": len(found),
+        "max_similarity": pytest.approx(max(t for _, _, t in found)) if found else None,
     }
 
 
@@ -85,30 +85,38 @@ def stats(df):
     return {k: v for k, v in df.first().asDict().items() if k != "g"}
 
 
-@pytest.mark.parametrize("block", [99, 100, 1000])
-def test_band_equals_brute_force(sets, block):
-    rows = [r["bits"] for r in sets.orderBy("id").collect()]
-    pairs = [(rows[i], rows[j]) for i in range(205) for j in range(i + 1, min(i + 100, 205))]
-    assert len(pairs) == 15345
-    assert stats(B.band_similarity(sets, ["g"], "id", "bits", 64, block=block)) == expect(pairs)
-    with pytest.raises(ValueError):
-        B.band_similarity(sets, ["g"], "id", "bits", 64, block=50)
+@pytest.fixture(scope="module")
+def close_sets(spark):
+    """Sets of 20 to 30 bits, most of them a few bits away from others, some equal, some empty."""
+    import random
+
+    draw = random.Random(4)
+    data = []
+    for i in range(240):
+        base = random.Random(i % 11)
+        bits = set(base.sample(range(64), base.randint(20, 30)))
+        bits ^= set(draw.sample(range(64), draw.choice([0, 0, 1, 2, 4])))
+        data.append((i, "g", draw.choice([0, 1, 1]), sorted(bits) if i % 20 else []))
+    return spark.createDataFrame(data, "id long, g string, y int, bits array<int>")
 
 
-def test_sample_equals_brute_force_on_a_small_group(sets):
-    rows = [r["bits"] for r in sets.collect()]
-    assert stats(B.sample_similarity(sets, ["g"], "id", "bits", 64)) == expect(combinations(rows, 2))
-    assert B.sample_rows(sets, ["g"], "id", 50).count() == 50
-    sampled = B.sample_similarity(sets, ["g"], "id", "bits", 64, sample=20).first()
-    assert sampled["n_pairs"] <= 190
+@pytest.mark.parametrize("block", [7, 1024])
+@pytest.mark.parametrize("name", ["sets", "close_sets"])
+def test_similar_rows_equal_brute_force(request, name, block):
+    df = request.getfixturevalue(name)
+    local = df.orderBy("id").collect()
+    rows = [r["bits"] for r in local]
+    every = list(combinations(range(len(rows)), 2))
+    assert stats(B.similar_rows(df, ["g"], "bits", 64, block=block)) == expect(rows, every)
+    crossing = [(i, j) for i, j in every if local[i]["y"] != local[j]["y"]]
+    assert stats(B.similar_rows(df, ["g"], "bits", 64, side="y", block=block)) == expect(rows, crossing)
 
 
-def test_cross_equals_brute_force(sets):
-    rows = sets.orderBy("id").collect()
-    one = [r["bits"] for r in rows if r["y"] == 1][:30]
-    zero = [r["bits"] for r in rows if r["y"] == 0][:30]
-    got = stats(B.cross_similarity(sets, ["g"], "y", "id", "bits", 64, per_side=30))
-    assert got == expect([(a, b) for a in one for b in zero])
+def test_similar_rows_of_unusual_tables(spark):
+    df = spark.createDataFrame([(None, [1, 2]), (None, [1, 2]), ("b", None), ("c", [])], "g string, bits array<int>")
+    rows = {r["g"]: tuple(r)[1:] for r in B.similar_rows(df, ["g"], "bits", 8).collect()}
+    assert rows == {None: (2, 2, 1, 1.0), "c": (1, 0, 0, None)}
+    assert B.similar_rows(df.limit(0), ["g"], "bits", 8).count() == 0
 
 
 def test_bit_profile(spark):
@@ -118,10 +126,3 @@ def test_bit_profile(spark):
     assert rows["b"]["density"] == 0 and rows["b"]["used_bits"] == 0 and rows["b"]["n_rows"] == 1
     freq = {(r["g"], r["bit"]): r["n_rows"] for r in B.bit_frequency(df, ["g"], "bits").collect()}
     assert freq == {("a", 0): 2, ("a", 1): 1, ("a", 2): 1}
-
-
-def test_only_bounded_groups_reach_one_task(spark):
-    df = spark.range(5000).select("id", F.lit("g").alias("g"), F.array((F.col("id") % 9).cast("int")).alias("bits"))
-    sampled = B.sample_rows(df, ["g"], "id", 100)
-    plan = sampled._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
