@@ -19,6 +19,7 @@ MODULES = (
     "tokens",
     "storing",
     "modelling",
+    "unknowns",
 )
 
 
