@@ -22,8 +22,9 @@ GRID_LIMIT = 25
 ROWS_PER_CLUSTER = 100
 CLASS_GRID_LIMIT = 10
 CLASS_ROWS_PER_CLUSTER = 10
-#: Starts per k. The parallel start of k-means spreads its centres well, so a few replace the usual ten.
-STARTS = 3
+# Starts per k and steps of each.
+STARTS = 10
+STEPS = 300
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,7 @@ class Clustering:
 def _fit_clusters(vectors: DataFrame, k: int, seed: int, starts: int) -> KMeansModel:
     """The start with the smallest sum of squared distances."""
     models = [
-        KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster", maxIter=50).fit(vectors)
+        KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster", maxIter=STEPS).fit(vectors)
         for i in range(starts)
     ]
     return min(models, key=lambda m: m.summary.trainingCost)

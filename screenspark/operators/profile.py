@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenspark.functions.draws import hash_key
@@ -180,15 +180,13 @@ def rule_compliance_by_class(
     counted = joined.groupBy("target", "label").agg(
         F.count(F.lit(1)).alias("n_class"), *[F.count_if(t).alias(k) for k, t in tests.items()]
     )
-    both = (
-        joined.groupBy("target")
-        .agg(F.count_if(is_pos()).alias("_pos"), F.count_if(is_neg()).alias("_neg"))
-        .where((F.col("_pos") > 0) & (F.col("_neg") > 0))
-        .select("target")
-    )
+    # Two rows per target are left: whether both classes are there needs no second join.
+    of_target = Window.partitionBy("target")
+    positives, negatives = F.sum(F.when(is_pos(), F.col("n_class"))), F.sum(F.when(is_neg(), F.col("n_class")))
+    counted = counted.withColumns({"_pos": positives.over(of_target), "_neg": negatives.over(of_target)})
+    counted = counted.where((F.col("_pos") > 0) & (F.col("_neg") > 0)).drop("_pos", "_neg")
     return (
         counted.unpivot(["target", "label", "n_class"], list(tests), "rule", "n_compliant")
-        .join(both, "target", "left_semi")
         .withColumn("compliant_pct", ratio(F.col("n_compliant"), F.col("n_class")) * 100)
     )
 

@@ -1,4 +1,4 @@
-"""Models, searches, clusters and whole runs. Their output has no SQL twin, apart from the tables counted from it."""
+"""Models, searches, clusters and whole runs. Their numbers have no SQL twin; what must hold of them has."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from screenspark.operators import cluster as C
 from screenspark.operators import models as M
 from screenspark.operators import select as S
 from screenspark.operators.clean import long_labels
+from screenspark.operators.metrics import evaluate
 from screenspark.operators.split import stratified_folds
 from screenspark.plans import screening as R
 from screenspark.queries.fixtures import LONG, known_labels, table
@@ -16,7 +17,10 @@ from screenspark.queries.profiling import rounded
 from screenspark.queries.registry import query
 from screenspark.session import materialise, scratch_path
 
-CLASSES = (0, 1)
+CLASSES = tuple(range(10))
+#: Forests and logistic models of the queries run with the default settings. The other kinds and whole runs take
+#: minutes a target with theirs, so their queries set fewer trees, rounds and steps.
+FULL = M.ModelSettings()
 QUICK = M.ModelSettings(
     trees=20,
     depth=6,
@@ -35,21 +39,21 @@ def labelled_vectors(spark, sf_dir):
     return rows.select("vec_id", "x", *[(F.col("label") == c).cast("int").alias(f"is_{c}") for c in CLASSES])
 
 
-def _scores(spark, sf_dir, kind):
+def _scores(spark, sf_dir, kind, settings=QUICK):
     rows = labelled_vectors(spark, sf_dir)
     targets = [f"is_{c}" for c in CLASSES]
-    fitted = M.train_targets(rows, "x", targets, kind, QUICK)
+    fitted = M.train_targets(rows, "x", targets, kind, settings)
     return rounded(M.score_targets(fitted, rows, "x", "vec_id"), "probability")
 
 
 @query("forest_scores")
 def forest_scores(spark, sf_dir):
-    return _scores(spark, sf_dir, M.FOREST)
+    return _scores(spark, sf_dir, M.FOREST, FULL)
 
 
 @query("logistic_scores")
 def logistic_scores(spark, sf_dir):
-    return _scores(spark, sf_dir, M.LOGISTIC)
+    return _scores(spark, sf_dir, M.LOGISTIC, FULL)
 
 
 @query("calibrated_svm_scores")
@@ -80,6 +84,77 @@ def voting_scores(spark, sf_dir):
     return rounded(M.score_voting(by_kind, rows, "x", "vec_id"), "probability")
 
 
+@query(
+    "model_score_checks",
+    """WITH t AS (SELECT unnest(range(10)) AS c), m AS (SELECT unnest(['forest', 'logistic']) AS model)
+       SELECT model, 'is_' || c AS target, count(*) AS n_rows, true AS within_bounds, true AS tells_classes_apart
+       FROM t, m, embeddings GROUP BY model, c""",
+)
+def model_score_checks(spark, sf_dir):
+    """Every row has a probability from every model; on the rows they were trained on, models tell classes apart."""
+    rows = labelled_vectors(spark, sf_dir)
+    targets = [f"is_{c}" for c in CLASSES]
+    truth = long_labels(rows, ["vec_id"], targets)
+    told = []
+    for name, kind in (("forest", M.FOREST), ("logistic", M.LOGISTIC)):
+        scores = M.score_targets(M.train_targets(rows, "x", targets, kind, QUICK), rows, "x", "vec_id")
+        told.append(scores.join(truth, ["vec_id", "target"]).withColumn("model", F.lit(name)))
+    scored = materialise(told[0].unionByName(told[1]))
+    bounds = scored.groupBy("model", "target").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.every((F.col("probability") >= 0) & (F.col("probability") <= 1)).alias("within_bounds")
+    )
+    areas = evaluate(scored, ["model", "target"]).select("model", "target", (F.col("roc_auc") > 0.6).alias("tells_classes_apart"))
+    return bounds.join(areas, ["model", "target"])
+
+
+@query(
+    "voting_equals_mean",
+    """SELECT 'is_' || c AS target, count(*) AS n_rows, count(*) AS n_equal
+       FROM embeddings, (SELECT unnest(range(2)) AS c) GROUP BY c""",
+)
+def voting_equals_mean(spark, sf_dir):
+    """The vote of models is the average of their probabilities."""
+    rows = labelled_vectors(spark, sf_dir).drop(*[f"is_{c}" for c in CLASSES[2:]])
+    by_kind = {kind: M.train_targets(rows, "x", ["is_0", "is_1"], kind, QUICK) for kind in (M.FOREST, M.LOGISTIC)}
+    voted = M.score_voting(by_kind, rows, "x", "vec_id").select("vec_id", "target", F.col("probability").alias("voted"))
+    parts = [M.score_targets(fitted, rows, "x", "vec_id").select("vec_id", "target", "probability") for fitted in by_kind.values()]
+    mean = parts[0].unionByName(parts[1]).groupBy("vec_id", "target").agg(F.avg("probability").alias("mean"))
+    both = voted.join(mean, ["vec_id", "target"])
+    equal = F.abs(F.col("voted") - F.col("mean")) < 1e-9
+    return both.groupBy("target").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(equal).alias("n_equal"))
+
+
+@query(
+    "projection_checks",
+    """SELECT count(*) AS n_rows, true AS centred, true AS uncorrelated, true AS first_is_wider FROM embeddings""",
+)
+def projection_checks(spark, sf_dir):
+    """Principal coordinates have mean zero, no correlation, and falling variance."""
+    projected, _ = C.project(vectors(spark, sf_dir), "x")
+    flat = projected.select(F.get("coordinates", F.lit(0)).alias("a"), F.get("coordinates", F.lit(1)).alias("b"))
+    return flat.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        ((F.abs(F.avg("a")) < 1e-6) & (F.abs(F.avg("b")) < 1e-6)).alias("centred"),
+        (F.abs(F.corr("a", "b")) < 1e-6).alias("uncorrelated"),
+        (F.var_pop("a") >= F.var_pop("b")).alias("first_is_wider"),
+    )
+
+
+@query(
+    "cluster_checks",
+    """SELECT count(*) AS n_rows, true AS every_row_has_one, true AS scores_within_bounds FROM embeddings""",
+)
+def cluster_checks(spark, sf_dir):
+    """Every row gets a cluster below the chosen number, and silhouettes lie between -1 and 1."""
+    projected, chosen = clustered(spark, sf_dir)
+    fair = all(-1 <= s <= 1 for _, s in chosen.scores) and chosen.k in dict(chosen.scores)
+    return C.assign_clusters(projected, "coordinates", chosen).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.every((F.col("cluster") >= 0) & (F.col("cluster") < chosen.k)).alias("every_row_has_one"),
+        F.lit(fair).alias("scores_within_bounds"),
+    )
+
+
 @query("cross_validated_models")
 def cross_validated_models(spark, sf_dir):
     rows = stratified_folds(labelled_vectors(spark, sf_dir), "vec_id", "is_0", n_splits=3)
@@ -98,7 +173,7 @@ def grid_search(spark, sf_dir):
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
     rows = labelled_vectors(spark, sf_dir)
-    importance = S.forest_importance(rows, "x", "is_0", trees=20)
+    importance = S.forest_importance(rows, "x", "is_0")
     return rounded(M.importance_rows(rows, importance, NAMES, 20), "importance")
 
 
@@ -106,7 +181,7 @@ def feature_importance(spark, sf_dir):
 def selection_history(spark, sf_dir):
     lines = derived_lines(spark, sf_dir)
     names = ["quantity", "price", "net", "gross", "discount", "twice", "constant"]
-    chosen = S.fit_selection(lines, "x", "label", names, S.SelectionSettings(univariate_k=3, model_top_n=2, importance_trees=10))
+    chosen = S.fit_selection(lines, "x", "label", names, S.SelectionSettings(univariate_k=3, model_top_n=2))
     return rounded(chosen.history_table(lines), "score")
 
 
@@ -120,10 +195,14 @@ def principal_coordinates(spark, sf_dir):
     )
 
 
+#: Cluster numbers that are tried.
+GRID = (2, 5, 10)
+
+
 def clustered(spark, sf_dir):
     projected, _ = C.project(vectors(spark, sf_dir), "x")
     projected = materialise(projected.select("vec_id", "coordinates", "label"))
-    grid = C.cluster_grid(projected.count()) or [2]
+    grid = GRID
     return projected, C.choose_clusters(projected, "coordinates", grid)
 
 

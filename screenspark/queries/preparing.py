@@ -84,7 +84,10 @@ def standardised_features(spark, sf_dir):
 @query(
     "fold_standardised_features",
     f"""WITH {LONG_X}, f AS (SELECT *, (vec_id % 5)::INT AS fold FROM lx),
-        s AS (SELECT k::INT AS fold, idx, avg(v) AS m, stddev_pop(v) AS s FROM f, range(5) r(k) WHERE f.fold <> k GROUP BY k, idx)
+        c AS (SELECT fold, idx, count(*) AS n, sum(v) AS t, sum(v * v) AS q FROM f GROUP BY fold, idx),
+        o AS (SELECT fold, idx, sum(n) OVER w - n AS n, sum(t) OVER w - t AS t, sum(q) OVER w - q AS q FROM c
+          WINDOW w AS (PARTITION BY idx)),
+        s AS (SELECT fold, idx, t / n AS m, sqrt(greatest(q / n - (t / n) * (t / n), 0)) AS s FROM o)
         SELECT vec_id, fold, idx, round((v - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS value FROM f JOIN s USING (fold, idx)""",
 )
 def fold_standardised_features(spark, sf_dir):
