@@ -28,6 +28,8 @@ THRESHOLD = 0.93
 TABLES, PROJECTIONS, WIDTH, SEED = 32, 10, 2.0, 11
 #: Vectors of a bucket compared with as many others in one group.
 BLOCK = 1024
+#: Groups up to this size are compared many at a time, larger ones each by a matrix product.
+SMALL = 48
 
 
 def cell_keys(unit: np.ndarray, labels: np.ndarray, tables: int = TABLES) -> np.ndarray:
@@ -55,41 +57,79 @@ def _hash_frames(tables: int):
     return of_frames
 
 
+def _cosine_at_least(a: np.ndarray, b: np.ndarray, threshold: float, cosines: np.ndarray) -> np.ndarray:
+    """Which pairs of rows reach the threshold; close calls are settled by one fixed order of summation."""
+    near = cosines >= threshold
+    for k in np.flatnonzero(np.abs(cosines - threshold) < 1e-12):
+        near[k] = float(np.dot(a[k], b[k])) >= threshold
+    return near
+
+
+def _small_groups(unit: np.ndarray, keys: np.ndarray, t: np.ndarray, group: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (x, y) of rows within groups of adjacent rows: row after row with the first, second, ... row below."""
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    x = np.arange(len(group))
+    for step in range(1, len(group)):
+        x = x[x + step < len(group)]
+        x = x[group[x] == group[x + step]]
+        if not len(x):
+            break
+        for part in np.array_split(x, -(-len(x) // BLOCK)):
+            y = part + step
+            near = _cosine_at_least(unit[part], unit[y], threshold, np.einsum("ij,ij->i", unit[part], unit[y]))
+            a, b = part[near], y[near]
+            met = (keys[a] == keys[b]) & (np.arange(keys.shape[1]) < t[a][:, None])
+            first = ~met.any(axis=1)
+            xs.append(a[first])
+            ys.append(b[first])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _block_pair(unit: np.ndarray, keys: np.ndarray, t: int, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (x, y) of rows a with rows b, each pair once."""
+    cosines = unit[a] @ unit[b].T
+    x, y = np.nonzero(cosines >= threshold - 1e-12)
+    if len(a) == len(b) and (a == b).all():
+        x, y = x[x < y], y[x < y]
+    near = np.ones(len(x), bool)
+    for at in range(0, len(x), BLOCK * 64):
+        part = slice(at, at + BLOCK * 64)
+        of_x, of_y = a[x[part]], b[y[part]]
+        near[part] = _cosine_at_least(unit[of_x], unit[of_y], threshold, cosines[x[part], y[part]])
+        for earlier in range(t):
+            near[part] &= keys[of_x, earlier] != keys[of_y, earlier]
+    return a[x[near]], b[y[near]]
+
+
 def _compare(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     """Rows (node, links, other): partial link counts, and edges to one other member of the forest."""
-    for frame in sorted_runs(frames, ["t", "key", "i", "j"]):
-        frame = frame.assign(length=frame["unit"].str.len())
-        group = frame.groupby(["t", "key", "i", "j", "length"], sort=False).indices
-        for (t, _, i, j, _), rows in group.items():
-            part = frame.iloc[rows]
-            unit = np.stack([np.frombuffer(u, np.float64) for u in part["unit"]])
-            keys = np.stack(part["keys"].to_list())
-            side = part["side"].to_numpy()
-            a = np.flatnonzero(side == 0)
-            b = a if i == j else np.flatnonzero(side == 1)
-            if not len(a) or not len(b):
-                continue
-            near = unit[a] @ unit[b].T >= threshold
-            edge = np.abs(unit[a] @ unit[b].T - threshold) < 1e-12
-            for x, y in zip(*np.nonzero(edge)):  # the sum order of a matrix product must not decide
-                near[x, y] = float(np.dot(unit[a[x]], unit[b[y]])) >= threshold
-            if i == j:
-                np.fill_diagonal(near, False)
-            for earlier in range(t):
-                near &= keys[a, earlier][:, None] != keys[b, earlier][None, :]
-            if not near.any():
+    key = ["t", "key", "i", "j"]
+    for whole in sorted_runs(frames, key):
+        for _, frame in whole.groupby(whole["unit"].str.len(), sort=False):  # vectors of one length
+            unit = np.frombuffer(b"".join(frame["unit"]), np.float64).reshape(len(frame), -1)
+            keys, t = np.stack(frame["keys"].to_list()), frame["t"].to_numpy()
+            group = frame.groupby(key, sort=False).ngroup().to_numpy()
+            size = np.bincount(group)
+            inside = (frame["i"] == frame["j"]).to_numpy()
+            small = np.flatnonzero((size[group] <= SMALL) & inside)
+            x, y = _small_groups(unit[small], keys[small], t[small], group[small], threshold)
+            pairs = [(small[x], small[y])]
+            for g in np.unique(group[(size[group] > SMALL) | ~inside]):
+                rows = np.flatnonzero(group == g)
+                side = frame["side"].to_numpy()[rows]
+                a = rows[side == 0]
+                pairs.append(_block_pair(unit, keys, int(t[rows[0]]), a, a if inside[rows[0]] else rows[side == 1], threshold))
+            x, y = (np.concatenate(p) for p in zip(*pairs))
+            if not len(x):
                 continue
-            nodes, n = part["node"].to_numpy(), part["n"].to_numpy()
-            links = [(nodes[a], near @ n[b])]
-            if i != j:
-                links.append((nodes[b], near.T @ n[a]))
-            for of, counts in links:
-                some = counts > 0
-                yield pd.DataFrame({"node": of[some], "links": counts[some], "other": pd.array([None] * int(some.sum()), "Int64")})
-            # Forest: first partner of every row, then rows that share a partner are tied through it.
-            x, y = np.nonzero(near)
-            ends = _forest(a[x], b[y], len(part))
-            yield pd.DataFrame({"node": nodes[ends[0]], "links": np.zeros(len(ends[0]), np.int64), "other": pd.array(nodes[ends[1]], "Int64")})
+            nodes, n = frame["node"].to_numpy(), frame["n"].to_numpy()
+            links = np.zeros(len(frame), np.int64)
+            np.add.at(links, x, n[y])
+            np.add.at(links, y, n[x])
+            some = links > 0
+            yield pd.DataFrame({"node": nodes[some], "links": links[some], "other": pd.array([None] * int(some.sum()), "Int64")})
+            member, root = _forest(x, y, len(frame))
+            yield pd.DataFrame({"node": nodes[member], "links": np.zeros(len(member), np.int64), "other": pd.array(nodes[root], "Int64")})
 
 
 def _forest(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -28,9 +28,23 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_against_all_pairs(spark, monkeypatch, block):
+def test_large_group_equals_small_steps():
+    draw = np.random.default_rng(8)
+    unit = draw.standard_normal((1, 24)) + 0.3 * draw.standard_normal((300, 24))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    keys = draw.integers(0, 3, (300, 6))
+    rows = np.arange(300)
+    one = embedding_links._small_groups(unit, keys, np.full(300, 2), np.zeros(300, int), 0.93)
+    other = embedding_links._block_pair(unit, keys, 2, rows, rows, 0.93)
+    cosines = unit @ unit.T
+    expected = {(i, j) for i in rows for j in rows if i < j and cosines[i, j] >= 0.93 and not (keys[i, :2] == keys[j, :2]).any()}
+    assert set(zip(*map(list, one))) == set(zip(*map(list, other))) == expected and len(expected) > 100
+
+
+@pytest.mark.parametrize("block, small", [(1024, 48), (4, 48), (1024, 1), (4, 1)])
+def test_against_all_pairs(spark, monkeypatch, block, small):
     monkeypatch.setattr(embedding_links, "BLOCK", block)
+    monkeypatch.setattr(embedding_links, "SMALL", small)
     draw = np.random.default_rng(5)
     rows, n = [], 0
     for group in range(12):
