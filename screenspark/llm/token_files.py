@@ -13,6 +13,7 @@ that runs again after a lost executor replaces its own part.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,16 +21,20 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from screenspark.llm.common import give_back
 from screenspark.session import scratch_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-#: Words whose ids a task keeps, and characters of text that it handles at a time.
-KEPT_WORDS, CHARS_AT_ONCE = 400_000, 4_000_000
+#: Pieces of words whose ids a task keeps, and characters of text that it handles at a time.
+KEPT_PIECES, CHARS_AT_ONCE = 700_000, 8_000_000
 
 #: For every control byte and each of its four numbers: which of four data bytes are there.
 PRESENT = np.array([[[byte <= control >> 2 * k & 3 for byte in range(4)] for k in range(4)] for control in range(256)])
@@ -54,8 +59,18 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return numbers.reshape(-1).view("<u4")
 
 
+#: What the tokenizer's own first step cuts lower-case text into.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_WORD_END = "</w>"
+
+
 class WordBpe:
-    """Encodes with a tokenizer file that drops white space, so that a text's ids are those of its words in a row."""
+    """Encodes with a tokenizer file that drops white space and marks the last token of a word.
+
+    A text's ids are those of its words in a row. Words are cut at spaces and counted as distinct ones; each distinct
+    word is cut into the tokenizer's own pieces, and pieces not seen before are encoded by the library, many at a time:
+    the marked tokens tell them apart.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
@@ -64,27 +79,73 @@ class WordBpe:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        for token, k in self.library.get_vocab().items():
+            self.ends[k] = token.endswith(_WORD_END)
+        # Two bytes hold an id of a vocabulary this small, which halves what is written and shuffled.
+        self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
         self.kept: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of every text, in order, as little-endian unsigned 32-bit integers."""
+    def pieces(self, word: str) -> list[str] | None:
+        """Pieces of a word, lower-case; None if the library should see the whole word."""
+        if not word.isascii():
+            word = unicodedata.normalize("NFC", word)
+            if "\u03a3" in word:  # lower-cased by its neighbours in Python, alone in the library
+                return None
+        if "<|" in word:  # perhaps a special token
+            return None
+        word = word.lower()
+        return [word] if word.isalpha() else _PIECE.findall(word)
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces and keep their ids."""
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):  # a piece that the library cuts further
+                each = self.library.encode_batch_fast(part, add_special_tokens=False)
+                self.kept.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, each))
+                continue
+            raw, width = ids.tobytes(), self.kind.itemsize
+            starts = [0, *(stops[:-1] * width).tolist()]
+            self.kept.update((p, raw[a:b]) for p, a, b in zip(part, starts, (stops * width).tolist()))
+
+    def encode(self, texts: list[str]) -> Iterator[list[bytes]]:
+        """Ids of every text, in order, as little-endian numbers of ``kind``, in lists of some texts."""
         start = 0
         while start < len(texts):
             end, chars = start, 0
             while end < len(texts) and (end == start or chars + len(texts[end]) <= CHARS_AT_ONCE):
                 chars += len(texts[end])
                 end += 1
-            cut = [t.split(" ") for t in texts[start:end]]
-            if len(self.kept) > KEPT_WORDS:
-                self.kept.clear()
-            kept = self.kept
-            new = list({word for words in cut for word in words if word not in kept})
-            found = self.library.encode_batch_fast(new, add_special_tokens=False)
-            kept.update((word, np.array(e.ids, "<u4").tobytes()) for word, e in zip(new, found))
-            for words in cut:
-                yield b"".join([kept[w] for w in words])
+            words = pc.split_pattern(pa.array(texts[start:end], pa.large_string()), " ")
+            coded = words.flatten().dictionary_encode()
+            yield self._joined(coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.diff(words.offsets.to_numpy()))
             start = end
 
+    def _joined(self, distinct: list[str], place: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        if len(self.kept) > KEPT_PIECES:
+            self.kept.clear()
+        kept = self.kept
+        cut = [self.pieces(w) for w in distinct]
+        self._learn(list({p for pieces in cut if pieces is not None for p in pieces if p not in kept}))
+        odd = iter(self.library.encode_batch_fast([w for w, c in zip(distinct, cut) if c is None], add_special_tokens=False))
+        of_word = [
+            np.array(next(odd).ids, self.kind).tobytes() if c is None else kept[c[0]] if len(c) == 1 else b"".join([kept[p] for p in c])
+            for c in cut
+        ]
+        # All words in a row: the ids of the distinct words, gathered by their places.
+        flat = np.frombuffer(b"".join(of_word), self.kind)
+        size = np.array([len(x) for x in of_word], np.int64) // self.kind.itemsize
+        first = np.cumsum(size) - size
+        n = size[place]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(first[place] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        raw, width = ids.tobytes(), self.kind.itemsize
+        after = np.concatenate([[0], ends])[np.cumsum(lengths)] * width
+        return [raw[a:b] for a, b in zip([0, *after[:-1].tolist()], after.tolist())]
+
 
 @lru_cache(maxsize=4)
 def word_bpe(path: str) -> WordBpe:
@@ -95,23 +156,25 @@ def _ids(documents: DataFrame, id_column: str, text: str, path: str, end_id: int
     """(id, crc, ids): raw ids of each whole text and the end id; crc orders rows of equal id."""
 
     def of_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, end = word_bpe(path), np.array([end_id], "<u4").tobytes()
+        coder = word_bpe(path)
+        end = np.array([end_id], coder.kind).tobytes()
         for frame in frames:
-            ids = [x + end for x in coder.encode(["" if t is None else t for t in frame["t"]])]
-            yield pd.DataFrame({"id": frame["id"], "crc": [zlib.crc32(x) for x in ids], "ids": ids})
+            at = 0
+            for part in coder.encode(["" if t is None else t for t in frame["t"]]):
+                ids = [x + end for x in part]
+                here = frame["id"].iloc[at : at + len(ids)].reset_index(drop=True)
+                yield pd.DataFrame({"id": here, "crc": [zlib.crc32(x) for x in ids], "ids": ids})
+                at += len(ids)
+        give_back()
 
     kept = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).alias("t"))
     return kept.mapInPandas(of_frames, "id bigint, crc bigint, ids binary")
 
 
-def _frequencies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(0, np.int64)
+def _frequencies(frames: Iterator[pd.DataFrame], kind: np.dtype, size: int) -> Iterator[pd.DataFrame]:
+    total = np.zeros(size, np.int64)
     for frame in frames:
-        for x in frame["ids"]:
-            here = np.bincount(np.frombuffer(x, "<u4"))
-            if len(here) > len(total):
-                total = np.concatenate([total, np.zeros(len(here) - len(total), np.int64)])
-            total[: len(here)] += here
+        total += np.bincount(np.frombuffer(b"".join(frame["ids"]), kind), minlength=size)
     some = np.flatnonzero(total)
     yield pd.DataFrame({"token": some, "n": total[some]})
 
@@ -129,10 +192,13 @@ def write_token_file(
     raw_path = scratch_path(spark, "raw-ids")
     _ids(documents, id_column, text, tokenizer, end_id).write.option("compression", "zstd").parquet(raw_path)
     raw = spark.read.parquet(raw_path)
-    counted = raw.select("ids").mapInPandas(_frequencies, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    coder = word_bpe(tokenizer)
+    kind, size = coder.kind, max(len(coder.ends), end_id + 1)
+    counted = raw.select("ids").mapInPandas(lambda frames: _frequencies(frames, kind, size), "token bigint, n bigint")
+    counted = counted.groupBy("token").agg(F.sum("n").alias("n"))
     ranked = counted.orderBy(F.desc("n"), "token").collect()  # the vocabulary bounds it
     spark.createDataFrame([(k, r["token"]) for k, r in enumerate(ranked)], "rank bigint, token bigint").coalesce(1).write.parquet(f"{path}/ranks")
-    rank_of = np.zeros(max([r["token"] for r in ranked], default=-1) + 1, np.uint32)
+    rank_of = np.zeros(size, np.uint32)
     rank_of[[r["token"] for r in ranked]] = np.arange(len(ranked))
 
     def of_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,7 +206,7 @@ def write_token_file(
         for frame in frames:
             out = []
             for doc_id, x in zip(frame["id"].astype("Int64"), frame["ids"]):
-                ids = np.frombuffer(x, "<u4")
+                ids = np.frombuffer(x, kind)
                 control, data = pack(rank_of[ids])
                 out.append((part, before, None if doc_id is pd.NA else doc_id, len(ids), control, data))
                 before += len(ids)
