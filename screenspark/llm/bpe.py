@@ -26,13 +26,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenspark.llm.common import give_back
+
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters up to which a part goes to the library as one piece, and leaves of the tree.
 LONG, LEAF = 8192, 4096
 #: Tokens on each side of the first window, and how many must agree.
 FIRST_WINDOW, AGREE = 16, 2
 #: Parts whose ids a task keeps, and characters of text that it handles at a time.
-KEPT_PARTS, CHARS_AT_ONCE = 400_000, 4_000_000
+KEPT_PARTS, CHARS_AT_ONCE = 300_000, 3_000_000
 
 _SPACE_CUT = re.compile(r"(?<=\S)(?= \S)")
 _ODD_SPACE = re.compile(r"\s | \s|^ | $")
@@ -129,6 +131,11 @@ class ByteLevelBpe:
         """Whether the token begins inside a character."""
         return self.pieces[token][0] & 0xC0 == 0x80
 
+    def forget(self) -> None:
+        """Drop the kept ids at the end of a task."""
+        self.kept.clear()
+        give_back()
+
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.pieces[k] for k in ids]).decode("utf-8", "replace")
 
@@ -146,6 +153,7 @@ def encoded(documents: DataFrame, id_column: str = "doc_id", text: str = "text",
         for frame in frames:
             ids = coder.encode(["" if t is None else t for t in frame["t"]])
             yield pd.DataFrame({"id": frame["id"], "ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]})
+        coder.forget()
 
     kept = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).alias("t"))
     return kept.mapInPandas(of_frames, "id bigint, ids array<int>")
@@ -178,6 +186,7 @@ def round_trip(documents: DataFrame, id_column: str = "doc_id", text: str = "tex
                 sums.append(hashlib.sha256(",".join([coder.decimal[k] for k in ids]).encode()).hexdigest())
                 texts.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
             yield pd.DataFrame({"doc_id": frame["id"], "n_tokens": n, "ids_sha256": sums, "decoded_sha256": texts})
+        coder.forget()
 
     kept = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).alias("t"))
     return kept.mapInPandas(of_frames, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -14,6 +14,7 @@ of its stretch.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenspark.llm.common import id_remainder, unit_draw
+from screenspark.llm.common import give_back, id_remainder, unit_draw
 
 #: Characters of sample text per language (all samples have equal length), the characters one document gives at most,
 #: and the documents fetched per language. These bound what is learned from; every document is judged whole.
@@ -29,7 +30,7 @@ SAMPLE_CHARS, CHARS_PER_DOCUMENT, SAMPLE_DOCUMENTS = 16_000, 400, 200
 #: Labels beyond this are no languages; more of them is an error.
 MAX_LANGUAGES = 200
 STRETCH = 512
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 2_000_000
 UNKNOWN = "und"
 #: Documents with a lower score are rejected by ``accepted``: four languages have at least 0.25 for the best.
 MIN_SCORE = 0.35
@@ -189,11 +190,14 @@ def identified(documents: DataFrame, samples: tuple[tuple[str, str], ...], text:
 
 def _judge(samples: tuple[tuple[str, str], ...]):
     @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        if not samples:
-            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0})
-        names, scores = cross_parser(samples).predict(texts.tolist())
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            if samples:
+                names, scores = cross_parser(samples).predict(texts.tolist())
+                yield pd.DataFrame({"lang_pred": names, "score": scores})
+            else:
+                yield pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0})
+        give_back()
 
     return judge
 

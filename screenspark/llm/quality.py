@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenspark.llm.common import bounded_sample, id_remainder
+from screenspark.llm.common import bounded_sample, give_back, id_remainder
 
 #: Coordinates for words, and latent factors.
 BUCKETS, FACTORS = 1 << 15, 6
@@ -32,7 +32,7 @@ PASSES, LEAST_STEPS, BATCH, RATE, DECAY, SEED = 12, 800, 64, 0.1, 1e-4, 5
 THRESHOLD = 0.7
 #: ``accepted`` rejects only below this: a document of a few words is seldom sure of either class.
 REJECTED_BELOW = 0.4
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 2_000_000
 
 #: Each statistic is cut at these bounds, and every bin is a coordinate.
 SHARES = (0.0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.45, 0.6, 0.8, 0.95)
@@ -248,8 +248,10 @@ def _judge(documents: DataFrame, machine: Machine):
     shared = documents.sparkSession.sparkContext.broadcast(machine)  # WIDTH x (FACTORS + 1) numbers, whatever the data
 
     @F.pandas_udf("double")
-    def judge(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()))
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(shared.value.scores(texts.tolist()))
+        give_back()
 
     return judge
 

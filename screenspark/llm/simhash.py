@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenspark.llm.common import sent_if_small, sorted_runs
+from screenspark.llm.common import give_back, sent_if_small, sorted_runs
 from screenspark.llm.graph import components
 from screenspark.session import materialise
 
@@ -90,6 +90,7 @@ def fingerprints(documents: DataFrame, id_column: str = "doc_id", text: str = "t
         for frame in frames:
             prints = np.array([fingerprint(t, size) for t in frame["t"]], np.uint64)
             yield pd.DataFrame({"id": frame["id"], "mark": frame["mark"], "fp": prints.view(np.int64)})
+        give_back()
 
     kept = documents.select(F.col(id_column).cast("bigint").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("t"))
     return kept.mapInPandas(of_frames, "id bigint, mark bigint, fp bigint")
