@@ -34,7 +34,7 @@ LONG, LEAF = 8192, 4096
 #: Tokens on each side of the first window, and how many must agree.
 FIRST_WINDOW, AGREE = 16, 2
 #: Parts whose ids a task keeps, and characters of text that it handles at a time.
-KEPT_PARTS, CHARS_AT_ONCE = 300_000, 3_000_000
+KEPT_PARTS, CHARS_AT_ONCE = 200_000, 1_500_000
 
 _SPACE_CUT = re.compile(r"(?<=\S)(?= \S)")
 _ODD_SPACE = re.compile(r"\s | \s|^ | $")
