@@ -29,9 +29,10 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 200_000
 
 
-def words_of(text: Column, lowered=ascii_lower) -> Column:
-    """Words of a text with A-Z lowered; NULL has none."""
-    cut = F.split(lowered(F.coalesce(text, F.lit(""))), NOT_WORD)
+def words_of(text: Column) -> Column:
+    """Words of a text with A-Z lowered; NULL has none. Full lowering would not do: what a capital sigma becomes depends
+    on the characters after it, across the ends of words."""
+    cut = F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD)
     return F.filter(cut, lambda w: w != "")
 
 
@@ -66,12 +67,8 @@ def _with_key(documents: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def _indexed(benchmark: DataFrame, item_column: str, item_text: str) -> DataFrame:
-    """(r, item, m, iw, lw): distinct items with words, numbered; iw decides, lw (fully lowered) finds candidates."""
-    items = benchmark.select(
-        F.col(item_column).cast("string").alias("item"),
-        words_of(F.col(item_text)).alias("iw"),
-        words_of(F.col(item_text), F.lower).alias("lw"),
-    )
+    """(r, item, m, iw): distinct items with words, numbered."""
+    items = benchmark.select(F.col(item_column).cast("string").alias("item"), words_of(F.col(item_text)).alias("iw"))
     items = items.where(F.size("iw") > 0).distinct().withColumn("m", F.size("iw"))
     return materialise(items.withColumn("r", F.monotonically_increasing_id()))
 
@@ -81,27 +78,26 @@ def _keyed_overlaps(docs: DataFrame, benchmark: DataFrame, item_column: str, ite
     items = _indexed(benchmark, item_column, item_text)
     short = [r["m"] for r in items.where(F.col("m") < SPAN).select("m").distinct().collect()]  # nine at most
 
-    # The join needs to lose nothing, not to be exact: full lowering is the faster one and keeps equal words equal.
     def tagged(hashes: Column, n: int) -> Column:
         return F.transform(hashes, lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
 
-    lowered = docs.select("__k1", "__k2", words_of(F.col("text"), F.lower).alias("w"))
+    lowered = docs.select("__k1", "__k2", words_of(F.col("text")).alias("w"))
     parts = [tagged(winnowed(F.col("g")), GRAM)]
     parts += [tagged(F.array_distinct(gram_hashes(F.col("w"), n)), -n) for n in short]
     prints = lowered.withColumn("g", gram_hashes(F.col("w"), GRAM))
     prints = prints.select("__k1", "__k2", F.inline(F.concat(*parts)))
-    long_items = items.where(F.col("m") >= SPAN).select("r", gram_hashes(F.col("lw"), GRAM).alias("g"))
+    long_items = items.where(F.col("m") >= SPAN).select("r", gram_hashes(F.col("iw"), GRAM).alias("g"))
     long_items = long_items.select("r", winnowed(F.col("g")).alias("chosen"), F.posexplode("g").alias("q", "h"))
     of_items = long_items.where(F.array_contains("chosen", F.col("h"))).select(F.lit(GRAM).alias("n"), "h", "r", "q")
     for n in short:
-        whole = items.where(F.col("m") == n).select(F.lit(-n).alias("n"), F.get(gram_hashes(F.col("lw"), n), F.lit(0)).alias("h"), "r")
+        whole = items.where(F.col("m") == n).select(F.lit(-n).alias("n"), F.get(gram_hashes(F.col("iw"), n), F.lit(0)).alias("h"), "r")
         of_items = of_items.unionByName(whole.withColumn("q", F.lit(0)))
     found = prints.join(_sent(of_items), ["n", "h"])
     hits = found.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("n", "h", "r", "q")).alias("met"))
 
     # Back to the texts of the documents with a hit: on which diagonals of which items do shared grams lie?
     hit = docs.join(_sent(hits, F.size("met")), ["__k1", "__k2"]).select("__k1", "__k2", "met", "text")
-    hit = hit.withColumn("w", words_of(F.col("text"), F.lower))
+    hit = hit.withColumn("w", words_of(F.col("text")))
 
     def placed(n: int) -> Column:
         grams = gram_hashes(F.col("w"), abs(n))
@@ -119,7 +115,7 @@ def _keyed_overlaps(docs: DataFrame, benchmark: DataFrame, item_column: str, ite
             ),
         )
     )
-    laid = hit.withColumn("w", words_of(F.col("text"))).select("__k1", "__k2", "w", F.inline(F.array_distinct(diagonals)))
+    laid = hit.select("__k1", "__k2", "w", F.inline(F.array_distinct(diagonals)))
     laid = laid.join(_sent(items.select("r", "item", "m", "iw"), F.size("iw")), "r")
 
     # Extend: the runs of equal words along the diagonal that are long enough.

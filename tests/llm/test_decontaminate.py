@@ -81,3 +81,12 @@ def test_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
     assert {r.n_hit for r in decontaminate.contamination(docs, items.limit(0)).collect()} == {0}
+
+
+@pytest.mark.parametrize("separator", [" ", "\n", ":", ".", "'", "-"])
+def test_capital_sigma_before_any_separator(spark, separator):
+    names = "ΝΙΚΟΛΑΟΣ ΕΛΛΑΔΑΣ ΠΑΥΛΟΣ ΟΔΟΣ ΛΟΓΟΣ ΝΟΜΟΣ ΤΟΠΟΣ ΧΡΟΝΟΣ ΔΡΟΜΟΣ ΠΥΡΓΟΣ".split()
+    docs, items = [(1, f"x {separator.join(names)} y")], [(1, " ".join(names)), (2, ":".join(names[:3]))]
+    found = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = [(r.id, 12, sum(s.after - s.first for s in r.spans or []), ",".join(r["items"] or [])) for r in found.collect()]
+    assert got == brute(docs, items) == [(1, 12, 10, "1,2")]
