@@ -4,7 +4,8 @@ A bounded sample of labelled text per language becomes a suffix automaton, which
 the sample. A text is parsed against it into the longest phrases the sample holds: phrase after phrase takes the
 longest match and the next one starts at the character that failed. Text of the sample's language needs few phrases.
 Phrases times the logarithm of the sample's length (the bits of a pointer into it), over the letters parsed, estimate
-the cross entropy; the language with the least wins.
+the cross entropy; the language with the least wins. A character that the sample does not hold costs the same in every
+language, so that a short sample with its short pointers does not win texts it knows nothing of.
 
 Automata are tables of (state, character) steps, so thousands of stretches of text are parsed side by side, one
 character of each per numpy step. A whole text is parsed, in stretches of STRETCH characters: a phrase ends at the end
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from screenspark.llm.common import give_back, id_remainder, unit_draw
 
-#: Characters of sample text per language (all samples have equal length), the characters one document gives at most,
-#: and the documents fetched per language. These bound what is learned from; every document is judged whole.
+#: Characters of sample text per language (fewer only if all its texts hold fewer), the characters one document gives
+#: where there are enough documents, and the documents first fetched per language. These bound what is learned from;
+#: every document is judged whole.
 SAMPLE_CHARS, CHARS_PER_DOCUMENT, SAMPLE_DOCUMENTS = 16_000, 400, 200
 #: Labels beyond this are no languages; more of them is an error.
 MAX_LANGUAGES = 200
@@ -35,6 +37,7 @@ UNKNOWN = "und"
 #: Documents with a lower score are rejected by ``accepted``: four languages have at least 0.25 for the best.
 MIN_SCORE = 0.35
 
+LETTER = r"\p{L}"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -87,6 +90,7 @@ class CrossParser:
                 self.code[ord(c)] = k + 1
         self.bits = np.array([np.log2(max(2, len(text))) for _, text in samples])
         self.tables = [self._table(suffix_automaton(text), letters) for _, text in samples]
+        self.unheld = [np.array([True, *[c not in held for c in letters], False]) for held in (set(text) for _, text in samples)]
 
     def _table(self, steps: list[dict[str, int]], letters: list[str]) -> np.ndarray:
         """Entry (state, code): four times the offset of the next state's row, plus the phrases that ended on the way."""
@@ -107,11 +111,21 @@ class CrossParser:
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """(texts, languages): phrases that each plain text needs."""
-        out = np.zeros((len(texts), len(self.languages)), np.int64)
+        return self._parsed(texts)[0]
+
+    def costs(self, texts: list[str]) -> np.ndarray:
+        """(texts, languages): bits of the phrases; a character that is not in the sample has those of the longest."""
+        phrases, unheld = self._parsed(texts)
+        return phrases * self.bits + unheld * (self.bits.max(initial=0) - self.bits)
+
+    def _parsed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, languages) twice: phrases, and those of them that are a character which is not in the sample (only
+        counted for samples that are shorter than the longest, where it matters)."""
+        out, unheld = np.zeros((2, len(texts), len(self.languages)), np.int64)
         lengths = np.array([len(t) for t in texts], np.int64)
         rows = -(-lengths // STRETCH)
         if not rows.sum():
-            return out
+            return out, unheld
         codes = np.full((int(rows.sum()), STRETCH), self.width - 1, np.int32)
         flat, at = codes.reshape(-1), 0
         for text, r in zip(texts, rows.tolist()):
@@ -128,7 +142,9 @@ class CrossParser:
                 state = step >> 2
             ended += state > 0  # the phrase that is open at the end
             out[:, k] = np.bincount(of_text, ended, len(texts)).astype(np.int64)
-        return out
+            if self.bits[k] < self.bits.max():
+                unheld[:, k] = np.bincount(of_text, self.unheld[k][codes].sum(1), len(texts)).astype(np.int64)
+        return out, unheld
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text. The score is the best language's share of 2 ** (bits saved / 16)."""
@@ -139,7 +155,7 @@ class CrossParser:
                 part.append(plain(texts[start]))
                 chars += len(part[-1])
                 start += 1
-            cost = self.phrases(part) * self.bits
+            cost = self.costs(part)
             best = cost.argmin(1)  # ties: the first language in alphabetical order
             share = 1 / np.exp2(-np.minimum((cost - cost.min(1, keepdims=True)) / 16, 1000)).sum(1)
             names += [self.languages[b] if t else UNKNOWN for b, t in zip(best, part)]
@@ -153,28 +169,56 @@ def cross_parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[tuple[str, str], ...]:
-    """(language, sample text) of every language of the labelled rows, by name; samples are equally long.
+    """(language, sample text) of every language of the labelled rows, by name; samples hold SAMPLE_CHARS characters.
 
-    Rows without a language or letters are left out. About SAMPLE_DOCUMENTS rows per language are fetched, chosen by a
-    hash of the text, so repeated texts are all in or all out and count once.
+    Rows without a language or letters are left out; repeated texts count once. About SAMPLE_DOCUMENTS distinct texts
+    per language are fetched, chosen by a hash of the text; while that is too little, more of them, and longer pieces,
+    until a language has its sample or all of its text is in it.
     """
-    known = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
-    counts = known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    draw = unit_draw(F.lit("language"), F.col("t"))
+    known = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"))
+    known = known.where(F.col("l").isNotNull() & F.col("t").rlike(LETTER)).withColumn("d", draw)
+    texts = known.groupBy("l", "d").agg(F.max(F.length("t")).alias("c"))  # copies fall together before they are dealt
+    counts = texts.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("c")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} different language labels")
-    if not counts:
-        return ()
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], SAMPLE_DOCUMENTS / r["n"])])
-    draw = unit_draw(F.lit("language"), F.col("t"))
-    # Pieces from the middle of the texts: titles and other openings are less typical.
-    piece = F.expr(f"substring(t, greatest(1, cast(length(t) / 2 - {CHARS_PER_DOCUMENT // 2} as int)), {CHARS_PER_DOCUMENT})")
-    chosen = known.where(draw < share[F.col("l")]).select("l", piece.alias("p"), draw.alias("d")).distinct()
-    pieces: dict[str, list[str]] = {}
-    for r in chosen.orderBy("l", "d", "p").collect():
-        if cleaned := plain(r["p"]):
-            pieces.setdefault(r["l"], []).append(cleaned)
-    texts = {name: " ".join(found)[:SAMPLE_CHARS] for name, found in pieces.items()}
-    return tuple(sorted(texts.items()))
+    longest = {r["l"]: r["c"] for r in counts}
+    # Of each language that lacks text: share of its texts, and characters of each.
+    wanted = {r["l"]: (SAMPLE_DOCUMENTS / r["n"], max(CHARS_PER_DOCUMENT, -(-2 * SAMPLE_CHARS // r["n"]))) for r in counts}
+    samples: dict[str, str] = {}
+    while wanted:
+        found = _pieces(known, wanted)
+        short = {}
+        for name, (share, chars) in wanted.items():
+            samples[name] = " ".join(found.get(name, []))[:SAMPLE_CHARS]
+            got = len(samples[name])
+            if got < SAMPLE_CHARS and share < 1:
+                short[name] = (share * max(2.0, 1.5 * SAMPLE_CHARS / max(got, 1)), chars)
+            elif got < SAMPLE_CHARS and chars < longest[name]:
+                short[name] = (share, 4 * chars)
+        wanted = short
+    if empty := sorted(name for name, sample in samples.items() if not sample):
+        raise ValueError(f"no text could be sampled of the languages {', '.join(empty)}")
+    return tuple(sorted(samples.items()))
+
+
+def _pieces(known: DataFrame, wanted: dict[str, tuple[float, int]]) -> dict[str, list[str]]:
+    """Plain pieces of the wanted share of each language's distinct texts, in the order of their draws."""
+    share = F.create_map(*[F.lit(x) for name, (part, _) in wanted.items() for x in (name, float(part))])
+    chars = F.create_map(*[F.lit(x) for name, (_, most) in wanted.items() for x in (name, most)])
+    chosen = known.where(F.col("l").isin(*wanted)).where(F.col("d") < share[F.col("l")]).withColumn("m", chars[F.col("l")])
+    # Pieces from the middle of the texts: titles and other openings are less typical. One without a letter begins at
+    # the text's first letter instead.
+    middle = F.expr("substring(t, greatest(1, cast(length(t) / 2 as int) - cast(m / 2 as int)), m)")
+    piece = F.when(middle.rlike(LETTER), middle).otherwise(F.expr(f"substring(t, regexp_instr(t, '{LETTER.replace(chr(92), chr(92) * 2)}'), m)"))
+    cleaned = F.pandas_udf(lambda p: p.map(plain), "string")
+
+    found: dict[str, list[str]] = {}
+    distinct = chosen.select("l", "d", piece.alias("p")).distinct()
+    for r in distinct.select("l", "d", cleaned("p").alias("p")).orderBy("l", "d", "p").collect():
+        if r["p"]:
+            found.setdefault(r["l"], []).append(r["p"])
+    return found
 
 
 def identified(documents: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "text") -> DataFrame:

@@ -55,3 +55,26 @@ def test_held_out_accuracy(spark):
     held = [r for r in language.document_languages(docs).collect() if r.held_out]
     assert len(held) > 40
     assert sum(truth[r.doc_id] == r.lang_pred for r in held) >= 0.95 * len(held)
+
+
+def test_hot_copies_do_not_starve_their_language(spark):
+    words = {"xx": "lorum kepas vidon malet sorin tuvak".split(), "en": "the cat and dog sleep under old trees".split()}
+    draw = np.random.default_rng(2)
+    rows = [(" ".join(draw.choice(words[lang], 60)), lang) for lang, n in (("xx", 300), ("en", 400)) for _ in range(n)]
+    rows += [("vidon malet " * 10, "xx")] * 60_000 + [("Я", "ru"), ("1" * 900 + " д", "ru"), ("12", "no")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    found = dict(language.learn(df))
+    assert set(found) == {"xx", "en", "ru"} and len(found["xx"]) == len(found["en"]) == language.SAMPLE_CHARS
+    assert sorted(found["ru"].split()) == ["д", "я"]
+
+
+def test_few_long_texts_give_a_whole_sample(spark):
+    df = spark.createDataFrame([("ab cd " * 2000, "a"), ("ef gh " * 4000, "a"), ("12 x " * 9000, "b")], "text string, lang string")
+    assert {len(t) for _, t in language.learn(df)} == {language.SAMPLE_CHARS}
+
+
+def test_short_samples_win_no_foreign_text():
+    english = "the cat and the dog sleep under the old trees of the garden " * 40
+    parser = language.CrossParser((("en", english), ("xx", "a")))
+    names, scores = parser.predict(["the old cat of the garden sleeps", "漢字漢字漢字", "a"])
+    assert names[0] == "en" and scores[1] == 0.5 and names[2] == "xx"
