@@ -4,8 +4,9 @@ A page is read once into blocks of text, each with its path of tags from the roo
 (scripts, forms, navigation, and elements whose class, id or role names an advert, a notice, comments and the like)
 are left out with all that is in them. The other blocks are pooled by path: characters outside links and punctuation
 marks per block, averaged over all blocks of the path. A path's ratios are smoothed with those of the paths beside it
-in page order, and fused with the share of the page's text that its parent element holds, so that headings and short
-paragraphs stand with the article around them. Paths below a share of the best are dropped, whole.
+in page order, and fused with the share of the page's text that the best container around it holds, so that headings,
+short paragraphs, lists, tables and captions stand with the article around them. Paths below a share of the best are
+dropped, whole.
 """
 
 from __future__ import annotations
@@ -71,6 +72,13 @@ _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*
 _SPACE = re.compile(r"[\s\x1c-\x1f]+")
 _MARKS = re.compile(r"""[.,;:!?…。，！？]""")
 
+#: The page as a whole; elements that are content with all that is in them; parts of running text, and those of them that
+#: stand between paragraphs.
+PAGE = frozenset(("", "html", "body"))
+CONTENT = frozenset(("article", "main"))
+EMBEDDED = frozenset("ul ol dl table figure pre blockquote".split())
+RUNNING = EMBEDDED | HEADINGS | frozenset(("p",))
+
 #: Weight of a punctuation mark against a character, and the fused score below which a path is dropped.
 MARK_WEIGHT, LEAST_SCORE = 10.0, 0.25
 #: Shares of the neighbours in the smoothed ratio, and of links in a path's characters above which it is a list of links.
@@ -210,6 +218,28 @@ def blocks_of(page: str) -> tuple[list[tuple[int, str, int]], Paths]:
     return [(b.path, text, b.linked) for b in found if (text := b.text())], stack.paths
 
 
+def _shares(inside: dict[int, float], total: list[float], paths: Paths) -> tuple[list[float], list[int]]:
+    """Per path: the plain text of the best container around it, and that container's path.
+
+    A container counts with the text directly in it, an article or main element with all of its text. Everything below
+    takes over its share, but from the page as a whole only parts of running text do, not further divisions. Lists,
+    tables, figures and the like also count with all the text of the element that they stand in.
+    """
+    share, source = [0.0] * len(paths), [0] * len(paths)
+    best, at = [0.0] * len(paths), [0] * len(paths)  # of the container that a path is for those below it
+    share[0], best[0] = inside[-1], inside[0]
+    for k in range(1, len(paths)):
+        above, tag = paths[k]
+        outer = paths[above][1] in PAGE
+        share[k], source[k] = (best[above], at[above]) if not outer or tag in RUNNING else (inside[above], above)
+        if tag in EMBEDDED and not outer and total[above] > share[k]:
+            share[k], source[k] = total[above], above
+        own = total[k] if tag in CONTENT else inside[k]
+        begins = own > share[k] or outer and tag not in RUNNING
+        best[k], at[k] = (own, k) if begins else (share[k], source[k])
+    return share, source
+
+
 def kept_paths(blocks: list[tuple[int, str, int]], paths: Paths) -> set[int]:
     """Paths of the content: those whose fused score is a fair share of the best."""
     chars: dict[int, float] = defaultdict(float)
@@ -217,6 +247,7 @@ def kept_paths(blocks: list[tuple[int, str, int]], paths: Paths) -> set[int]:
     linked: dict[int, float] = defaultdict(float)
     number: dict[int, int] = defaultdict(int)
     inside: dict[int, float] = defaultdict(float)
+    total = [0.0] * len(paths)
     order: list[int] = []  # paths in page order, runs of one path once
     for path, text, in_links in blocks:
         plain = max(0, len(text) - in_links)
@@ -225,19 +256,23 @@ def kept_paths(blocks: list[tuple[int, str, int]], paths: Paths) -> set[int]:
         linked[path] += min(in_links, len(text))
         number[path] += 1
         inside[paths[path][0]] += plain
+        total[path] += plain
         if not order or order[-1] != path:
             order.append(path)
+    for k in range(len(paths) - 1, 0, -1):  # a path comes after its parent
+        total[paths[k][0]] += total[k]
+    share, source = _shares(inside, total, paths)
     ratio = {p: (chars[p] + MARK_WEIGHT * marks[p]) / number[p] for p in number}
     beside: dict[int, list[float]] = defaultdict(list)
     for a, b in zip(order, order[1:]):
-        if paths[a][0] == paths[b][0]:  # only within one element
+        if paths[a][0] == paths[b][0] or source[a] == source[b]:  # only within one element or container
             beside[a].append(ratio[b])
             beside[b].append(ratio[a])
     smooth = {p: (1 - NEIGHBOURS) * r + NEIGHBOURS * (sum(x) / len(x) if (x := beside[p]) else r) for p, r in ratio.items()}
-    best, most = max(smooth.values(), default=0.0), max(inside.values(), default=0.0)
+    best, most = max(smooth.values(), default=0.0), max((share[p] for p in number), default=0.0)
     if not best or not most:
         return set()
-    fused = {p: 0.5 * smooth[p] / best + 0.5 * inside[paths[p][0]] / most for p in number}
+    fused = {p: 0.5 * smooth[p] / best + 0.5 * share[p] / most for p in number}
     least = LEAST_SCORE * max(fused.values())
     return {p for p, s in fused.items() if s >= least and linked[p] <= LINK_SHARE * (chars[p] + linked[p])}
 

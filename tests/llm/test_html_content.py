@@ -37,6 +37,33 @@ def test_page(page, text):
     assert main_text(page) == text
 
 
+PARAGRAPHS = ["One, two. " + f"paragraph {k} of the article, with words. " * 9 for k in range(10)]
+INNER = [
+    "<ul>" + "".join(f"<li>Item {k} of a short list" for k in range(8)) + "</ul>",
+    "<table><caption>Caption</caption><tr><th>Head<th>Two<tr><td>1<td>2</table>",
+    "<dl><dt>Term<dd>Its meaning</dl>",
+    "<figure><img src=x><figcaption>A caption</figcaption></figure>",
+    "<pre>x = 1</pre><blockquote><p>Quoted.</p></blockquote><div class=note><p>Short.</p></div>",
+]
+
+
+@pytest.mark.parametrize("opening, closing", [("<article>", "</article>"), ("<div id=text>", "</div>"), ("<article><h1>T</h1><div>", "</div></article>"), ("<main><section>", "</section></main>")])
+@pytest.mark.parametrize("inner", INNER)
+def test_short_blocks_in_an_article_stay(opening, closing, inner):
+    half = ["".join(f"<p>{p}</p>" for p in PARAGRAPHS[a : a + 5]) for a in (0, 5)]
+    page = f"<body><div id=outside>Some words</div>{opening}{half[0]}{inner}{half[1]}{closing}<ul><li>Outside too</ul></body>"
+    blocks, _ = blocks_of(f"{half[0]}{inner}{half[1]}")
+    assert main_text(page) == "\n\n".join((["T"] if "<h1>" in opening else []) + [text for _, text, _ in blocks])
+
+
+@pytest.mark.parametrize("opening, closing", [("<body>", "</body>"), ("<div><div>", "</div></div>")])
+def test_lists_between_paragraphs_stay(opening, closing):
+    wrapped = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    if opening != "<body>":
+        wrapped = f"<div>{wrapped}</div>"
+    assert main_text(f"{opening}{wrapped}<ul><li>a</ul>{closing}").endswith("\n\na")
+
+
 @given(st.lists(st.sampled_from(["<", ">", "<p>", "</p>", "<div class='", "\"", "'", "<a href=", "</a>", "x ", "&amp;", "<!--", "-->", "<script>", "</script>", "<b>", "<nav>", "</nav>", "/>", "<![CDATA[", "é", "<li>", "</ul>", "<body>", "<html>", "<td>"]), max_size=40).map("".join))
 def test_any_markup_is_read(page):
     blocks, paths = blocks_of(page)
