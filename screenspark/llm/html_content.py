@@ -1,8 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read once into blocks of text, each with its path of tags from the root. Parts that are never article text
-(scripts, forms, navigation, and elements whose class, id or role names an advert, a notice, comments and the like)
-are left out with all that is in them. The other blocks are pooled by path: characters outside links and punctuation
+(scripts, navigation, forms, and elements whose class, id or role names an advert, a notice, comments and the like)
+are left out with all that is in them; forms and elements left out for their class or id are read nevertheless if they
+turn out to wrap the content. The other blocks are pooled by path: characters outside links and punctuation
 marks per block, averaged over all blocks of the path. A path's ratios are smoothed with those of the paths beside it
 in page order, and fused with the share of the page's text that the best container around it holds, so that headings,
 short paragraphs, lists, tables and captions stand with the article around them. Paths below a share of the best are
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 #: the opening of an element closes if it is open (up to the nearest of the third group).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEFT_OUT = frozenset(
-    "head title script style noscript template nav header footer aside form button select textarea option menu dialog "
+    "head title script style noscript template nav header footer aside button select textarea option menu dialog "
     "iframe object svg math canvas audio video map label fieldset".split()
 )
 INLINE = frozenset(
@@ -49,13 +50,17 @@ ENDS_PARAGRAPH = HEADINGS | frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header "
     "hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
-NAMES = re.compile(
-    r"(?:^|[\s_\-])(?:ads?|adverts?|advertis\w+|adsense|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|"
+_NAME = (
+    r"(?:ads?|adverts?|advertis\w+|adsense|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|"
     r"alerts?|popups?|modal|overlay|newsletter|subscri\w+|sidebars?|side|widgets?|menus?|nav|navbar|navigation|"
     r"breadcrumbs?|toolbar|header|masthead|footer|copyright|comments?|commentlist|respond|disqus|replies|related|"
-    r"recommend\w*|share|sharing|social|tags|pagination|pager|login|signup|search)(?=$|[\s_\-\d])",
-    re.I,
+    r"recommend\w*|share|sharing|social|tags|pagination|pager|login|signup|search)(?=$|[\s_\-\d])"
 )
+#: Words after a name that leave it a name, and class tokens that say how a page is laid out, not what an element is.
+_ADDED = r"[_\-]?(?:wrapper|wrap|container|area|list|box|section|bar|block|items?|inner|outer|holder|group|top|bottom|left|right|content|body|links?|buttons?|form|panel|row|column|col|title|text|module|region|slot|unit|\d)"
+_LAYOUT = r"(?:has|no|not|with|without|is|hide|show|js)[_\-]|\w+[_\-](?:open|closed|enabled|disabled)(?=$|\s)|content[_\-]sidebars?(?:[_\-]|$|\s)|sidebars?[_\-]content[_\-]"
+#: Whole class tokens that begin with a name, or end with one.
+NAMES = re.compile(rf"(?:^|(?<=\s))(?!{_LAYOUT})(?:{_NAME}|\S*[_\-]{_NAME}(?:{_ADDED})*+(?=$|\s))", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
 # Possessive repetition: a broken tag is given up at once, so the time is linear in the page.
@@ -92,6 +97,8 @@ Paths = list[tuple[int, str]]
 @dataclass
 class Block:
     path: int
+    mark: int  # the innermost mark around it, -1 for none
+    content: int  # the innermost mark around the innermost article or main element around it; -2 without such an element
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -99,18 +106,27 @@ class Block:
         return _SPACE.sub(" ", "".join(self.pieces)).strip()
 
 
-def _is_left_out(tag: str, attributes: str) -> bool:
+#: What an element's tag and attributes say: nothing, a form or a name (left out unless the content is in it), left out.
+PLAIN, FORM, NAMED, OUT = range(4)
+
+
+def _kind(tag: str, attributes: str) -> int:
     if tag in LEFT_OUT:
-        return True
+        return OUT
+    kind = FORM if tag == "form" else PLAIN
     if not attributes or tag in ("html", "body"):
-        return False
+        return kind
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value.lower() in ROLES or name in ("class", "id") and tag != "article" and NAMES.search(value):
-            return True
-    return False
+            return OUT
+        if name == "role" and value.lower() in ROLES:
+            if value.lower() != "form":
+                return OUT
+            kind = max(kind, FORM)
+        if name in ("class", "id") and tag not in CONTENT and NAMES.search(value):
+            kind = NAMED
+    return kind
 
 
 class _OpenTags:
@@ -122,9 +138,12 @@ class _OpenTags:
         self.tags: list[str] = []
         self.at: list[int] = [0]
         self.number: Counter[str] = Counter()
+        self.under: list[int] = [-1]  # the innermost mark
+        self.content: list[int] = [-2]  # the mark around the innermost article or main element
+        self.marks: list[tuple[int, int]] = []  # the mark around each mark, and its kind
         self.out_since = -1  # how many tags were open where the outermost left-out element began
 
-    def open(self, tag: str) -> None:
+    def open(self, tag: str, kind: int) -> None:
         here = self.at[-1]
         if tag not in INLINE:
             step = (here, tag)
@@ -135,12 +154,20 @@ class _OpenTags:
         self.tags.append(tag)
         self.at.append(here)
         self.number[tag] += 1
+        if kind in (FORM, NAMED):
+            self.marks.append((self.under[-1], kind))
+            self.under.append(len(self.marks) - 1)
+        else:
+            self.under.append(self.under[-1])
+        self.content.append(self.under[-1] if tag in CONTENT else self.content[-1])
 
     def close(self, size: int) -> None:
         """Close all but the outermost ``size`` elements."""
         while len(self.tags) > size:
             self.number[self.tags.pop()] -= 1
             self.at.pop()
+            self.under.pop()
+            self.content.pop()
         if size <= self.out_since:
             self.out_since = -1
 
@@ -181,7 +208,7 @@ def blocks_of(page: str) -> tuple[list[tuple[int, str, int]], Paths]:
             if block is None:
                 if not raw.strip():
                     continue
-                block = Block(stack.at[-1])
+                block = Block(stack.at[-1], stack.under[-1], stack.content[-1])
                 found.append(block)
             text = html.unescape(raw)
             block.pieces.append(text)
@@ -212,10 +239,46 @@ def blocks_of(page: str) -> tuple[list[tuple[int, str, int]], Paths]:
             continue
         if tag == "body" and stack.number["head"]:
             stack.close(stack.tags.index("head"))
-        if stack.out_since < 0 and _is_left_out(tag, attributes):
+        kind = _kind(tag, attributes) if stack.out_since < 0 else PLAIN
+        if kind == OUT:
             stack.out_since = len(stack.tags)
-        stack.open(tag)
-    return [(b.path, text, b.linked) for b in found if (text := b.text())], stack.paths
+        stack.open(tag, kind)
+    read = [(b, text) for b in found if (text := b.text())]
+    spared = _spared(read, stack.marks, stack.paths)
+    return [(b.path, text, b.linked) for b, text in read if spared[b.mark + 1]], stack.paths
+
+
+def _spared(read: list[tuple[Block, str]], marks: list[tuple[int, int]], paths: Paths) -> list[bool]:
+    """For the page and each mark: is its text read? That of a mark is if it wraps the content: if no text of an article
+    or main element is outside it, and it holds one with more text than there is outside, or most of the page's text
+    (and, if it is marked for a name, also the only main heading, or nearly all of the text). Beside such text only a
+    form with nearly all of the text is read."""
+    own, articles, titles, held = ([0] * (len(marks) + 1) for _ in range(4))  # place 0 is the page's
+    for b, text in read:
+        plain = max(0, len(text) - b.linked)
+        own[b.mark + 1] += plain
+        titles[b.mark + 1] += paths[b.path][1] == "h1"
+        if b.content > -2:
+            articles[b.mark + 1] += plain * (paths[b.path][1] not in HEADINGS)
+            held[b.content + 1] += plain
+    total, all_titles, all_held = own[:], titles[:], held[:]
+    for k in range(len(marks), 0, -1):  # a mark comes after the one around it
+        for sums in (total, all_titles, all_held):
+            sums[marks[k - 1][0] + 1] += sums[k]
+    outside, spared = [own[0], articles[0], titles[0]], [True] + [False] * len(marks)
+    for k, (around, kind) in enumerate(marks, 1):
+        if not spared[around + 1]:
+            continue
+        if outside[1]:
+            if kind == NAMED or 10 * outside[0] >= total[k]:
+                continue
+        elif all_held[k] <= outside[0]:
+            titled = kind == FORM or all_titles[k] and not outside[2]
+            if 2 * total[k] <= total[0] or not titled and 10 * outside[0] >= total[k]:
+                continue
+        spared[k] = True
+        outside = [x + y[k] for x, y in zip(outside, (own, articles, titles))]
+    return spared
 
 
 def _shares(inside: dict[int, float], total: list[float], paths: Paths) -> tuple[list[float], list[int]]:

@@ -64,6 +64,33 @@ def test_lists_between_paragraphs_stay(opening, closing):
     assert main_text(f"{opening}{wrapped}<ul><li>a</ul>{closing}").endswith("\n\na")
 
 
+@pytest.mark.parametrize(
+    "opening, closing",
+    [
+        ("<div class='content has-sidebar'>", "</div>"),
+        ("<main class='no-sidebar'>", "</main>"),
+        ("<main class='sidebar'>", "</main>"),
+        ("<div id='content-sidebar-wrap'><div>", "</div></div>"),
+        ("<form id=form1 action=x>", "</form>"),
+        ("<form><div class='widget'><article>", "</article></div></form>"),
+        ("<div class='search'>", "</div>"),
+        ("<article><h1>T</h1><div class='side'>", "</div></article>"),
+    ],
+)
+def test_wrappers_of_the_content_are_read(opening, closing):
+    comments = "<div class='comments'><p>Nice, thanks.</p></div><form class=search><p>Search here</p></form>"
+    page = f"<body><p>Tag line</p>{opening}<h1>Title</h1>{BODY}{BODY}{BODY}{comments}{closing}</body>"
+    text = main_text(page)
+    assert text.endswith("\n\n".join(["Title", TEXT, TEXT, TEXT]))
+
+
+@pytest.mark.parametrize("name", ["comments", "post-comments", "comments-area", "cookie-notice", "site-footer", "ad-slot 2", "related"])
+def test_named_parts_beside_the_content_are_left_out(name):
+    other = f"<div class='{name}'>" + "<article><p>A long remark, with marks.</p></article>" * 90 + "</div>"
+    assert main_text(f"<main><h1>Title</h1>{BODY}{other}</main>") == "Title\n\n" + TEXT
+    assert main_text(f"<article>{BODY}</article>{other}") == TEXT
+
+
 @given(st.lists(st.sampled_from(["<", ">", "<p>", "</p>", "<div class='", "\"", "'", "<a href=", "</a>", "x ", "&amp;", "<!--", "-->", "<script>", "</script>", "<b>", "<nav>", "</nav>", "/>", "<![CDATA[", "é", "<li>", "</ul>", "<body>", "<html>", "<td>"]), max_size=40).map("".join))
 def test_any_markup_is_read(page):
     blocks, paths = blocks_of(page)
