@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenspark.llm import alignment, bpe, decontaminate, embedding_links, html_content, language, quality, sharding, simhash, token_files, url_filter
+from screenspark.llm import alignment, bpe, decontaminate, embedding_links, html_content, language, quality, runs, sharding, simhash, token_files, url_filter
 from screenspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,11 @@ def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_content.page_texts(table(spark, folder, "pages"))
 
 
+@query("op11_periodic_run_detection")
+def op11_periodic_run_detection(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.document_runs(table(spark, folder, "documents"))
+
+
 @query("op12_cross_tokenizer_alignment")
 def op12_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.document_alignments(table(spark, folder, "documents"))
