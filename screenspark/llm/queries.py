@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenspark.llm import alignment, bpe, decontaminate, embedding_links, html_content, language, quality, runs, sharding, simhash, token_files, url_filter
+from screenspark.llm import alignment, bpe, decontaminate, embedding_links, html_content, language, quality, runs, sharding, simhash, sketches, token_files, url_filter
 from screenspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,8 @@ def op11_periodic_run_detection(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_cross_tokenizer_alignment")
 def op12_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.document_alignments(table(spark, folder, "documents"))
+
+
+@query("op13_document_fingerprints")
+def op13_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.document_fingerprints(table(spark, folder, "documents"))

@@ -16,7 +16,7 @@ NAMES = [n for n in entry.queries() if re.match(r"op\d+_|pipeline", n)]
 
 
 def test_all_are_registered():
-    assert sorted({n.split("_")[0] for n in NAMES}) == sorted([*[f"op{k}" for k in range(1, 13)], "pipeline"])
+    assert sorted({n.split("_")[0] for n in NAMES}) == sorted([*[f"op{k}" for k in range(1, 14)], "pipeline"])
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in entry.oracle_sql()])
@@ -30,7 +30,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_native_operators_run_no_python(spark):
-    for name in ("op1_sharding", "op7_benchmark_decontamination"):
+    for name in ("op1_sharding", "op7_benchmark_decontamination", "op13_document_fingerprints"):
         plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
 
