@@ -133,3 +133,40 @@ def concat_blocks(blocks: Sequence[Column | str]) -> Column:
     """Feature blocks side by side, missing numbers as 0."""
     joined = F.concat(*[col_of(b).cast("array<double>") for b in blocks])
     return F.transform(joined, lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))
+
+
+WORD_BITS = 64
+
+
+def pack_bits(bits: Column | str, n_bits: int = N_BITS) -> Column:
+    """A bit set, ascending, as ``n_bits / 64`` longs: 256 bytes for 2048 bits, however many are set."""
+    zero = F.lit(0).cast("bigint")
+
+    def put(a: Column, bit: Column) -> Column:
+        word = F.call_function("shiftright", bit, F.lit(6))
+        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(WORD_BITS - 1)))
+        closed = F.concat(a["done"], F.array(a["open"]), F.array_repeat(zero, word - a["word"] - 1))
+        return F.struct(
+            word.alias("word"),
+            F.when(word == a["word"], a["open"].bitwiseOR(one)).otherwise(one).alias("open"),
+            F.when(word == a["word"], a["done"]).otherwise(closed).alias("done"),
+        )
+
+    def close(a: Column) -> Column:
+        return F.concat(a["done"], F.array(a["open"]), F.array_repeat(zero, F.lit(-(-n_bits // WORD_BITS) - 1) - a["word"]))
+
+    start = F.struct(F.lit(0).alias("word"), zero.alias("open"), F.array().cast("array<bigint>").alias("done"))
+    return F.aggregate(col_of(bits), start, put, close)
+
+
+def packed_shared(left: Column | str, right: Column | str, n_bits: int = N_BITS) -> Column:
+    """Number of bits set in both of two packed sets."""
+    a, b = col_of(left), col_of(right)
+    counts = [F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.get(b, F.lit(i)))) for i in range(-(-n_bits // WORD_BITS))]
+    return sum(counts[1:], counts[0])
+
+
+def packed_tanimoto(left: Column | str, left_size: Column | str, right: Column | str, right_size: Column | str, n_bits: int = N_BITS) -> Column:
+    """Shared over all set bits of two packed sets of known sizes; NULL when both are empty."""
+    shared = packed_shared(left, right, n_bits)
+    return F.try_divide(shared.cast("double"), (col_of(left_size) + col_of(right_size) - shared).cast("double"))

@@ -195,6 +195,23 @@ def nearest_rows_in_class(spark, sf_dir):
     return rounded(O.nearest_rows(vectors(spark, sf_dir), "vec_id", "x", ["label"]), "distance")
 
 
+@query(
+    "nearest_orders_by_status",
+    """WITH x AS (SELECT o_orderkey, o_orderstatus, o_totalprice / 1000 AS p,
+         date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE AS t FROM orders),
+       d AS (SELECT a.o_orderstatus, a.o_orderkey,
+           min({'d': sqrt((a.p - b.p) * (a.p - b.p) + (a.t - b.t) * (a.t - b.t)), 'n': b.o_orderkey}, 5) AS near
+         FROM x a JOIN x b ON a.o_orderstatus = b.o_orderstatus AND a.o_orderkey <> b.o_orderkey GROUP BY ALL)
+       SELECT o_orderstatus, o_orderkey, place::INT AS place, near[place].n AS neighbour, round(near[place].d, 6) AS distance
+       FROM (SELECT *, unnest(range(1, len(near) + 1)) AS place FROM d)""",
+)
+def nearest_orders_by_status(spark, sf_dir):
+    """Groups of many blocks: price and day of the orders of each status."""
+    day = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).cast("double")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.array(F.col("o_totalprice") / 1000, day).alias("x"))
+    return rounded(O.nearest_rows(orders, "o_orderkey", "x", ["o_orderstatus"]), "distance")
+
+
 @query(
     "synthetic_minority_rows",
     """WITH x AS (SELECT vec_id, (label = 0)::INT AS y, embedding::DOUBLE[] AS e FROM embeddings),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from screenspark.functions import tokens as K
+from screenspark.operators import bands
 from screenspark.operators import bits as B
 from screenspark.queries.fixtures import LONG, known_labels, properties, table
 from screenspark.queries.profiling import rounded
@@ -212,6 +213,77 @@ def similar_texts_across_classes(spark, sf_dir):
     return rounded(out, "max_similarity", digits=9)
 
 
+def _pairs_sql(by: str, rows: str, on: str) -> str:
+    """Similarity of all pairs of the rows (by..., doc_id, label, b) that ``on`` tells of."""
+    keys = " AND ".join(f"a.{c.strip()} = b.{c.strip()}" for c in by.split(","))
+    return f"""{rows}, p AS (SELECT {", ".join(f"a.{c.strip()}" for c in by.split(","))}, {_SIM} AS s FROM n a JOIN n b ON {keys} AND {on})
+    SELECT {by}, count(s) AS n_pairs, round(avg(s), 9) AS mean_similarity, round(max(s), 9) AS max_similarity,
+      round(min(s), 9) AS min_similarity, count(*) FILTER (s >= 0.8) AS n_similar
+    FROM p WHERE s IS NOT NULL GROUP BY {by}"""
+
+
+_NUMBERS = ("mean_similarity", "max_similarity", "min_similarity")
+
+
+@query(
+    "pair_similarity_by_language",
+    _pairs_sql("lang", f"WITH {PACKED}, n AS (SELECT f.doc_id, f.b, lang FROM fb f JOIN documents USING (doc_id))", "a.doc_id < b.doc_id"),
+)
+def pair_similarity_by_language(spark, sf_dir):
+    """Mean, largest and smallest similarity over all pairs of texts of each language."""
+    return rounded(B.pair_similarity(fingerprints(spark, sf_dir, "lang"), ["lang"], "bits", K.N_BITS), *_NUMBERS, digits=9)
+
+
+@query(
+    "pair_similarity_by_class",
+    _pairs_sql("target, label", f"WITH {PACKED}, {LONG}, n AS (SELECT target, label, doc_id, b FROM long JOIN fb USING (doc_id))", "a.doc_id < b.doc_id"),
+)
+def pair_similarity_by_class(spark, sf_dir):
+    """The same over all pairs of texts of each class."""
+    return rounded(B.pair_similarity(_labelled_bits(spark, sf_dir), ["target", "label"], "bits", K.N_BITS), *_NUMBERS, digits=9)
+
+
+@query(
+    "pair_similarity_across_classes",
+    _pairs_sql("target", f"WITH {PACKED}, {LONG}, n AS (SELECT target, label, doc_id, b FROM long JOIN fb USING (doc_id))", "a.label = 1 AND b.label = 0"),
+)
+def pair_similarity_across_classes(spark, sf_dir):
+    """The same over all pairs of texts with different labels."""
+    return rounded(B.pair_similarity(_labelled_bits(spark, sf_dir), ["target"], "bits", K.N_BITS, side="label"), *_NUMBERS, digits=9)
+
+
+@query(
+    "following_pairs_by_class",
+    _pairs_sql(
+        "target, label",
+        f"""WITH {PACKED}, {LONG}, n AS (SELECT target, label, doc_id, b, row_number() OVER (PARTITION BY target, label ORDER BY doc_id) AS rn
+          FROM long JOIN fb USING (doc_id))""",
+        "b.rn BETWEEN a.rn + 1 AND a.rn + 99",
+    ),
+)
+def following_pairs_by_class(spark, sf_dir):
+    """The same over the pairs of each text with the 99 next ones of its class."""
+    rows = _labelled_bits(spark, sf_dir).select("target", "label", "doc_id", F.size("bits").alias("size"), K.pack_bits("bits").alias("packed"))
+    return rounded(bands.following_similarity(rows, ["target", "label"], "doc_id", "packed", "size"), *_NUMBERS, digits=9)
+
+
+@query(
+    "orders_soon_after",
+    """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS day FROM orders)
+       SELECT a.o_orderkey, count(*) AS n_later, round(sum(b.o_totalprice), 2) AS later_price, min(b.day - a.day)::INT AS days_to_next
+       FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND b.day BETWEEN a.day + 1 AND a.day + 90 GROUP BY a.o_orderkey""",
+)
+def orders_soon_after(spark, sf_dir):
+    """Orders of the same customer in the 90 days after an order."""
+    day = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date"))
+    a = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", day.alias("day"))
+    b = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("later"), "o_totalprice", day.alias("later_day"))
+    pairs = bands.band_join(a, b, ["o_custkey"], "day", "later_day", 1, 90, "o_orderkey", "later")
+    return pairs.groupBy("o_orderkey").agg(
+        F.count(F.lit(1)).alias("n_later"), F.round(F.sum("o_totalprice"), 2).alias("later_price"), F.min(F.col("later_day") - F.col("day")).alias("days_to_next")
+    )
+
+
 @query(
     "property_against_bits",
     f"""WITH {GRAMS} SELECT doc_id, len(string_split(text, ' '))::DOUBLE AS n_words, len(bits)::INT AS n_bits

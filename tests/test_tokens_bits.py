@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from screenspark.functions import tokens as K
+from screenspark.operators import bands
 from screenspark.operators import bits as B
 
 
@@ -126,3 +127,88 @@ def test_bit_profile(spark):
     assert rows["b"]["density"] == 0 and rows["b"]["used_bits"] == 0 and rows["b"]["n_rows"] == 1
     freq = {(r["g"], r["bit"]): r["n_rows"] for r in B.bit_frequency(df, ["g"], "bits").collect()}
     assert freq == {("a", 0): 2, ("a", 1): 1, ("a", 2): 1}
+
+
+def test_packed_sets(spark):
+    data = [[], [0], [63], [64], [0, 63, 64, 127, 128], [5, 199], list(range(200))]
+    df = spark.createDataFrame([(x,) for x in data], "bits array<int>").select("bits", K.pack_bits("bits", 200).alias("p"))
+    for r in df.collect():
+        assert [64 * w + b for w, v in enumerate(r.p) for b in range(64) if v >> b & 1] == r.bits and len(r.p) == 4
+    both = df.select(F.col("bits").alias("x"), F.col("p").alias("px")).crossJoin(df.select(F.col("bits").alias("y"), F.col("p").alias("py")))
+    both = both.select("x", "y", K.packed_shared("px", "py", 200).alias("n"), K.packed_tanimoto("px", F.size("x"), "py", F.size("y"), 200).alias("t"))
+    for r in both.collect():
+        assert r.n == len({*r.x} & {*r.y}) and r.t == tanimoto(r.x, r.y)
+
+
+def numbers(rows, pairs):
+    values = [t for i, j in pairs if (t := tanimoto(rows[i], rows[j])) is not None]
+    return {
+        "n_pairs": len(values),
+        "mean_similarity": pytest.approx(sum(values) / len(values)),
+        "max_similarity": pytest.approx(max(values)),
+        "min_similarity": pytest.approx(min(values)),
+        "n_similar": sum(v >= 0.8 for v in values),
+    }
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+@pytest.mark.parametrize("name", ["sets", "close_sets"])
+def test_all_pairs_equal_brute_force(request, name, block):
+    df = request.getfixturevalue(name)
+    local = df.orderBy("id").collect()
+    rows = [r["bits"] for r in local]
+    every = list(combinations(range(len(rows)), 2))
+    assert stats(B.pair_similarity(df, ["g"], "bits", 64, block=block)) == numbers(rows, every)
+    assert stats(B.pair_similarity(df, [], "bits", 64, block=block)) == numbers(rows, every)
+    crossing = [(i, j) for i, j in every if local[i]["y"] != local[j]["y"]]
+    assert stats(B.pair_similarity(df, ["g"], "bits", 64, side="y", block=block)) == numbers(rows, crossing)
+
+
+def test_all_pairs_of_unusual_tables(spark):
+    df = spark.createDataFrame([(None, [1, 2]), (None, [1, 2]), ("b", None), ("b", [1]), ("c", []), ("c", []), ("d", [3])], "g string, bits array<int>")
+    assert [tuple(r) for r in B.pair_similarity(df, ["g"], "bits", 8).collect()] == [(None, 1, 1.0, 1.0, 1.0, 1)]
+    assert B.pair_similarity(df.limit(0), ["g"], "bits", 8).count() == 0
+    assert B.pair_similarity(df.limit(0), [], "bits", 8).count() == 0
+
+
+@pytest.mark.parametrize("following", [1, 7, 99, 500])
+def test_following_pairs_equal_brute_force(sets, following):
+    rows = [r["bits"] for r in sets.orderBy("id").collect()]
+    packed = sets.select("g", "id", F.size("bits").alias("n"), K.pack_bits("bits", 64).alias("p"))
+    pairs = [(i, j) for i, j in combinations(range(len(rows)), 2) if j <= i + following]
+    assert stats(bands.following_similarity(packed, ["g"], "id", "p", "n", following, 64)) == numbers(rows, pairs)
+
+
+@pytest.mark.parametrize("tile", [3, 1024])
+@pytest.mark.parametrize("band", [(0, 0), (-2, 5), (1, 1), (0.5, 40.0), (-7, -3)])
+def test_band_join_equals_brute_force(spark, band, tile):
+    import random
+
+    draw = random.Random(9)
+    a = [(draw.choice(["x", "y", None]), i, draw.choice([None, 3, 3, 3, *range(-20, 60)])) for i in range(90)]
+    b = [(draw.choice(["x", "y", None]), i, draw.choice([None, 3, 3, *range(-20, 60)])) for i in range(70)]
+    left = spark.createDataFrame(a, "g string, i long, k int").repartition(3)
+    right = spark.createDataFrame(b, "g string, j long, m int")
+    got = sorted((r.i, r.j) for r in bands.band_join(left, right, ["g"], "k", "m", *band, "i", "j", rows=tile).collect())
+    expected = [(i, j) for g, i, k in a for h, j, m in b if g == h and k is not None and m is not None and band[0] <= m - k <= band[1]]
+    assert got == sorted(expected) and len(expected) > 5
+
+
+def test_band_join_refuses_an_empty_band(sets):
+    with pytest.raises(ValueError):
+        bands.band_join(sets, sets, [], "id", "id", 2, 1, "id", "id")
+
+
+def test_large_sets_meet_by_size(spark):
+    import random
+
+    draw, data = random.Random(3), []
+    for i in range(60):
+        bits = set(random.Random(i % 9).sample(range(2048), draw.choice([30, 200, 240, 600, 900])))
+        bits ^= set(draw.sample(range(2048), draw.choice([0, 1, 5, 30])))
+        data.append((i, "g", i % 2, sorted(bits)))
+    df = spark.createDataFrame(data, "id long, g string, y int, bits array<int>")
+    rows = [d[3] for d in data]
+    every = list(combinations(range(60), 2))
+    assert stats(B.similar_rows(df, ["g"], "bits", 2048)) == expect(rows, every)
+    assert stats(B.similar_rows(df, ["g"], "bits", 2048, side="y", block=5)) == expect(rows, [(i, j) for i, j in every if (i - j) % 2])
