@@ -25,6 +25,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def numbered_columns(df: DataFrame, *wanted: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """The rows with columns c0, c1 ... in place of their names, and the new names of the wanted ones.
+
+    So columns may have any names: dots, names that differ in case only, and names that an operator uses itself.
+    ``.toDF(*df.columns)`` gives the names back. A wanted name is looked up as it is, then without regard to case.
+    """
+    columns = df.columns
+    lowered = [c.lower() for c in columns]
+    found = []
+    for name in wanted:
+        if name not in columns and name.lower() not in lowered:
+            raise ValueError(f"no column {name}")
+        found.append(f"c{columns.index(name) if name in columns else lowered.index(name.lower())}")
+    return df.toDF(*[f"c{k}" for k in range(len(columns))]), tuple(found)
+
+
 def id_remainder(id_column: str, modulus: int) -> Column:
     """crc32 of the id as decimal text, modulo a small number; NULL ids count as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
@@ -75,6 +91,12 @@ def sorted_runs(frames: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd.D
         yield pd.concat(held, ignore_index=True)
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a table that this run wrote to the shared folder and no longer reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def give_back() -> None:
     """Return freed memory of a Python worker to the system at the end of a task; idle workers live on."""
     gc.collect()

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenspark.llm.common import ascii_lower, sent_if_small
+from screenspark.llm.common import ascii_lower, numbered_columns, sent_if_small
 from screenspark.session import materialise
 
 SPAN = 10
@@ -167,10 +167,15 @@ def clean_documents(
     documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text",
     item_column: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """The rows of ``documents`` in which no benchmark window occurs, all columns as they were."""
-    docs = _with_key(documents.select(F.col(id_column).alias("id"), F.col(text).alias("text")), "id", "text")
+    """The rows of ``documents`` in which no benchmark window occurs, all columns as they were, whatever their names.
+
+    NULL and empty texts are clean; repeated rows stay or go together, NULL ids like others. Empty tables: no documents,
+    or all of them.
+    """
+    inner, (i, t) = numbered_columns(documents, id_column, text)
+    docs = _with_key(inner.select(F.col(i).alias("id"), F.col(t).alias("text")), "id", "text")
     found = _sent(_keyed_overlaps(docs, benchmark, item_column, item_text).select("__k1", "__k2"))
-    return _with_key(documents, id_column, text).join(found, ["__k1", "__k2"], "left_anti").select(*documents.columns)
+    return _with_key(inner, i, t).join(found, ["__k1", "__k2"], "left_anti").drop("__k1", "__k2").toDF(*documents.columns)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenspark.llm.common import numbered_columns
+
 #: Elements without content, elements left out with their content, elements that do not end a block of text, and what
 #: the opening of an element closes if it is open (up to the nearest of the third group).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -358,9 +360,10 @@ def extracted(pages: DataFrame, markup: str = "html") -> DataFrame:
     def text_of(column: pd.Series) -> pd.Series:
         return pd.Series([main_text(x) for x in column], dtype=object)
 
-    kept = [c for c in pages.columns if c not in (markup, "text", "n_chars")]
-    found = pages.select(*kept, text_of(F.col(markup)).alias("text"))
-    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+    inner, (m,) = numbered_columns(pages, markup)
+    kept = [k for k, c in enumerate(pages.columns) if f"c{k}" != m and c.lower() not in ("text", "n_chars")]
+    found = inner.select(*[f"c{k}" for k in kept], text_of(F.col(m)).alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    return found.toDF(*[pages.columns[k] for k in kept], "text", "n_chars")
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

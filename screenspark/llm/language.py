@@ -15,6 +15,8 @@ of its stretch.
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenspark.llm.common import give_back, id_remainder, unit_draw
+from screenspark.llm.common import give_back, id_remainder, numbered_columns, unit_draw
 
 #: Characters of sample text per language (fewer only if all its texts hold fewer), the characters one document gives
 #: where there are enough documents, and the documents first fetched per language. These bound what is learned from;
@@ -32,6 +34,8 @@ SAMPLE_CHARS, CHARS_PER_DOCUMENT, SAMPLE_DOCUMENTS = 16_000, 400, 200
 #: Labels beyond this are no languages; more of them is an error.
 MAX_LANGUAGES = 200
 STRETCH = 512
+#: Letters of a language whose steps are a table; those of the others are searched.
+FREQUENT_LETTERS = 96
 CHARS_AT_ONCE = 2_000_000
 UNKNOWN = "und"
 #: Documents with a lower score are rejected by ``accepted``: four languages have at least 0.25 for the best.
@@ -77,29 +81,48 @@ def suffix_automaton(sample: str) -> list[dict[str, int]]:
     return steps
 
 
-class CrossParser:
-    """Step tables of all languages; one per process and set of samples."""
-
-    def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
-        self.languages = [name for name, _ in samples]
-        letters = sorted(set("".join(text for _, text in samples)))
-        self.width = len(letters) + 2  # code 0: a character of no sample; the last code: past the end
-        self.code = np.zeros(1 << 16, np.int32)
-        for k, c in enumerate(letters):
-            if ord(c) < 1 << 16:
-                self.code[ord(c)] = k + 1
-        self.bits = np.array([np.log2(max(2, len(text))) for _, text in samples])
-        self.tables = [self._table(suffix_automaton(text), letters) for _, text in samples]
-        self.unheld = [np.array([True, *[c not in held for c in letters], False]) for held in (set(text) for _, text in samples)]
-
-    def _table(self, steps: list[dict[str, int]], letters: list[str]) -> np.ndarray:
-        """Entry (state, code): four times the offset of the next state's row, plus the phrases that ended on the way."""
+class Steps:
+    """The steps of one language's automaton: a table for its most frequent letters, sorted keys for the others."""
+
+    def __init__(self, sample: str, letters: list[str]) -> None:
+        automaton = suffix_automaton(sample)
+        counts = Counter(sample)
+        own = sorted(counts, key=lambda c: (-counts[c], c))
+        frequent, rare = own[:FREQUENT_LETTERS], own[FREQUENT_LETTERS:]
+        # Own code of every common code. 0: not in the sample; then the frequent letters, past the end, and rare letters.
+        place = {c: k for k, c in enumerate([*frequent, None, *rare], 1)}
+        self.width = len(frequent) + 2
+        self.own = np.array([0, *[place.get(c, 0) for c in letters], self.width - 1], np.int32)
+        self.unheld = self.own == 0
+        self.table = self._table(automaton, place)
+        keys = sorted((state * len(rare) + place[c] - self.width, to) for state, out in enumerate(automaton) for c, to in out.items() if place[c] >= self.width)
+        self.n_rare = len(rare)
+        self.keys = np.array([k for k, _ in keys], np.int64)
+        self.to = np.array([to for _, to in keys], np.int32)
+
+    def step(self, state: np.ndarray, codes: np.ndarray, any_rare: bool) -> np.ndarray:
+        """Four times the offset of the next state's row, plus the phrases that ended on the way."""
+        if not any_rare:
+            return self.table[state + codes]
+        rare = np.flatnonzero(codes >= self.width)
+        plain_codes = codes.copy()
+        plain_codes[rare] = 0
+        out = self.table[state + plain_codes]
+        letter, at = codes[rare].astype(np.int64) - self.width, state[rare] // self.width
+        begin = self.to[np.searchsorted(self.keys, letter)]  # the keys of state 0 come first, one per rare letter
+        wanted = at * self.n_rare + letter
+        found = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        goes_on = self.keys[found] == wanted
+        out[rare] = np.where(goes_on, self.to[found], begin) * self.width * 4 + (~goes_on & (at > 0))
+        return out
+
+    def _table(self, steps: list[dict[str, int]], place: dict[str, int]) -> np.ndarray:
         n, width = len(steps), self.width
         following = np.full((n, width), -1, np.int64)
-        code = {c: k + 1 for k, c in enumerate(letters)}
         for state, out in enumerate(steps):
             for c, to in out.items():
-                following[state, code[c]] = to
+                if place[c] < width:
+                    following[state, place[c]] = to
         # Without a step the open phrase ends and a new one starts with the character; a character that starts none is
         # a phrase of its own and leaves none open.
         starts = following[0] >= 0
@@ -109,6 +132,19 @@ class CrossParser:
         table[:, width - 1] = np.arange(n) * width * 4
         return table.astype(np.int32).reshape(-1)
 
+
+class CrossParser:
+    """Step tables of all languages; one per process and set of samples."""
+
+    def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
+        self.languages = [name for name, _ in samples]
+        letters = sorted(set("".join(text for _, text in samples)))
+        self.width = len(letters) + 2  # code 0: a character of no sample; the last code: past the end
+        self.code = np.zeros(sys.maxunicode + 1, np.int32)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.bits = np.array([np.log2(max(2, len(text))) for _, text in samples])
+        self.steps = [Steps(text, letters) for _, text in samples]
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """(texts, languages): phrases that each plain text needs."""
         return self._parsed(texts)[0]
@@ -130,20 +166,22 @@ class CrossParser:
         flat, at = codes.reshape(-1), 0
         for text, r in zip(texts, rows.tolist()):
             points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-            flat[at : at + len(points)] = np.where(points < 1 << 16, self.code[np.minimum(points, 65535)], 0)
+            flat[at : at + len(points)] = self.code[points]
             at += r * STRETCH
         columns = np.ascontiguousarray(codes.T)
         of_text = np.repeat(np.arange(len(texts)), rows)
-        for k, table in enumerate(self.tables):
+        for k, steps in enumerate(self.steps):
             state, ended = np.zeros(len(codes), np.int32), np.zeros(len(codes), np.int32)
-            for column in columns:
-                step = table[state + column]
+            own = steps.own[columns]
+            rare = (own >= steps.width).any(axis=1).tolist()
+            for column, any_rare in zip(own, rare):
+                step = steps.step(state, column, any_rare)
                 ended += step & 3
                 state = step >> 2
             ended += state > 0  # the phrase that is open at the end
             out[:, k] = np.bincount(of_text, ended, len(texts)).astype(np.int64)
             if self.bits[k] < self.bits.max():
-                unheld[:, k] = np.bincount(of_text, self.unheld[k][codes].sum(1), len(texts)).astype(np.int64)
+                unheld[:, k] = np.bincount(of_text, steps.unheld[codes].sum(1), len(texts)).astype(np.int64)
         return out, unheld
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -227,9 +265,11 @@ def identified(documents: DataFrame, samples: tuple[tuple[str, str], ...], text:
     Texts that are NULL or have no letter are ``und`` with score 0; so is everything if nothing was learned. Every row
     is kept, repeated ones too; columns named lang_pred or score are replaced.
     """
-    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    judged = documents.select(*kept, _judge(samples)(F.col(text)).alias("__judged"))
-    return judged.select(*kept, "__judged.lang_pred", "__judged.score")
+    inner, (t,) = numbered_columns(documents, text)
+    kept = [k for k, c in enumerate(documents.columns) if c.lower() not in ("lang_pred", "score")]
+    judged = inner.select(*[f"c{k}" for k in kept], _judge(samples)(F.col(t)).alias("judged"))
+    told = judged.select(*[f"c{k}" for k in kept], "judged.lang_pred", "judged.score")
+    return told.toDF(*[documents.columns[k] for k in kept], "lang_pred", "score")
 
 
 def _judge(samples: tuple[tuple[str, str], ...]):
@@ -252,17 +292,26 @@ def training_rows(documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def document_languages(documents: DataFrame) -> DataFrame:
-    """Language and score of every document, learned from two thirds of the labels."""
+    """Language and score of every document, learned from two thirds of the labels.
+
+    Every row gives one, repeated ones too; NULL texts and those without a letter are ``und`` with score 0. NULL ids are
+    in the training part, NULL languages teach nothing. Further columns are ignored; an empty table gives none.
+    """
     samples = learn(training_rows(documents))
     found = identified(documents.select("doc_id", "text"), samples)
     return found.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The documents whose language can be told; columns as they were. Nothing is rejected if nothing was learned."""
-    samples = learn(training_rows(documents))
+def accepted(documents: DataFrame, text: str = "text", id_column: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """The documents whose language can be told; columns as they were, whatever their names.
+
+    NULL texts and those without a letter are rejected, repeated rows are judged alike. A language that is NULL teaches nothing; nothing
+    is rejected if nothing was learned, and an empty table stays empty.
+    """
+    inner, (t, i, known) = numbered_columns(documents, text, id_column, lang)
+    samples = learn(training_rows(inner, i), t, known)
     if not samples:
         return documents
-    judged = documents.withColumn("__judged", _judge(samples)(F.col(text)))
-    sure = (F.col("__judged.lang_pred") != UNKNOWN) & (F.col("__judged.score") >= MIN_SCORE)
-    return judged.where(sure).select(*documents.columns)
+    judged = inner.withColumn("judged", _judge(samples)(F.col(t)))
+    sure = (F.col("judged.lang_pred") != UNKNOWN) & (F.col("judged.score") >= MIN_SCORE)
+    return judged.where(sure).drop("judged").toDF(*documents.columns)

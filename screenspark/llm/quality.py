@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenspark.llm.common import bounded_sample, give_back, id_remainder
+from screenspark.llm.common import bounded_sample, give_back, id_remainder, numbered_columns
 
 #: Coordinates for words, and latent factors.
 BUCKETS, FACTORS = 1 << 15, 6
@@ -257,7 +257,11 @@ def _judge(documents: DataFrame, machine: Machine):
 
 
 def document_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Score and class of every document."""
+    """Score and class of every document.
+
+    Every row gives one, repeated ones too; NULL texts are empty ones, and NULL ids teach nothing. Further columns are ignored; an
+    empty table gives none.
+    """
     found = scored(documents.select("doc_id", "text"), learn(documents, labels))
     return found.select(
         "doc_id",
@@ -267,7 +271,11 @@ def document_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def accepted(documents: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that are not clearly of label 0; columns as they were."""
-    judge = _judge(documents, learn(documents, labels))
-    return documents.withColumn("__score", judge(F.col(text))).where(F.col("__score") >= REJECTED_BELOW).select(*documents.columns)
+def accepted(documents: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """The documents that are not clearly of label 0; columns as they were, whatever their names.
+
+    NULL texts are empty ones, repeated rows are judged alike, NULL ids teach nothing; an empty table stays empty.
+    """
+    inner, (t, i) = numbered_columns(documents, text, id_column)
+    judge = _judge(documents, learn(inner.select(F.col(i).alias("doc_id"), F.col(t).alias("text")), labels))
+    return inner.withColumn("judged", judge(F.col(t))).where(F.col("judged") >= REJECTED_BELOW).drop("judged").toDF(*documents.columns)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenspark.llm.common import unit_draw
+from screenspark.llm.common import numbered_columns, unit_draw
 from screenspark.session import materialise
 
 #: Rows of the matrix. 100 TB of one-kilobyte documents make 100 million narrow rows a block.
@@ -147,9 +147,11 @@ def shuffle_into_shards(
     interchangeable. Shard sizes differ by one at most. An empty table gives an empty table; columns of ``rows``
     called shard or slot are replaced.
     """
-    columns = [c for c in rows.columns if c not in ("shard", "slot")]
-    kept = rows.select(*columns)
-    of_key = [F.col(k) for k in keys]
+    inner, key_names = numbered_columns(rows, *keys)
+    numbers = [k for k, c in enumerate(rows.columns) if c.lower() not in ("shard", "slot")]
+    columns = [f"c{k}" for k in numbers]
+    kept = inner.select(*{*columns, *key_names})
+    of_key = [F.col(k) for k in key_names]
 
     def draw(name: str) -> Column:
         return F.xxhash64(F.lit(seed), F.lit(name), *of_key)
@@ -174,7 +176,7 @@ def shuffle_into_shards(
         .withColumn("_shard", F.size(F.filter("_ends", lambda e: e <= F.col("_place"))))
     )
     cells = max(1, blocks // n_shards)
-    dealt = permuted.select(*columns, "_shard").withColumn("_second", draw("second"))
+    dealt = permuted.select(*kept.columns, "_shard").withColumn("_second", draw("second"))
     dealt = dealt.withColumn("_cell", F.pmod(F.shiftright("_second", 20), F.lit(cells)).cast("int"))
     before = Window.partitionBy("_shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -191,6 +193,7 @@ def shuffle_into_shards(
             F.col("_shard").cast("int").alias("shard"),
             (F.col("_before") + F.col("_place")).cast("bigint").alias("slot"),
         )
+        .toDF(*[rows.columns[k] for k in numbers], "shard", "slot")
     )
 
 

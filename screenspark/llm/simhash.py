@@ -9,9 +9,8 @@ the blocks, are at most k.
 Candidates: at k <= 2 flips three of the five blocks are untouched, so linked fingerprints share the pivot distances of
 at least one of the ten choices of three blocks. Rows are keyed by those distances; in a key's bucket, pairs are
 discarded by the maximum coordinate differences and survivors verified on the bits. Equal fingerprints are collapsed
-first. Buckets send on a spanning forest of their links, never the pairs. A bucket too large for one task's pass is
-taken apart instead: two fingerprints within two bits share a fingerprint one bit away from (or equal to) each, and
-joining on that is exact and linear.
+first. Buckets send on a spanning forest of their links, never the pairs. A bucket too large for one task's pass is cut
+into parts, every two of which are searched like a bucket of their own.
 """
 
 from __future__ import annotations
@@ -22,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenspark.llm.common import give_back, sent_if_small, sorted_runs
+from screenspark.llm.common import give_back, numbered_columns, sent_if_small, sorted_runs
 from screenspark.llm.graph import components
+from screenspark.operators.joins import join_keyed
 from screenspark.session import materialise
 
 SHINGLE, MAX_BITS, HASH_SEED = 3, 2, 42
@@ -120,11 +120,11 @@ def _near(prints: np.ndarray, table: np.ndarray, i: int, rest: np.ndarray, bits:
 def _bucket_links(bits: int):
     def of_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A spanning forest of the links of each bucket."""
-        for frame in sorted_runs(frames, ["key"]):
-            keys, signed = frame["key"].to_numpy(), frame["fp"].to_numpy(np.int64)
+        for frame in sorted_runs(frames, ["key", "i", "j"]):
+            keys, signed = frame[["key", "i", "j"]].to_numpy(), frame["fp"].to_numpy(np.int64)
             prints = signed.view(np.uint64)
             table = pivot_distances(prints)
-            cuts = np.flatnonzero(np.diff(keys)) + 1
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             a: list[int] = []
             b: list[int] = []
             for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
@@ -151,25 +151,19 @@ def fingerprint_links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """
     if not 0 <= bits <= MAX_BITS:
         raise ValueError("the five blocks serve distances up to two bits")
-    keyed = distinct.select("fp").mapInPandas(_keys, "key bigint, fp bigint")
-    sized = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    sized = materialise(sized)
-    small = sized.where(F.col("n") <= PASS_ROWS).select("key", "fp")
-    spread = small.repartition("key").sortWithinPartitions("key", "fp")
-    links = spread.mapInPandas(_bucket_links(bits), "a bigint, b bigint")
-    large = sized.where(F.col("n") > PASS_ROWS).select("fp").distinct()
-    flips = [F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)]
-    if bits == 2:
-        moves = F.array(F.lit(0).cast("bigint"), *flips)
-        near = large.select("fp", F.explode(moves).alias("flip")).select("fp", F.expr("fp ^ flip").alias("middle"))
-        least = near.groupBy("middle").agg(F.min("fp").alias("least"))
-        wide = near.join(least, "middle").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-        return links.unionByName(wide)
-    if bits == 1:
-        moved = large.select("fp", F.explode(F.array(*flips)).alias("flip"))
-        moved = moved.select(F.expr("fp ^ flip").alias("a"), F.col("fp").alias("b"))
-        return links.unionByName(moved.join(large.select(F.col("fp").alias("a")), "a").select("a", "b"))
-    return links
+    keyed = materialise(distinct.select("fp").mapInPandas(_keys, "key bigint, fp bigint"))
+    sizes = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    sized = join_keyed(keyed, sizes, ["key"], "n", sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    # A bucket of more than PASS_ROWS is cut into parts, and every two of them are searched together: a row of part p is in
+    # the pairs (p, p .. last) and (0 .. p - 1, p).
+    parts = sized.withColumn("parts", F.ceil(F.col("n") / max(1, PASS_ROWS // 2)).cast("int")).withColumn("parts", F.when(F.col("n") <= PASS_ROWS, 1).otherwise(F.col("parts")))
+    placed = parts.withColumn("at", F.pmod(F.xxhash64("fp", "key"), F.col("parts")).cast("int"))
+    later = F.transform(F.sequence("at", F.col("parts") - 1), lambda j: F.struct(F.col("at").alias("i"), j.alias("j")))
+    sooner = F.filter(F.sequence(F.lit(0), F.col("at")), lambda i: i < F.col("at"))
+    sooner = F.transform(sooner, lambda i: F.struct(i.alias("i"), F.col("at").alias("j")))
+    spread = placed.select("key", "fp", F.inline(F.concat(later, sooner)))
+    spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
+    return spread.mapInPandas(_bucket_links(bits), "a bigint, b bigint")
 
 
 def near_duplicates(
@@ -183,13 +177,15 @@ def near_duplicates(
     gives an empty result; further columns are ignored.
     """
     prints = materialise(fingerprints(documents, id_column, text, size))
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")))
+    n_prints, n_rows = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     roots = materialise(components(fingerprint_links(distinct, bits)))
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    member = member.select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    first = member.groupBy("root").agg(F.min("first").alias("component"))
-    member = member.join(first, "root").select("fp", "root", "component")
-    return prints.join(member, "fp").select("id", "mark", "fp", "root", "component")
+    member = member.select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
+    # One group may hold a third of all fingerprints, and one fingerprint a third of all rows.
+    first = member.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("size"))
+    member = materialise(join_keyed(member, first, ["root"], "size", n_prints).select("fp", "root", "component", "copies"))
+    return join_keyed(prints, member, ["fp"], "copies", n_rows).select("id", "mark", "fp", "root", "component")
 
 
 def one_per_group(
@@ -201,14 +197,15 @@ def one_per_group(
     The rows to drop, by id and hash, go back to the scan of the documents; texts are not grouped.
     """
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
-    found = materialise(near_duplicates(documents, id_column, text, size, bits))
-    rows = found.groupBy("root", "id", "mark").agg(F.count(F.lit(1)).alias("n"))
-    first = rows.groupBy("root").agg(F.min(order).alias("first"))
-    told = materialise(rows.join(first, "root").withColumn("stays", order == F.col("first")))
+    inner, (i, t) = numbered_columns(documents, id_column, text)
+    found = near_duplicates(inner, i, t, size, bits)
+    rows = materialise(found.groupBy("root", "id", "mark").agg(F.count(F.lit(1)).alias("n")))
+    first = rows.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size"))
+    told = materialise(join_keyed(rows, first, ["root"], "size", rows.count()).withColumn("stays", order == F.col("first")))
     again = told.where("stays and n > 1").select("id", "mark")
     gone = sent_if_small(told.where("not stays or n > 1").select("id", "mark"), BROADCAST_ROWS)
 
-    keyed = documents.withColumns({"__id": F.col(id_column).cast("bigint"), "__mark": F.xxhash64(text)})
+    keyed = inner.withColumns({"__id": F.col(i).cast("bigint"), "__mark": F.xxhash64(t)})
 
     def same(keys: DataFrame) -> Column:
         return keyed["__id"].eqNullSafe(keys["id"]) & (keyed["__mark"] == keys["mark"])
@@ -217,7 +214,7 @@ def one_per_group(
     if not again.isEmpty():
         again = sent_if_small(again, BROADCAST_ROWS)
         left = left.unionByName(keyed.join(again, same(again), "left_semi").dropDuplicates(["__id", "__mark"]))
-    return left.select(*documents.columns)
+    return left.drop("__id", "__mark").toDF(*documents.columns)
 
 
 def linked_documents(documents: DataFrame) -> DataFrame:

@@ -78,3 +78,31 @@ def test_short_samples_win_no_foreign_text():
     parser = language.CrossParser((("en", english), ("xx", "a")))
     names, scores = parser.predict(["the old cat of the garden sleeps", "漢字漢字漢字", "a"])
     assert names[0] == "en" and scores[1] == 0.5 and names[2] == "xx"
+
+
+def script(first, letters, seed):
+    draw = np.random.default_rng(seed)
+    return " ".join("".join(chr(first + int(k)) for k in draw.integers(0, letters, 6)) for _ in range(400))
+
+
+def test_letters_beyond_the_first_plane():
+    samples = (("de", script(97, 20, 1)), ("got", script(0x10330, 20, 2)))
+    names, scores = language.CrossParser(samples).predict([script(0x10330, 20, 3)[:200], script(97, 20, 4)[:200]])
+    assert names == ["got", "de"] and min(scores) > 0.9
+
+
+def test_rare_letters_are_parsed_like_frequent_ones(monkeypatch):
+    samples = (("a", script(0x4E00, 60, 1)), ("b", script(0x4E20, 90, 2)))
+    texts = [script(0x4E00, 120, k)[:300] for k in range(5)] + [samples[0][1][50:400], "", "xyz"]
+    expected = language.CrossParser(samples).costs(texts)
+    for few in (1, 7, 40):
+        monkeypatch.setattr(language, "FREQUENT_LETTERS", few)
+        assert (language.CrossParser(samples).costs(texts) == expected).all()
+
+
+def test_many_languages_of_many_letters_fit():
+    samples = tuple((f"l{k:02}", script(*((97, 26), (0x400, 60), (0x4E00, 8000))[k % 3], k)) for k in range(60))
+    parser = language.CrossParser(samples)
+    held = sum(s.table.nbytes + s.keys.nbytes + s.to.nbytes + s.own.nbytes for s in parser.steps) + parser.code.nbytes
+    assert held < 500e6
+    assert parser.predict([samples[2][1][100:400], samples[1][1][100:400]])[0] == ["l02", "l01"]

@@ -73,3 +73,23 @@ def test_stages_take_every_kind_of_row(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
         stage(spark, docs, FOLDER).collect()
+
+
+def test_columns_of_any_name_come_back(spark):
+    long = " ".join(f"word{i} of the story" for i in range(40))
+    rows = [(k, f"{long} {k % 3}" if k < 6 else long.upper(), "en", "a", 3, "d", 2.5, 3, 4, 5, 6, "j", "T", "S") for k in range(8)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "a.b", "__score", "__id", "__mark", "__k1", "__k2", "__judged", "judged", "stays"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, c0 string, n_chars bigint, x5 string, x6 double, x7 int, x8 int, x9 int, x10 int, x11 string, x12 string, x13 string").toDF(*names)
+    bench = spark.createDataFrame([(1, "no passage of these")], "item_id bigint, text string")
+    kept = {r[0]: tuple(r) for r in docs.collect()}
+    stages = [*[lambda d, stage=stage: stage(spark, d, FOLDER) for _, stage in corpus_pipeline.STAGES[:-1]], lambda d: decontaminate.clean_documents(d, bench)]
+    for stage in stages:
+        out = stage(docs)
+        assert out.columns == names
+        assert all(kept[r[0]] == tuple(r) for r in out.collect())
+    assert len(stages[-1](docs).collect()) == 8 and len(simhash.one_per_group(docs).collect()) >= 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == 8
+    twins = docs.select("doc_id", "text", "lang").withColumn("other", docs["text"]).toDF("doc_id", "text", "lang", "TEXT")
+    assert quality.accepted(twins, spark.read.parquet(f"{FOLDER}/labels.parquet")).columns == twins.columns
+    found = language.identified(docs, language.learn(language.training_rows(docs)))
+    assert found.columns == [*names, "lang_pred", "score"] and found.count() == 8
