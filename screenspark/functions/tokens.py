@@ -138,31 +138,23 @@ def concat_blocks(blocks: Sequence[Column | str]) -> Column:
 WORD_BITS = 64
 
 
-def pack_bits(bits: Column | str, n_bits: int = N_BITS) -> Column:
-    """A bit set, ascending, as ``n_bits / 64`` longs: 256 bytes for 2048 bits, however many are set."""
-    zero = F.lit(0).cast("bigint")
-
-    def put(a: Column, bit: Column) -> Column:
-        word = F.call_function("shiftright", bit, F.lit(6))
-        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(WORD_BITS - 1)))
-        closed = F.concat(a["done"], F.array(a["open"]), F.array_repeat(zero, word - a["word"] - 1))
-        return F.struct(
-            word.alias("word"),
-            F.when(word == a["word"], a["open"].bitwiseOR(one)).otherwise(one).alias("open"),
-            F.when(word == a["word"], a["done"]).otherwise(closed).alias("done"),
-        )
+def word_names(n_bits: int) -> list[str]:
+    """Fields of a packed set: one long per 64 bits."""
+    return [f"w{k}" for k in range(-(-n_bits // WORD_BITS))]
 
-    def close(a: Column) -> Column:
-        return F.concat(a["done"], F.array(a["open"]), F.array_repeat(zero, F.lit(-(-n_bits // WORD_BITS) - 1) - a["word"]))
 
-    start = F.struct(F.lit(0).alias("word"), zero.alias("open"), F.array().cast("array<bigint>").alias("done"))
-    return F.aggregate(col_of(bits), start, put, close)
+def word_masks(bit: Column, n_bits: int) -> list[Column]:
+    """Aggregates that pack the bits of a group, one long per 64 bits; a negative bit sets none."""
+    zero = F.lit(0).cast("bigint")
+    word = F.call_function("shiftright", bit, F.lit(6))
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(WORD_BITS - 1)))
+    return [F.coalesce(F.bit_or(F.when(word == k, mask).otherwise(zero)), zero).alias(name) for k, name in enumerate(word_names(n_bits))]
 
 
 def packed_shared(left: Column | str, right: Column | str, n_bits: int = N_BITS) -> Column:
     """Number of bits set in both of two packed sets."""
     a, b = col_of(left), col_of(right)
-    counts = [F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.get(b, F.lit(i)))) for i in range(-(-n_bits // WORD_BITS))]
+    counts = [F.bit_count(a[name].bitwiseAND(b[name])) for name in word_names(n_bits)]
     return sum(counts[1:], counts[0])
 
 
@@ -170,3 +162,8 @@ def packed_tanimoto(left: Column | str, left_size: Column | str, right: Column |
     """Shared over all set bits of two packed sets of known sizes; NULL when both are empty."""
     shared = packed_shared(left, right, n_bits)
     return F.try_divide(shared.cast("double"), (col_of(left_size) + col_of(right_size) - shared).cast("double"))
+
+
+def packed_alike(left: Column | str, left_size: Column | str, right: Column | str, right_size: Column | str, similar: float, n_bits: int = N_BITS) -> Column:
+    """Whether two packed sets have a Tanimoto of about ``similar`` or more; never false where it is exactly that."""
+    return packed_shared(left, right, n_bits) * (1 + similar) >= (col_of(left_size) + col_of(right_size)) * similar - 1e-6

@@ -14,9 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenspark.functions.tokens import N_BITS, packed_tanimoto
+from screenspark.functions.tokens import N_BITS, packed_shared
 from screenspark.operators.joins import join_small
 from screenspark.operators.ranking import row_numbers
+from screenspark.session import materialise
 
 #: Rows of a key on either side of a tile.
 TILE = 1024
@@ -80,12 +81,14 @@ def following_similarity(
 ) -> DataFrame:
     """``(by..., n_pairs, mean, max and min similarity, n_similar)`` of every row with the ``following`` next rows of its group, in
     the order of the id. Pairs of two empty sets do not count; a group without a pair has no row."""
-    numbered = row_numbers(df.select(*by, id_column, packed, size), id_column, packed, by, out="_rn")
+    numbered = materialise(row_numbers(df.select(*by, id_column, packed, size), id_column, size, by, out="_rn"))
     a = numbered.select(*by, F.col("_rn").alias("_a"), F.col(packed).alias("_pa"), F.col(size).alias("_sa"))
     b = numbered.select(*by, F.col("_rn").alias("_b"), F.col(packed).alias("_pb"), F.col(size).alias("_sb"))
     pairs = band_join(a, b, by, "_a", "_b", 1, following, "_a", "_b", rows=max(TILE, 2 * following))
-    value = pairs.select(*by, packed_tanimoto("_pa", "_sa", "_pb", "_sb", n_bits).alias("_v")).where(F.col("_v").isNotNull())
-    return value.groupBy(*by).agg(*similarity_numbers(F.col("_v"), similar))
+    # The shared bits are counted in a step of their own: written out twice, the code would be too long to be compiled.
+    shared = pairs.select(*by, "_sa", "_sb", packed_shared("_pa", "_pb", n_bits).alias("_n"))
+    value = F.try_divide(F.col("_n").cast("double"), (F.col("_sa") + F.col("_sb") - F.col("_n")).cast("double"))
+    return shared.where("_sa + _sb > 0").groupBy(*by).agg(*similarity_numbers(value, similar))
 
 
 def similarity_numbers(value: Column, similar: float) -> list[Column]:

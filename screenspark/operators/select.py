@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenspark.operators.prep import _moments_row, doubles, fit_moments, numbers, pick_features
 
-#: Width up to which the d x d correlation matrix is taken to the driver (8 d^2 bytes: 800 MB at this limit).
-MAX_CORRELATED = 10_000
+#: Columns of a tile of the correlation matrix, and pairs of tiles whose sums a task holds (2 MB each).
+TILE, TILE_PAIRS = 512, 64
+#: Sums that all tasks together send, about (16 GB).
+SENT_NUMBERS = 4 << 30
 
 # Defaults of the selection chain and of the F filter.
 CORRELATION_LIMIT = 0.90
@@ -26,14 +29,69 @@ F_TOP_K = 1000
 IMPORTANCE_TREES = 100
 
 
-def correlation_matrix(df: DataFrame, features: str) -> np.ndarray:
-    """Pearson matrix; features are centred first, which keeps the sums of products exact enough for large means."""
+def _row_slices(df: DataFrame, features: str, width: int) -> DataFrame:
+    """``(v)``: the feature arrays cut into slices of TILE numbers, slice by slice and row by row, so that a batch of rows is
+    bounded however wide the features are."""
+    starts = F.sequence(F.lit(1), F.lit(width), F.lit(TILE))
+    slices = F.transform(starts, lambda s: F.slice(F.col("_x"), s, F.lit(TILE)))
+    known = df.where(F.col(features).isNotNull()).select(doubles(features).alias("_x"))
+    return known.select(F.explode(slices).alias("v"))
+
+
+def _tile_products(pairs: list[tuple[int, int]], mean: np.ndarray, scale: np.ndarray):
+    """Sums of products of standardised columns, over the rows of a task, for some pairs of column tiles."""
+    width, tile = len(mean), TILE
+
+    def of_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {pair: np.zeros((tile, tile)) for pair in pairs}
+        rest = np.zeros(0)
+        some = False
+        for frame in frames:
+            flat = np.concatenate([rest, *frame["v"]]).astype(np.float64)  # missing numbers become NaN
+            whole = len(flat) // width * width
+            rest = flat[whole:]
+            rows = (flat[:whole].reshape(-1, width) - mean) / scale
+            some = some or len(rows) > 0
+            for i, j in pairs:
+                part = rows[:, i * tile : (i + 1) * tile].T @ rows[:, j * tile : (j + 1) * tile]
+                sums[i, j][: part.shape[0], : part.shape[1]] += part
+        if some:
+            for (i, j), total in sums.items():
+                for start in range(0, tile, 64):
+                    rows = np.arange(start, min(start + 64, tile))
+                    yield pd.DataFrame({"i": i, "j": j, "r": rows, "v": list(total[rows])})
+
+    return of_frames
+
+
+def correlation_rows(df: DataFrame, features: str, tile_pairs: int = TILE_PAIRS) -> DataFrame:
+    """``(column, first, correlations)``: the Pearson correlations of a feature with TILE features from place ``first`` on.
+
+    Every pair of features is there with the earlier one as ``column`` (further ones of the same tile are repeated). The
+    columns are cut into tiles; a task adds the products of at most ``tile_pairs`` pairs of tiles over its rows, and the sums
+    of tasks are added by key, so neither a task nor the driver ever holds the matrix. Features with a missing or
+    infinite number have NaN with all others, constant ones 0.
+    """
     moments = fit_moments(df, features)
-    if len(moments.mean) > MAX_CORRELATED:
-        raise ValueError(f"{len(moments.mean)} features; drop constant ones or select before (limit {MAX_CORRELATED})")
-    centred = F.zip_with(doubles(features), numbers(moments.mean), lambda x, m: x - m)
-    vectors = df.where(F.col(features).isNotNull()).select(array_to_vector(centred).alias("v"))
-    return Correlation.corr(vectors, "v").first()[0].toArray()
+    width = len(moments.mean)
+    mean, scale = np.array(moments.mean), np.sqrt(np.array(moments.variance))
+    scale[scale == 0] = np.inf  # a constant has no correlation
+    tiles = -(-width // TILE)
+    pairs = [(i, j) for i in range(tiles) for j in range(i, tiles)]
+    # Every task sends its sums, so wide features are added up in fewer tasks.
+    slices = _row_slices(df, features, width).coalesce(max(8, SENT_NUMBERS // width**2))
+    parts = None
+    for start in range(0, len(pairs), tile_pairs):
+        part = slices.mapInPandas(_tile_products(pairs[start : start + tile_pairs], mean, scale), "i int, j int, r int, v array<double>")
+        parts = part if parts is None else parts.unionByName(part)
+    sums = F.transform("v", lambda x: F.coalesce(x, F.lit(float("nan"))))  # Arrow took undefined ones as missing
+    added = parts.groupBy("i", "j", "r").agg(Summarizer.sum(array_to_vector(sums)).alias("v"))
+    n = F.lit(float(moments.count))
+    return added.select(
+        (F.col("i") * TILE + F.col("r")).alias("column"),
+        (F.col("j") * TILE).alias("first"),
+        F.transform(vector_to_array("v"), lambda s: s / n).alias("correlations"),
+    ).where(F.col("column") < width)
 
 
 def correlated_features(df: DataFrame, features: str, limit: float = CORRELATION_LIMIT) -> list[int]:
@@ -41,8 +99,10 @@ def correlated_features(df: DataFrame, features: str, limit: float = CORRELATION
 
     An earlier feature counts even if it is dropped itself. An undefined correlation drops nothing.
     """
-    above = np.triu(np.nan_to_num(np.abs(correlation_matrix(df, features))) > limit, k=1)
-    return np.flatnonzero(above.any(axis=0)).tolist()
+    rows = correlation_rows(df, features).select("column", F.posexplode("correlations").alias("k", "c"), "first")
+    later = F.col("first") + F.col("k")
+    above = rows.where((later > F.col("column")) & ~F.isnan("c") & (F.abs("c") > limit)).select(later.alias("later")).distinct()
+    return sorted(r["later"] for r in above.collect())  # one number per feature at most
 
 
 def mutual_information(df: DataFrame, features: str, label: str, bins: int = 10) -> DataFrame:

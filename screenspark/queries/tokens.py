@@ -263,7 +263,8 @@ def pair_similarity_across_classes(spark, sf_dir):
 )
 def following_pairs_by_class(spark, sf_dir):
     """The same over the pairs of each text with the 99 next ones of its class."""
-    rows = _labelled_bits(spark, sf_dir).select("target", "label", "doc_id", F.size("bits").alias("size"), K.pack_bits("bits").alias("packed"))
+    rows = _labelled_bits(spark, sf_dir).withColumn("size", F.size("bits"))
+    rows = B.pack_sets(rows, ["target", "label", "doc_id", "size"], "bits", K.N_BITS)
     return rounded(bands.following_similarity(rows, ["target", "label"], "doc_id", "packed", "size"), *_NUMBERS, digits=9)
 
 

@@ -70,10 +70,33 @@ def test_correlation_filter_counts_dropped_columns(spark):
     assert S.correlated_features(matrix(spark, data), "x", limit) == [1, 2, 3]
 
 
-def test_wide_correlation_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(S, "MAX_CORRELATED", 2)
-    with pytest.raises(ValueError):
-        S.correlated_features(matrix(spark, [(1, 2, 3), (2, 3, 5)]), "x")
+@pytest.mark.parametrize("tile, pairs", [(3, 64), (3, 2), (512, 64)])
+def test_correlations_in_tiles(spark, monkeypatch, tile, pairs):
+    monkeypatch.setattr(S, "TILE", tile)
+    draw = np.random.default_rng(8)
+    data = draw.normal(5, 2, (90, 10)) @ draw.normal(size=(10, 10))
+    data[:, 4] = 7.0
+    expected = np.corrcoef(np.delete(data, 4, axis=1).T)
+    expected = np.insert(np.insert(expected, 4, 0, axis=0), 4, 0, axis=1)
+    got = np.full((10, 10), np.nan)
+    for r in S.correlation_rows(matrix(spark, data).repartition(4), "x", pairs).collect():
+        width = min(tile, 10 - r["first"])
+        got[r["column"], r["first"] : r["first"] + width] = r["correlations"][:width]
+    upper = np.triu_indices(10, 1)
+    assert got[upper] == pytest.approx(expected[upper], abs=1e-9)
+    assert S.correlated_features(matrix(spark, data), "x", 0.3) == [j for j in range(10) if (np.abs(expected[:j, j]) > 0.3).any()]
+
+
+def test_wide_features_are_filtered(spark):
+    wide = spark.range(12).coalesce(1).select("id", F.transform(F.sequence(F.lit(0), F.lit(11_999)), lambda k: F.pmod(F.xxhash64("id", k % 11_000), F.lit(1000)).cast("double")).alias("x"))
+    draws = np.array([r["x"] for r in wide.select(F.slice("x", 1, 300).alias("x")).collect()])
+    found = S.correlated_features(wide, "x", 0.999999)
+    assert found == list(range(11_000, 12_000)) and (np.triu(np.corrcoef(draws.T), 1) < 0.9999).all()
+
+
+def test_missing_numbers_drop_nothing(spark):
+    df = spark.createDataFrame([(1, [1.0, 1.0, float("nan"), 2.0]), (2, [2.0, 2.0, 3.0, 4.0]), (3, [3.0, 3.5, 4.0, 6.0]), (4, None)], "id int, x array<double>")
+    assert S.correlated_features(df, "x", 0.9) == [1, 3]
 
 
 def test_mutual_information_and_f(spark):

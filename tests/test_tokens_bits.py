@@ -131,7 +131,8 @@ def test_bit_profile(spark):
 
 def test_packed_sets(spark):
     data = [[], [0], [63], [64], [0, 63, 64, 127, 128], [5, 199], list(range(200))]
-    df = spark.createDataFrame([(x,) for x in data], "bits array<int>").select("bits", K.pack_bits("bits", 200).alias("p"))
+    df = B.pack_sets(spark.createDataFrame([(x,) for x in data], "bits array<int>"), ["bits"], "bits", 200, "p")
+    assert df.count() == len(data)
     for r in df.collect():
         assert [64 * w + b for w, v in enumerate(r.p) for b in range(64) if v >> b & 1] == r.bits and len(r.p) == 4
     both = df.select(F.col("bits").alias("x"), F.col("p").alias("px")).crossJoin(df.select(F.col("bits").alias("y"), F.col("p").alias("py")))
@@ -174,7 +175,7 @@ def test_all_pairs_of_unusual_tables(spark):
 @pytest.mark.parametrize("following", [1, 7, 99, 500])
 def test_following_pairs_equal_brute_force(sets, following):
     rows = [r["bits"] for r in sets.orderBy("id").collect()]
-    packed = sets.select("g", "id", F.size("bits").alias("n"), K.pack_bits("bits", 64).alias("p"))
+    packed = B.pack_sets(sets.withColumn("n", F.size("bits")), ["g", "id", "n"], "bits", 64, "p")
     pairs = [(i, j) for i, j in combinations(range(len(rows)), 2) if j <= i + following]
     assert stats(bands.following_similarity(packed, ["g"], "id", "p", "n", following, 64)) == numbers(rows, pairs)
 
