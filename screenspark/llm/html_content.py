@@ -35,6 +35,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
+#: Elements that can stand inside running text: left out, they leave the block around them open.
+INSIDE = frozenset("script style noscript template iframe svg math button select input textarea canvas audio video object map label output meter progress datalist".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")
 CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -63,6 +65,10 @@ _ADDED = r"[_\-]?(?:wrapper|wrap|container|area|list|box|section|bar|block|items
 _LAYOUT = r"(?:has|no|not|with|without|is|hide|show|js)[_\-]|\w+[_\-](?:open|closed|enabled|disabled)(?=$|\s)|content[_\-]sidebars?(?:[_\-]|$|\s)|sidebars?[_\-]content[_\-]"
 #: Whole class tokens that begin with a name, or end with one.
 NAMES = re.compile(rf"(?:^|(?<=\s))(?!{_LAYOUT})(?:{_NAME}|\S*[_\-]{_NAME}(?:{_ADDED})*+(?=$|\s))", re.I)
+#: Names that a class token may also begin with because the text is about them, if other words than the added ones follow.
+_TOPICS = r"(?:social|related|search|side|notices?|alerts?|navigation|copyright|consent|recommend\w*|share|sharing|tags|promo\w*|header|footer|login)"
+TOPICAL = re.compile(rf"{_TOPICS}(?:[_\-]\w+)+$", re.I)
+_WHOLLY_NAMED = re.compile(rf"{_NAME}(?:{_ADDED}|[_\-](?:posts?|articles?|stories|news|media|icons?|bar|nav|menu|us|this))*+$", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
 # Possessive repetition: a broken tag is given up at once, so the time is linear in the page.
@@ -108,11 +114,14 @@ class Block:
         return _SPACE.sub(" ", "".join(self.pieces)).strip()
 
 
-#: What an element's tag and attributes say: nothing, a form or a name (left out unless the content is in it), left out.
-PLAIN, FORM, NAMED, OUT = range(4)
+#: What an element's tag and attributes say: nothing, a form or a name (left out unless the content is in it), left out. In an
+#: article, its header (left out unless it holds the only main heading), and a name that may be a topic (left out unless it is prose).
+PLAIN, FORM, NAMED, OUT, OWN, TOPIC = range(6)
 
 
-def _kind(tag: str, attributes: str) -> int:
+def _kind(tag: str, attributes: str, in_article: bool) -> int:
+    if tag == "header" and in_article:
+        return OWN
     if tag in LEFT_OUT:
         return OUT
     kind = FORM if tag == "form" else PLAIN
@@ -126,8 +135,11 @@ def _kind(tag: str, attributes: str) -> int:
             if value.lower() != "form":
                 return OUT
             kind = max(kind, FORM)
+        if name == "id" and tag in HEADINGS:
+            continue  # the heading's words, as an anchor
         if name in ("class", "id") and tag not in CONTENT and NAMES.search(value):
-            kind = NAMED
+            topical = in_article and all(TOPICAL.match(x) and not _WHOLLY_NAMED.match(x) for x in value.split() if NAMES.search(x))
+            kind = TOPIC if topical and kind != NAMED else NAMED
     return kind
 
 
@@ -156,7 +168,7 @@ class _OpenTags:
         self.tags.append(tag)
         self.at.append(here)
         self.number[tag] += 1
-        if kind in (FORM, NAMED):
+        if kind in (FORM, NAMED, OWN, TOPIC):
             self.marks.append((self.under[-1], kind))
             self.under.append(len(self.marks) - 1)
         else:
@@ -202,7 +214,7 @@ def blocks_of(page: str) -> tuple[list[tuple[int, str, int]], Paths]:
 
     for token in _TOKEN.finditer(page):
         if token["raw"]:
-            block = None if token["raw"].lower() not in INLINE else block
+            block = block if token["raw"].lower() in INSIDE else None
             continue
         if (raw := token["text"]) is not None:
             if stack.out_since >= 0:
@@ -220,12 +232,15 @@ def blocks_of(page: str) -> tuple[list[tuple[int, str, int]], Paths]:
         if not token["tag"]:
             continue
         tag, attributes = token["tag"].lower(), token["attributes"][:-1]
-        if tag not in INLINE:
+        out, ends_block = stack.out_since >= 0, tag not in INLINE and tag not in INSIDE
+        if ends_block and not out:
             block = None
-        elif tag == "br" and block is not None:
+        elif tag == "br" and block is not None and not out:
             block.pieces.append(" ")
         if token["end"]:
             stack.end(tag)
+            if out and stack.out_since < 0 and ends_block:
+                block = None  # the left-out element ended with one around it
             continue
         if tag in ENDS_PARAGRAPH:
             stack.close_last({"p"}, PARAGRAPH_BARRIER)
@@ -241,7 +256,10 @@ def blocks_of(page: str) -> tuple[list[tuple[int, str, int]], Paths]:
             continue
         if tag == "body" and stack.number["head"]:
             stack.close(stack.tags.index("head"))
-        kind = _kind(tag, attributes) if stack.out_since < 0 else PLAIN
+        if out and stack.out_since < 0 and ends_block:
+            block = None
+        in_article = any(stack.number[c] for c in CONTENT)
+        kind = _kind(tag, attributes, in_article) if stack.out_since < 0 else PLAIN
         if kind == OUT:
             stack.out_since = len(stack.tags)
         stack.open(tag, kind)
@@ -254,24 +272,34 @@ def _spared(read: list[tuple[Block, str]], marks: list[tuple[int, int]], paths:
     """For the page and each mark: is its text read? That of a mark is if it wraps the content: if no text of an article
     or main element is outside it, and it holds one with more text than there is outside, or most of the page's text
     (and, if it is marked for a name, also the only main heading, or nearly all of the text). Beside such text only a
-    form with nearly all of the text is read."""
-    own, articles, titles, held = ([0] * (len(marks) + 1) for _ in range(4))  # place 0 is the page's
+    form with nearly all of the text is read. An article's header is read if all main headings are in it, and a part of an
+    article whose name may be its topic if it is prose: few links, and a punctuation mark per block."""
+    own, articles, titles, held, links, blocks, stops = ([0] * (len(marks) + 1) for _ in range(7))  # place 0 is the page's
     for b, text in read:
         plain = max(0, len(text) - b.linked)
         own[b.mark + 1] += plain
         titles[b.mark + 1] += paths[b.path][1] == "h1"
+        links[b.mark + 1] += min(b.linked, len(text))
+        blocks[b.mark + 1] += 1
+        stops[b.mark + 1] += len(_MARKS.findall(text))
         if b.content > -2:
             articles[b.mark + 1] += plain * (paths[b.path][1] not in HEADINGS)
             held[b.content + 1] += plain
     total, all_titles, all_held = own[:], titles[:], held[:]
     for k in range(len(marks), 0, -1):  # a mark comes after the one around it
-        for sums in (total, all_titles, all_held):
+        for sums in (total, all_titles, all_held, links, blocks, stops):
             sums[marks[k - 1][0] + 1] += sums[k]
     outside, spared = [own[0], articles[0], titles[0]], [True] + [False] * len(marks)
     for k, (around, kind) in enumerate(marks, 1):
         if not spared[around + 1]:
             continue
-        if outside[1]:
+        if kind == OWN:
+            if not all_titles[k] or all_titles[k] != all_titles[0]:
+                continue
+        elif kind == TOPIC:
+            if 10 * links[k] > 3 * (total[k] + links[k]) or stops[k] < blocks[k]:
+                continue
+        elif outside[1]:
             if kind == NAMED or 10 * outside[0] >= total[k]:
                 continue
         elif all_held[k] <= outside[0]:
@@ -306,7 +334,8 @@ def _shares(inside: dict[int, float], total: list[float], paths: Paths) -> tuple
 
 
 def kept_paths(blocks: list[tuple[int, str, int]], paths: Paths) -> set[int]:
-    """Paths of the content: those whose fused score is a fair share of the best."""
+    """Paths of the content: those whose fused score is a fair share of the best, but for lists of links. In an article, links
+    of a numbered list, or with two punctuation marks each, are references and stay."""
     chars: dict[int, float] = defaultdict(float)
     marks: dict[int, float] = defaultdict(float)
     linked: dict[int, float] = defaultdict(float)
@@ -314,10 +343,13 @@ def kept_paths(blocks: list[tuple[int, str, int]], paths: Paths) -> set[int]:
     inside: dict[int, float] = defaultdict(float)
     total = [0.0] * len(paths)
     order: list[int] = []  # paths in page order, runs of one path once
+    cited: dict[int, float] = defaultdict(float)
     for path, text, in_links in blocks:
         plain = max(0, len(text) - in_links)
         chars[path] += plain
-        marks[path] += len(_MARKS.findall(text)) if plain else 0
+        stops = len(_MARKS.findall(text))
+        marks[path] += stops if plain else 0
+        cited[path] += stops
         linked[path] += min(in_links, len(text))
         number[path] += 1
         inside[paths[path][0]] += plain
@@ -339,7 +371,15 @@ def kept_paths(blocks: list[tuple[int, str, int]], paths: Paths) -> set[int]:
         return set()
     fused = {p: 0.5 * smooth[p] / best + 0.5 * share[p] / most for p in number}
     least = LEAST_SCORE * max(fused.values())
-    return {p for p, s in fused.items() if s >= least and linked[p] <= LINK_SHARE * (chars[p] + linked[p])}
+
+    def references(path: int) -> bool:
+        p, around = path, set()
+        while p > 0:
+            around.add(paths[p][1])
+            p = paths[p][0]
+        return bool(around & CONTENT) and ("ol" in around or cited[path] >= 2 * number[path])
+
+    return {p for p, s in fused.items() if s >= least and (linked[p] <= LINK_SHARE * (chars[p] + linked[p]) or references(p))}
 
 
 def main_text(page: str | None) -> str:

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from screenspark.llm import html_content
 from screenspark.llm.html_content import blocks_of, main_text
 
 FOLDER = "/root/testdata/sf0.01"
@@ -123,3 +124,74 @@ def test_rows_and_columns(spark):
     df = spark.createDataFrame([(1, "u", None, "old"), (1, "u", None, "old"), (None, None, f"<p>{BODY}", "x")], "page_id bigint, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_content.extracted(df).collect()) == [(0, TEXT, len(TEXT)), (1, "", 0), (1, "", 0)]
     assert html_content.page_texts(df.limit(0)).count() == 0
+
+
+SENTENCES = "<p>" + "This is a sentence, and it goes on for quite a while. " * 5 + "</p>"
+
+
+@pytest.mark.parametrize("inside", [
+    "<script>var x = 'no';</script>", "<svg><path d='x'/><text>no</text></svg>", "<label>no</label>", "<button type=button>no <b>no</b></button>",
+    "<select><option>no<option>no</select>", "<input value=no>", "<style>p { no }</style>", "<noscript>no</noscript>", "<video src=x>no <b>no</b></video>",
+])
+def test_left_out_parts_of_running_text_leave_it_whole(inside):
+    found = main_text(f"<article><p>Hello {inside}world, it goes <b>on{inside}</b> here.</p>{SENTENCES}</article>")
+    assert found.split("\n\n")[0] == "Hello world, it goes on here."
+
+
+def test_unclosed_parts_end_with_the_element_around_them():
+    found = main_text(f"<article><div>{SENTENCES}Before <label>no</div><p>After, it goes on.</p>{SENTENCES}</article>")
+    assert "no" not in found.split() and "After, it goes on." in found.split("\n\n")
+
+
+def test_article_header_with_the_only_main_heading_stays():
+    page = "<body><header><h1>Site</h1><p>slogan</p></header><article><header>{}</header>" + SENTENCES * 3 + "<footer>foot</footer></article></body>"
+    assert main_text(page.format("<h1>Title</h1>")).startswith("Title\n\nThis is")
+    assert main_text(page.format("<p>By somebody</p>")).startswith("This is")
+    assert main_text(page.format("<h1>One</h1>").replace("<footer>", "<h1>Two</h1><footer>")).startswith("This is")
+
+
+def test_names_of_headings_and_topics_stay_in_an_article():
+    for part in ("<h2 id='related-work'>Related work</h2>", "<h2 id='comments-on-method'>Comments</h2>"):
+        assert part.split(">")[1].split("<")[0] in main_text(f"<article><h1>T</h1>{SENTENCES}{part}{SENTENCES}</article>").split("\n\n")
+    prose = "<p>" + "Social history, as it was written then. " * 6 + "</p>"
+    assert "as it was written" in main_text(f"<article>{SENTENCES * 3}<div class='social-history'>{prose}</div></article>")
+    for name in ("social-links", "related-posts", "comments-area", "comment-thread", "share-buttons"):
+        assert "as it was written" not in main_text(f"<article>{SENTENCES * 3}<div class='{name}'>{prose}</div></article>")
+    links = "<ul><li><a href=x>One other story</a><li><a href=y>And another</a></ul>"
+    assert "other story" not in main_text(f"<article>{SENTENCES * 3}<div class='related-reading'>{links}</div></article>")
+
+
+def test_references_stay_and_menus_go():
+    works = "<li><a href=x>A. Writer, Some paper, a journal, 1999.</a></li><li><a href=y>B. Writer, Another, 2001.</a></li>"
+    menu = "<ul><li><a href=x>First page</a></li><li><a href=y>Next page</a></li></ul>"
+    for form in ("ol", "ul"):
+        found = main_text(f"<article>{SENTENCES * 3}<h2>References</h2><{form}>{works}</{form}></article>{menu}")
+        assert found.endswith("References\n\nA. Writer, Some paper, a journal, 1999.\n\nB. Writer, Another, 2001.")
+    assert "page" not in main_text(f"<article>{SENTENCES * 3}{menu}</article>")
+
+
+def plain_kept(blocks):
+    """Paths kept, computed from (path of tags, text) blocks under one div of the page, by the definition."""
+    def ratio(path):
+        own = [t for p, t in blocks if p == path]
+        return sum(len(t) + 10 * sum(t.count(m) for m in ".,;:!?") for t in own) / len(own)
+
+    paths = list(dict.fromkeys(p for p, _ in blocks))
+    order = [p for k, (p, _) in enumerate(blocks) if not k or blocks[k - 1][0] != p]
+    smooth = {}
+    for p in paths:
+        beside = [ratio(order[j]) for i, q in enumerate(order) if q == p for j in (i - 1, i + 1) if 0 <= j < len(order)]
+        smooth[p] = 0.75 * ratio(p) + 0.25 * (sum(beside) / len(beside) if beside else ratio(p))
+    fused = {p: 0.5 * smooth[p] / max(smooth.values()) + 0.5 for p in paths}  # one container: all have its share
+    return {p for p in paths if fused[p] >= 0.25 * max(fused.values())}, fused
+
+
+def test_ratios_against_the_definition(monkeypatch):
+    blocks = [("h2", "A title"), *[("p", "A sentence, as long as others are. " * k) for k in (3, 5, 2)], ("h3", "Next"), ("p", "It ends here."), ("h2", "More"), ("p", "Last words, then.")]
+    page = "<html><body><div>" + "".join(f"<{t}>{x}</{t}>" for t, x in blocks) + "</div></body></html>"
+    blocks = [(t, x.strip()) for t, x in blocks]
+    for least in (0.25, 0.6, 0.8, 0.95):
+        monkeypatch.setattr(html_content, "LEAST_SCORE", least)
+        _, fused = plain_kept(blocks)
+        kept = {p for p, s in fused.items() if s >= least * max(fused.values())}
+        assert main_text(page) == "\n\n".join(x for t, x in blocks if t in kept)
