@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenspark.functions.scalars import ratio
 from screenspark.operators.prep import doubles, fit_moments, numbers
+from screenspark.session import materialise
 
 # Seed, grid of cluster numbers and its upper limits.
 SEED = 42
@@ -25,6 +29,8 @@ CLASS_ROWS_PER_CLUSTER = 10
 # Starts per k and steps of each.
 STARTS = 10
 STEPS = 300
+#: Rows whose distances to as many others are taken at a time.
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -70,14 +76,75 @@ def _fit_clusters(vectors: DataFrame, k: int, seed: int, starts: int) -> KMeansM
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
+def silhouettes(df: DataFrame, id_column: str, features: str, cluster: str, block: int = BLOCK) -> DataFrame:
+    """``(id, cluster, silhouette)`` by plain Euclidean distance, exact.
+
+    The mean distance of a row to every cluster needs all pairs: rows are cut into blocks, a task takes the distances of two
+    blocks and returns their sums per row and cluster, and the sums of a row are added. A row alone in its cluster has 0;
+    with a single cluster all have NULL. Rows without features or a cluster are left out. Ids are distinct.
+    """
+    rows = df.where(F.col(cluster).isNotNull() & F.col(features).isNotNull())
+    sizes = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")).orderBy(cluster).collect()  # one row per cluster
+    kind = df.schema[id_column].dataType.simpleString()
+    n_clusters, n = len(sizes), sum(r["n"] for r in sizes)
+    if n_clusters < 2:
+        return rows.select(id_column, cluster, F.lit(None).cast("double").alias("silhouette"))
+    names = F.array(*[F.lit(r[cluster]) for r in sizes])
+    blocks = -(-n // block)
+    own = F.pmod(F.xxhash64(F.col(id_column)), F.lit(blocks)).cast("int")
+    place = (F.array_position(names, F.col(cluster)) - 1).cast("int")
+    placed = rows.select(F.col(id_column).alias("_id"), place.alias("_k"), doubles(features).alias("_x"), own.alias("_at"))
+    # A row of block p is the first of the pairs p .. last and the second of the pairs 0 .. p - 1.
+    as_first = F.transform(F.sequence("_at", F.lit(blocks - 1)), lambda j: F.struct(F.col("_at").alias("_i"), j.alias("_j")))
+    earlier = F.filter(F.sequence(F.lit(0), F.col("_at")), lambda i: i < F.col("_at"))
+    as_second = F.transform(earlier, lambda i: F.struct(i.alias("_i"), F.col("_at").alias("_j")))
+    dealt = placed.select("_id", "_k", "_x", "_at", F.inline(F.concat(as_first, as_second)))
+
+    def added(pair: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pair["_i"].iloc[0]), int(pair["_j"].iloc[0])
+        a, b = pair[pair["_at"] == i], pair[pair["_at"] == j]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"_id": pair["_id"].iloc[:0], "_k": pair["_k"].iloc[:0], "_sums": []})
+        x, y = np.stack(a["_x"].to_list()), np.stack(b["_x"].to_list())
+        centre = y.mean(axis=0)
+        x, y = x - centre, y - centre
+        squares = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
+        apart = np.sqrt(np.maximum(squares, 0))
+        if i == j:
+            np.fill_diagonal(apart, 0)
+        out = [(a, apart @ np.eye(n_clusters)[b["_k"].to_numpy()])]
+        if i != j:
+            out.append((b, apart.T @ np.eye(n_clusters)[a["_k"].to_numpy()]))
+        return pd.concat([pd.DataFrame({"_id": of["_id"].to_numpy(), "_k": of["_k"].to_numpy(), "_sums": list(sums)}) for of, sums in out])
+
+    parts = dealt.groupBy("_i", "_j").applyInPandas(added, f"_id {kind}, _k int, _sums array<double>")
+    total = parts.groupBy("_id", "_k").agg(vector_to_array(Summarizer.sum(array_to_vector("_sums"))).alias("_sums"))
+    counts = F.array(*[F.lit(float(r["n"])) for r in sizes])
+    mine = F.get(counts, F.col("_k"))
+    means = F.transform("_sums", lambda s, k: F.when(k != F.col("_k"), s / F.get(counts, k)))
+    told = total.withColumns({"_own": F.get("_sums", F.col("_k")) / F.nullif(mine - 1, F.lit(0.0)), "_next": F.array_min(means)})
+    most = F.greatest("_own", "_next")
+    value = F.when(mine == 1, 0.0).when(most == 0, 0.0).otherwise((F.col("_next") - F.col("_own")) / F.nullif(most, F.lit(0.0)))
+    return told.select(F.col("_id").alias(id_column), F.get(names, F.col("_k")).alias(cluster), value.alias("silhouette"))
+
+
 def choose_clusters(
-    df: DataFrame, features: str, grid: Sequence[int], seed: int = SEED, starts: int = STARTS
+    df: DataFrame, features: str, grid: Sequence[int], seed: int = SEED, starts: int = STARTS, id_column: str | None = None
 ) -> Clustering:
     """K-means for every k of the grid; the best silhouette wins, the smaller k on a tie.
 
-    The silhouette is the squared-Euclidean one, whose work is linear in the rows; the plain Euclidean one compares
-    all pairs. An empty grid means one cluster.
+    The silhouette is the squared-Euclidean one, whose work is linear in the rows; with ``id_column`` it is the plain Euclidean
+    one of ``silhouettes``, which compares all pairs. An empty grid means one cluster.
     """
+    if id_column is not None:
+        rows = materialise(df.select(id_column, features))
+        fitted = []
+        for k in grid:
+            model = _fit_clusters(rows.select(array_to_vector(doubles(features)).alias("features")), k, seed, starts)
+            found = silhouettes(assign_clusters(rows, features, Clustering(model, k, [])), id_column, features, "cluster")
+            fitted.append((k, found.agg(F.avg("silhouette")).first()[0] or 0.0, model))
+        best = max(fitted, key=lambda f: (f[1], -f[0]), default=(1, 0.0, None))
+        return Clustering(best[2], best[0], [(k, s) for k, s, _ in fitted])
     vectors = df.select(array_to_vector(doubles(features)).alias("features")).persist()
     try:
         fitted = []

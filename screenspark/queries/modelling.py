@@ -195,15 +195,39 @@ def principal_coordinates(spark, sf_dir):
     )
 
 
-#: Cluster numbers that are tried.
-GRID = (2, 5, 10)
+#: Cluster numbers that are tried: those of a table of 2,500 rows and more.
+GRID = C.cluster_grid(2_500)
 
 
 def clustered(spark, sf_dir):
     projected, _ = C.project(vectors(spark, sf_dir), "x")
     projected = materialise(projected.select("vec_id", "coordinates", "label"))
-    grid = GRID
-    return projected, C.choose_clusters(projected, "coordinates", grid)
+    return projected, C.choose_clusters(projected, "coordinates", GRID, starts=3)
+
+
+@query(
+    "silhouette_of_labels",
+    """WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL),
+       d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.e, b.e)) / count(*) AS far
+         FROM x a JOIN x b ON a.vec_id <> b.vec_id GROUP BY ALL),
+       m AS (SELECT vec_id, own, max(far) FILTER (WHERE other = own) AS a, min(far) FILTER (WHERE other <> own) AS b FROM d GROUP BY ALL)
+       SELECT vec_id, own AS label, round(CASE WHEN a IS NULL THEN 0 WHEN greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 5) AS silhouette FROM m""",
+)
+def silhouette_of_labels(spark, sf_dir):
+    """Plain Euclidean silhouette of every vector within its label."""
+    return rounded(C.silhouettes(vectors(spark, sf_dir), "vec_id", "x", "label"), "silhouette", digits=5)
+
+
+@query("class_cluster_choice")
+def class_cluster_choice(spark, sf_dir):
+    """Cluster numbers 2 to 10 within label 0 and outside it, by the Euclidean silhouette."""
+    projected = materialise(C.project(vectors(spark, sf_dir), "x")[0].select("vec_id", "coordinates", (F.col("label") == 0).cast("int").alias("is_0")))
+    rows = []
+    for label in (0, 1):
+        part = projected.where(F.col("is_0") == label)
+        chosen = C.choose_clusters(part, "coordinates", C.class_cluster_grid(part.count()), starts=1, id_column="vec_id")
+        rows += [(label, k, round(s, 6), k == chosen.k) for k, s in chosen.scores]
+    return spark.createDataFrame(rows, "is_0 int, k int, silhouette double, chosen boolean")
 
 
 @query("cluster_choice")

@@ -356,6 +356,29 @@ def scatter_pairs(spark, sf_dir):
     return P.scatter_pairs(properties(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id", ["n_words", "quality"])
 
 
+@query(
+    "property_against_cluster",
+    f"WITH {PROPS} SELECT doc_id, n_words, (n_chars::BIGINT % 7)::INT AS cluster FROM props",
+)
+def property_against_cluster(spark, sf_dir):
+    """A property against the cluster of each text."""
+    clusters = table(spark, sf_dir, "documents").select("doc_id", F.pmod("n_chars", F.lit(7)).cast("int").alias("cluster"))
+    return P.scatter_pairs(properties(spark, sf_dir), clusters, "doc_id", ["n_words", "cluster"])
+
+
+@query(
+    "group_properties",
+    f"""WITH {PROPS} SELECT source, round(avg(n_chars), 6) AS mean_chars, max(n_stops) AS most_stops
+        FROM props GROUP BY source""",
+)
+def group_properties(spark, sf_dir):
+    """Size against structure of each group: two numbers of a group that stand in different tables."""
+    rows = properties(spark, sf_dir)
+    sizes = rows.groupBy("source").agg(F.avg("n_chars").alias("mean_chars"))
+    stops = rows.groupBy("source").agg(F.max("n_stops").alias("most_stops"))
+    return rounded(P.scatter_pairs(sizes, stops, "source", ["mean_chars", "most_stops"]), "mean_chars")
+
+
 _REPORT = [
     ("overview", "n_entities", "count(*)"),
     ("overview", "n_targets", "max(2)"),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from screenspark.functions import tokens as K
-from screenspark.operators import bands
+from screenspark.operators import bands, blocks
 from screenspark.operators import bits as B
-from screenspark.queries.fixtures import LONG, known_labels, properties, table
+from screenspark.queries.fixtures import LONG, PROPS, known_labels, properties, table
 from screenspark.queries.profiling import rounded
 from screenspark.queries.registry import query
+from screenspark.session import materialise
 
 TOK = """tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS t
   FROM documents)"""
@@ -117,6 +118,26 @@ def derived_ratios(spark, sf_dir):
     return lines.select("l_orderkey", "l_linenumber", *[F.round(c, 9).alias(n) for n, c in added.items()])
 
 
+#: The property table of the named ratios, from counts of each text.
+_STRUCTURE = {
+    "rotatable_bonds": "n_words", "heavy_atoms": "n_chars", "rings": "n_words", "aromatic_rings": "n_stops", "saturated_rings": "n_digits",
+    "heteroatoms": "n_digits", "spiro_atoms": "n_stops", "bridgehead_atoms": "n_digits", "hbd": "n_stops", "hba": "n_digits",
+}
+
+
+@query(
+    "structure_ratios",
+    f"WITH {PROPS} SELECT doc_id, "
+    + ", ".join(f"round({_STRUCTURE[a]} / greatest(1, {_STRUCTURE[b]}), 9) AS {n}" for n, (a, b) in K.STRUCTURE_RATIOS.items())
+    + ", n_stops + n_digits AS hydrogen_bonding FROM props",
+)
+def structure_ratios(spark, sf_dir):
+    """The seven named ratios and the named sum, over counts of each text."""
+    rows = properties(spark, sf_dir).select("doc_id", *[F.col(c).alias(n) for n, c in _STRUCTURE.items()])
+    made = K.derived_ratios(K.STRUCTURE_RATIOS, K.STRUCTURE_SUMS)
+    return rows.select("doc_id", *[(c if n in K.STRUCTURE_SUMS else F.round(c, 9)).alias(n) for n, c in made.items()])
+
+
 @query(
     "feature_block_concat",
     """SELECT doc_id, ([n_chars::DOUBLE, coalesce(quality, 0)::DOUBLE, coalesce(toxic, 0)::DOUBLE])[1] AS f1,
@@ -285,6 +306,40 @@ def orders_soon_after(spark, sf_dir):
     )
 
 
+_PAIR_BITS = " UNION ALL ".join(
+    f"SELECT doc_id, unnest([t[i] || '|' || t[i + {d}] || '|{d}' for i in range(1, len(t) - {d} + 1)]) AS p FROM tok" for d in (1, 2, 3, 4)
+)
+
+
+@query(
+    "assembled_blocks",
+    f"""WITH {GRAMS}, pairpieces AS ({_PAIR_BITS}),
+      pairbits AS (SELECT DISTINCT doc_id, (('0x' || substr(md5(p), 1, 8))::BIGINT % 2048)::INT AS bit FROM pairpieces),
+      every AS (SELECT doc_id, 'gram_' || bit AS feature, 1.0::DOUBLE AS v FROM setbits
+        UNION ALL SELECT doc_id, 'pair_' || bit, 1.0 FROM pairbits
+        UNION ALL SELECT doc_id, 'n_chars', n_chars::DOUBLE FROM documents
+        UNION ALL SELECT l.doc_id, 'quality', quality::DOUBLE FROM labels l JOIN documents USING (doc_id)),
+      names AS (SELECT 'gram_' || i AS feature FROM range(2048) r(i) UNION ALL SELECT 'pair_' || i FROM range(2048) r(i)
+        UNION ALL SELECT unnest(['n_chars', 'quality'])),
+      sums AS (SELECT feature, count(*) FILTER (v <> 0) AS n, sum(v) AS s, sum(v * v) AS q FROM every GROUP BY feature),
+      total AS (SELECT count(*) AS n_rows FROM documents)
+    SELECT feature, coalesce(n, 0) AS n_nonzero, round(coalesce(q, 0) / n_rows - (coalesce(s, 0) / n_rows) ** 2, 5) AS variance,
+      coalesce(q, 0) / n_rows - (coalesce(s, 0) / n_rows) ** 2 > 0.01 AS kept
+    FROM names LEFT JOIN sums USING (feature), total""",
+)
+def assembled_blocks(spark, sf_dir):
+    """Two hashed bit blocks and two columns side by side, under their names: non-zeros, variance, and what the filter keeps."""
+    words = table(spark, sf_dir, "documents").select("doc_id", "n_chars", K.tokens("text").alias("words"))
+    bits = words.select("doc_id", "n_chars", K.gram_bits("words").alias("grams"), K.pair_bits("words").alias("pairs"))
+    rows = bits.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    wide = materialise(blocks.assemble(rows, {"gram": ("grams", K.N_BITS), "pair": ("pairs", K.N_BITS)}, ["n_chars", "quality"], "f").select("doc_id", "f"))
+    names = blocks.feature_names(wide, "f")
+    _, nonzeros, _, variance = blocks.block_moments(wide, "f")
+    kept = set(blocks.feature_names(blocks.variable_block(wide, "f", "v"), "v"))
+    found = [(n, int(c), round(float(v), 5) + 0.0, n in kept) for n, c, v in zip(names, nonzeros, variance)]
+    return spark.createDataFrame(found, "feature string, n_nonzero long, variance double, kept boolean")
+
+
 @query(
     "property_against_bits",
     f"""WITH {GRAMS} SELECT doc_id, len(string_split(text, ' '))::DOUBLE AS n_words, len(bits)::INT AS n_bits

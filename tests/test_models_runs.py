@@ -74,6 +74,40 @@ def test_grid_search(separable):
     assert len(got.table) == 2 and got.score == max(s for _, s in got.table) and got.best["numTrees"] == 5
 
 
+def plain_silhouettes(x, c):
+    out = []
+    for i in range(len(x)):
+        far = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        own = [far[j] for j in range(len(x)) if c[j] == c[i] and j != i]
+        rest = [np.mean([far[j] for j in range(len(x)) if c[j] == k]) for k in set(c) if k != c[i]]
+        a, b = np.mean(own) if own else 0, min(rest)
+        out.append((b - a) / max(a, b) if own and max(a, b) > 0 else 0.0)
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_silhouettes_equal_brute_force(spark, block):
+    draw = np.random.default_rng(6)
+    x = np.concatenate([draw.normal(size=(30, 3)), draw.normal(4, 1, (25, 3)), [[9.0, 9.0, 9.0]], np.ones((4, 3))])
+    c = ["a"] * 30 + ["b"] * 25 + ["alone"] + ["same"] * 4
+    df = spark.createDataFrame([(i, c[i], [float(v) for v in x[i]]) for i in range(60)] + [(99, None, [0.0, 0.0, 0.0]), (98, "a", None)], "id long, c string, x array<double>")
+    found = {r["id"]: (r["c"], r["silhouette"]) for r in C.silhouettes(df, "id", "x", "c", block).collect()}
+    expected = plain_silhouettes(x, c)
+    assert len(found) == 60 and all(found[i][0] == c[i] and found[i][1] == pytest.approx(expected[i], abs=1e-6) for i in range(60))
+    one = C.silhouettes(df.where("c = 'a'"), "id", "x", "c", block).collect()
+    assert len(one) == 30 and all(r["silhouette"] is None for r in one)
+    assert C.silhouettes(df.limit(0), "id", "x", "c").count() == 0
+
+
+def test_euclidean_choice_of_clusters(spark):
+    draw = np.random.default_rng(7)
+    data = [(int(i), [float(v) for v in (i % 3) * 20 + draw.normal(size=2)]) for i in range(60)]
+    df = spark.createDataFrame(data, "id long, x array<double>")
+    chosen = C.choose_clusters(df, "x", [2, 3, 4], starts=2, id_column="id")
+    labels = {r["id"]: r["cluster"] for r in C.assign_clusters(df, "x", chosen).collect()}
+    assert chosen.k == 3 and dict(chosen.scores)[3] == pytest.approx(np.mean(plain_silhouettes(np.array([x for _, x in data]), [labels[i] for i in range(60)])), abs=1e-6)
+
+
 def test_clusters(spark):
     draw = np.random.default_rng(6)
     data = [(i, [float(v) for v in draw.normal(10 * (i % 3), 0.5, 5)]) for i in range(150)]

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from screenspark.operators import blocks
 from screenspark.operators import prep as E
 from screenspark.operators import select as S
 
@@ -131,3 +132,22 @@ def test_features_by_name(spark):
     df = matrix(spark, [(1, 2)])
     row = S.features_by_name(df, "x", ["a", "b"], ["b", "gone", "a"]).first()
     assert row["x"] == [2, 0, 1] and row["n_missing"] == 1
+
+
+def test_blocks_side_by_side(spark):
+    data = [(1, [0, 3], [1], 2.5, None), (2, [], None, float("nan"), 4), (3, [3, 5], [0, 1], 1.0, 0)]
+    df = spark.createDataFrame(data, "id int, a array<int>, b array<int>, x double, y int")
+    wide = blocks.assemble(df, {"one": ("a", 6), "two": ("b", 2)}, ["x", "y"], "f")
+    names = blocks.feature_names(wide, "f")
+    assert names == [*[f"one_{k}" for k in range(6)], "two_0", "two_1", "x", "y"] and wide.columns == [*df.columns, "f"]
+    rows = np.array([r["f"].toArray() for r in wide.orderBy("id").collect()])
+    assert rows.tolist() == [[1, 0, 0, 1, 0, 0, 0, 1, 2.5, 0], [0] * 9 + [4], [0, 0, 0, 1, 0, 1, 1, 1, 1, 0]]
+    n, nonzeros, mean, variance = blocks.block_moments(wide, "f")
+    assert n == 3 and nonzeros.tolist() == (rows != 0).sum(axis=0).tolist()
+    assert mean == pytest.approx(rows.mean(axis=0)) and variance == pytest.approx(rows.var(axis=0))
+    kept = blocks.variable_block(wide, "f", "v", 0.3)
+    assert blocks.feature_names(kept, "v") == ["x", "y"]
+    some = blocks.named_block(wide, "f", ["y", "one_3"], "v")
+    assert blocks.feature_names(some, "v") == ["y", "one_3"] and [r["v"].toArray().tolist() for r in some.orderBy("id").collect()] == [[0, 1], [4, 0], [0, 1]]
+    with pytest.raises(ValueError):
+        blocks.variable_block(wide, "f", "v", 100.0)
