@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from screenspark.llm.common import give_back
+from screenspark.llm.common import drop_scratch, give_back
 from screenspark.session import scratch_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -40,36 +40,67 @@ KEPT_PIECES, CHARS_AT_ONCE = 700_000, 8_000_000
 PRESENT = np.array([[[byte <= control >> 2 * k & 3 for byte in range(4)] for k in range(4)] for control in range(256)])
 
 
-def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of numbers below 2**32."""
+def pack_all(numbers: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of sequences of numbers below 2**32 that lie one after the other."""
     numbers = np.ascontiguousarray(numbers, "<u4")
     more = (numbers >= 1 << 8).astype(np.uint8) + (numbers >= 1 << 16) + (numbers >= 1 << 24)
-    data = numbers.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]]
-    fours = np.zeros(-(-len(more) // 4) * 4, np.uint8)
-    fours[: len(more)] = more
-    control = (fours.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    return control.tobytes(), data.tobytes()
+    data = numbers.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]].tobytes()
+    ends = np.cumsum(lengths)
+    bytes_to = np.concatenate([[0], np.cumsum(more, dtype=np.int64)])[ends] + ends
+    # Every sequence begins a control byte of its own.
+    fours_to = np.cumsum(-(-lengths // 4))
+    place = np.arange(len(numbers)) + np.repeat(4 * (fours_to - -(-lengths // 4)) - (ends - lengths), lengths)
+    fours = np.zeros(4 * int(fours_to[-1]) if len(lengths) else 0, np.uint8)
+    fours[place] = more
+    fours = fours.reshape(-1, 4)
+    control = (fours[:, 0] | fours[:, 1] << 2 | fours[:, 2] << 4 | fours[:, 3] << 6).tobytes()
 
+    def cut(whole: bytes, to: np.ndarray) -> list[bytes]:
+        to = to.tolist()
+        return [whole[i:j] for i, j in zip([0, *to[:-1]], to)]
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n numbers of ``pack``, by table lookup."""
-    present = PRESENT[np.frombuffer(control, np.uint8)].reshape(-1, 4)[:n]
-    numbers = np.zeros((n, 4), np.uint8)
-    numbers[present] = np.frombuffer(data, np.uint8)
+    return cut(control, fours_to), cut(data, bytes_to)
+
+
+def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of numbers below 2**32."""
+    control, data = pack_all(numbers, np.array([len(numbers)]))
+    return control[0], data[0]
+
+
+def unpack_all(control: list[bytes], data: list[bytes], lengths: np.ndarray) -> np.ndarray:
+    """The numbers of ``pack_all``, one sequence after the other, by table lookup."""
+    fours = -(-lengths // 4)
+    present = PRESENT[np.frombuffer(b"".join(control), np.uint8)].reshape(-1, 4)
+    ends = np.cumsum(lengths)
+    place = np.arange(int(lengths.sum())) + np.repeat(4 * (np.cumsum(fours) - fours) - (ends - lengths), lengths)
+    numbers = np.zeros((len(place), 4), np.uint8)
+    numbers[present[place]] = np.frombuffer(b"".join(data), np.uint8)
     return numbers.reshape(-1).view("<u4")
 
 
-#: What the tokenizer's own first step cuts lower-case text into.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
+    """The n numbers of ``pack``."""
+    return unpack_all([control], [data], np.array([n]))
+
+
+#: What the tokenizer's own first step cuts lower-case text into, and the space between two words.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+| ")
 _WORD_END = "</w>"
 
 
+def _gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of an array, one after the other."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordBpe:
     """Encodes with a tokenizer file that drops white space and marks the last token of a word.
 
-    A text's ids are those of its words in a row. Words are cut at spaces and counted as distinct ones; each distinct
-    word is cut into the tokenizer's own pieces, and pieces not seen before are encoded by the library, many at a time:
-    the marked tokens tell them apart.
+    A text's ids are those of its words in a row. Words are cut at spaces and counted as distinct ones; those are cut into the
+    tokenizer's own pieces, all together, and pieces not seen before are encoded by the library, many at a time: the marked
+    tokens tell them apart. Ids are gathered by number, pieces into words and words into texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -84,32 +115,25 @@ class WordBpe:
             self.ends[k] = token.endswith(_WORD_END)
         # Two bytes hold an id of a vocabulary this small, which halves what is written and shuffled.
         self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
-        self.kept: dict[str, bytes] = {}
-
-    def pieces(self, word: str) -> list[str] | None:
-        """Pieces of a word, lower-case; None if the library should see the whole word."""
-        if not word.isascii():
-            word = unicodedata.normalize("NFC", word)
-            if "\u03a3" in word:  # lower-cased by its neighbours in Python, alone in the library
-                return None
-        if "<|" in word:  # perhaps a special token
-            return None
-        word = word.lower()
-        return [word] if word.isalpha() else _PIECE.findall(word)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the known pieces; number 0 is the space between two words and has no ids."""
+        self.number: dict[str, int] = {" ": 0}
+        self.flat, self.size = [np.zeros(0, self.kind)], [np.zeros(1, np.int64)]
 
     def _learn(self, new: list[str]) -> None:
         """Encode pieces and keep their ids."""
         for at in range(0, len(new), 1000):
             part = new[at : at + 1000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):  # a piece that the library cuts further
-                each = self.library.encode_batch_fast(part, add_special_tokens=False)
-                self.kept.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, each))
-                continue
-            raw, width = ids.tobytes(), self.kind.itemsize
-            starts = [0, *(stops[:-1] * width).tolist()]
-            self.kept.update((p, raw[a:b]) for p, a, b in zip(part, starts, (stops * width).tolist()))
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            size = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+            if len(size) != len(part):  # a piece that the library cuts further
+                each = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+                ids, size = np.array([x for e in each for x in e], self.kind), np.array([len(e) for e in each], np.int64)
+            self.number.update(zip(part, range(len(self.number), len(self.number) + len(part))))
+            self.flat.append(ids)
+            self.size.append(size)
 
     def encode(self, texts: list[str]) -> Iterator[list[bytes]]:
         """Ids of every text, in order, as little-endian numbers of ``kind``, in lists of some texts."""
@@ -124,24 +148,42 @@ class WordBpe:
             yield self._joined(coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.diff(words.offsets.to_numpy()))
             start = end
 
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        if len(self.number) > KEPT_PIECES:
+            self.forget()
+        text = " ".join(words)
+        # Special tokens, and a sigma that Python lower-cases by its neighbours: the library gets the whole word.
+        whole = [k for k, w in enumerate(words) if "<|" in w or "\u03a3" in w] if "<|" in text or "\u03a3" in text else []
+        if whole:
+            taken = set(whole)
+            text = " ".join(["" if k in taken else w for k, w in enumerate(words)])
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        pieces = _PIECE.findall(text.lower())
+        self._learn(list(set(pieces) - self.number.keys()))
+        number = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        if len(self.flat) > 1:
+            self.flat, self.size = [np.concatenate(self.flat)], [np.concatenate(self.size)]
+        size = self.size[0][number]
+        ids = _gathered(self.flat[0], (np.cumsum(self.size[0]) - self.size[0])[number], size)
+        of_word = np.bincount(np.cumsum(number == 0), size, len(words)).astype(np.int64)
+        if whole:
+            each = [e.ids for e in self.library.encode_batch_fast([words[k] for k in whole], add_special_tokens=False)]
+            before = (np.cumsum(of_word) - of_word)[whole]
+            ids = np.insert(ids, np.repeat(before, [len(e) for e in each]), np.array([x for e in each for x in e], self.kind))
+            of_word[whole] += [len(e) for e in each]
+        return ids, of_word
+
     def _joined(self, distinct: list[str], place: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-        if len(self.kept) > KEPT_PIECES:
-            self.kept.clear()
-        kept = self.kept
-        cut = [self.pieces(w) for w in distinct]
-        self._learn(list({p for pieces in cut if pieces is not None for p in pieces if p not in kept}))
-        odd = iter(self.library.encode_batch_fast([w for w, c in zip(distinct, cut) if c is None], add_special_tokens=False))
-        of_word = [
-            np.array(next(odd).ids, self.kind).tobytes() if c is None else kept[c[0]] if len(c) == 1 else b"".join([kept[p] for p in c])
-            for c in cut
-        ]
-        # All words in a row: the ids of the distinct words, gathered by their places.
-        flat = np.frombuffer(b"".join(of_word), self.kind)
-        size = np.array([len(x) for x in of_word], np.int64) // self.kind.itemsize
+        if not distinct:
+            return [b""] * len(lengths)
+        flat, size = self._of_words(distinct)
         first = np.cumsum(size) - size
+        # All words in a row: the ids of the distinct words, gathered by their places.
         n = size[place]
         ends = np.cumsum(n)
-        ids = flat[np.repeat(first[place] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = _gathered(flat, first[place], n)
         raw, width = ids.tobytes(), self.kind.itemsize
         after = np.concatenate([[0], ends])[np.cumsum(lengths)] * width
         return [raw[a:b] for a, b in zip([0, *after[:-1].tolist()], after.tolist())]
@@ -204,18 +246,17 @@ def write_token_file(
     def of_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, before = TaskContext.get().partitionId(), 0
         for frame in frames:
-            out = []
-            for doc_id, x in zip(frame["id"].astype("Int64"), frame["ids"]):
-                ids = np.frombuffer(x, kind)
-                control, data = pack(rank_of[ids])
-                out.append((part, before, None if doc_id is pd.NA else doc_id, len(ids), control, data))
-                before += len(ids)
-            yield pd.DataFrame(out, columns=["part", "before", "id", "n", "control", "data"]).astype({"id": "Int64"})
+            n = frame["ids"].map(len).to_numpy(np.int64) // kind.itemsize
+            control, data = pack_all(rank_of[np.frombuffer(b"".join(frame["ids"]), kind)], n)
+            starts = before + np.cumsum(n) - n
+            before += int(n.sum())
+            yield pd.DataFrame({"part": part, "before": starts, "id": frame["id"].astype("Int64"), "n": n, "control": control, "data": data})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = raw.repartitionByRange(parts, "id", "crc").sortWithinPartitions("id", "crc")
     coded = ordered.mapInPandas(of_frames, "part int, before bigint, id bigint, n bigint, control binary, data binary")
     coded.write.parquet(f"{path}/ids")
+    drop_scratch(spark, raw_path)
 
 
 def token_by_rank(spark: SparkSession, path: str) -> np.ndarray:
@@ -237,7 +278,9 @@ def _read(spark: SparkSession, path: str, of_ids, kind: str) -> DataFrame:
 
     def of_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ids = [by_rank[unpack(c, d, n)] for c, d, n in zip(frame["control"], frame["data"], frame["n"])]
+            n = frame["n"].to_numpy(np.int64)
+            flat = by_rank[unpack_all(frame["control"].to_list(), frame["data"].to_list(), n)]
+            ids = np.split(flat, np.cumsum(n)[:-1])
             yield pd.DataFrame({"id": frame["id"].astype("Int64"), "start": frame["start"], "n": frame["n"], "ids": [of_ids(x) for x in ids]})
 
     placed = rows.join(F.broadcast(parts), "part").withColumn("start", F.col("before") + F.col("parts_before"))

@@ -27,6 +27,14 @@ def test_pack_and_unpack(numbers):
     assert token_files.unpack(control, data, len(numbers)).tolist() == numbers
 
 
+@given(st.lists(st.lists(st.one_of(st.integers(0, 2**32 - 1), st.integers(0, 300)), max_size=9), max_size=9))
+def test_pack_many(sequences):
+    flat, lengths = np.array([n for s in sequences for n in s], np.uint32), np.array([len(s) for s in sequences], np.int64)
+    control, data = token_files.pack_all(flat, lengths)
+    assert [(c, d) for c, d in zip(control, data)] == [token_files.pack(np.array(s, np.uint32)) for s in sequences]
+    assert token_files.unpack_all(control, data, lengths).tolist() == flat.tolist()
+
+
 @pytest.mark.parametrize("text", ODD)
 def test_words(text):
     own = ids_of([text])[0]
