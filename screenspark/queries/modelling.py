@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from screenspark.operators import cluster as C
@@ -9,6 +12,7 @@ from screenspark.operators import models as M
 from screenspark.operators import select as S
 from screenspark.operators.clean import long_labels
 from screenspark.operators.metrics import evaluate
+from screenspark.operators.selection_stage import FeatureSelection
 from screenspark.operators.split import stratified_folds
 from screenspark.plans import screening as R
 from screenspark.queries.fixtures import LONG, known_labels, table
@@ -185,6 +189,25 @@ def selection_history(spark, sf_dir):
     return rounded(chosen.history_table(lines), "score")
 
 
+@query("selected_in_pipeline")
+def selected_in_pipeline(spark, sf_dir):
+    """The selection chain as the first stage of a fitted, saved and reloaded pipeline: places and names that it keeps, and the rows scored."""
+    price, discount = F.col("l_extendedprice"), F.col("l_discount")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_quantity").alias("quantity"), price.alias("price"), (price * (1 - discount)).alias("net"), discount.alias("discount"),
+        F.col("l_tax").alias("tax"), (F.col("l_linestatus") == "F").cast("int").alias("label"),
+    )
+    names = ["quantity", "price", "net", "discount", "tax"]
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(lines)
+    stage = FeatureSelection(univariateK=3, modelTopN=2, importanceTrees=20)
+    path = scratch_path(spark, "selection-pipeline")
+    Pipeline(stages=[stage, LogisticRegression(featuresCol="selected", maxIter=20)]).fit(rows).write().save(path)
+    model = PipelineModel.load(path)
+    n = model.transform(rows).where(F.col("prediction").isNotNull()).count()
+    kept = model.stages[0].getOrDefault("names")
+    return spark.createDataFrame([(k, name, n) for k, name in enumerate(kept)], "place int, feature string, n_scored long")
+
+
 @query("principal_coordinates")
 def principal_coordinates(spark, sf_dir):
     projected, _ = C.project(vectors(spark, sf_dir), "x")

@@ -323,9 +323,9 @@ _PAIR_BITS = " UNION ALL ".join(
         UNION ALL SELECT unnest(['n_chars', 'quality'])),
       sums AS (SELECT feature, count(*) FILTER (v <> 0) AS n, sum(v) AS s, sum(v * v) AS q FROM every GROUP BY feature),
       total AS (SELECT count(*) AS n_rows FROM documents)
-    SELECT feature, coalesce(n, 0) AS n_nonzero, round(coalesce(q, 0) / n_rows - (coalesce(s, 0) / n_rows) ** 2, 5) AS variance,
-      coalesce(q, 0) / n_rows - (coalesce(s, 0) / n_rows) ** 2 > 0.01 AS kept
-    FROM names LEFT JOIN sums USING (feature), total""",
+    SELECT feature, n_nonzero, CASE WHEN v > 1 THEN round(v, 2) ELSE round(v, 9) END AS variance, v > 0.01 AS kept FROM (
+      SELECT feature, coalesce(n, 0) AS n_nonzero, coalesce(q, 0) / n_rows - (coalesce(s, 0) / n_rows) ** 2 AS v
+      FROM names LEFT JOIN sums USING (feature), total)""",
 )
 def assembled_blocks(spark, sf_dir):
     """Two hashed bit blocks and two columns side by side, under their names: non-zeros, variance, and what the filter keeps."""
@@ -336,7 +336,7 @@ def assembled_blocks(spark, sf_dir):
     names = blocks.feature_names(wide, "f")
     _, nonzeros, _, variance = blocks.block_moments(wide, "f")
     kept = set(blocks.feature_names(blocks.variable_block(wide, "f", "v"), "v"))
-    found = [(n, int(c), round(float(v), 5) + 0.0, n in kept) for n, c, v in zip(names, nonzeros, variance)]
+    found = [(n, int(c), round(float(v), 2 if v > 1 else 9) + 0.0, n in kept) for n, c, v in zip(names, nonzeros, variance)]
     return spark.createDataFrame(found, "feature string, n_nonzero long, variance double, kept boolean")
 
 
