@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,11 +12,12 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenspark.functions.scalars import ratio
-from screenspark.operators.prep import doubles, fit_moments, numbers
+from screenspark.operators.prep import Moments, doubles, fit_moments, numbers
+from screenspark.operators.select import row_slices
 from screenspark.session import materialise
 
 # Seed, grid of cluster numbers and its upper limits.
@@ -31,6 +32,8 @@ STARTS = 10
 STEPS = 300
 #: Rows whose distances to as many others are taken at a time.
 BLOCK = 1024
+#: Features from which on axes are found without the covariance matrix, and passes over the rows at most.
+WIDE, PASSES = 1000, 40
 
 
 @dataclass(frozen=True)
@@ -40,8 +43,18 @@ class Projection:
 
 
 def project(df: DataFrame, features: str, k: int = 2, out: str = "coordinates") -> tuple[DataFrame, Projection]:
-    """Add the k leading principal coordinates of centred features, with the explained variance shares."""
+    """Add the k leading principal coordinates of centred features, with the explained variance shares.
+
+    Up to WIDE features through the covariance matrix, which the driver holds; wider ones through ``principal_axes``.
+    """
     moments = fit_moments(df, features)
+    if len(moments.mean) > WIDE:
+        axes, variances = principal_axes(df, features, k, moments)
+        centred = F.zip_with(doubles(features), constant(moments.mean), lambda x, m: x - m)
+        along = [F.aggregate(F.zip_with("_centred", constant(axis), lambda x, a: x * a), F.lit(0.0), lambda t, v: t + v) for axis in axes]
+        projected = df.withColumn("_centred", centred).withColumn(out, F.array(*along)).drop("_centred")
+        total = sum(moments.variance)
+        return projected, Projection(axes, [v / total if total else 0.0 for v in variances])
     centred = F.zip_with(doubles(features), numbers(moments.mean), lambda x, m: x - m)
     vectors = df.withColumn("_centred", array_to_vector(centred))
     model = PCA(k=k, inputCol="_centred", outputCol="_pca").fit(vectors)
@@ -50,6 +63,73 @@ def project(df: DataFrame, features: str, k: int = 2, out: str = "coordinates")
     return projected, Projection(components, model.explainedVariance.toArray().tolist())
 
 
+def constant(values: Sequence[float]) -> Column:
+    """Many numbers as one literal."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def _covariance_times(df: DataFrame, features: str, mean: np.ndarray, count: int, block: np.ndarray) -> np.ndarray:
+    """Population covariance matrix times a block of columns, without the matrix: tasks add x (x . block) over their rows."""
+    width = len(mean)
+
+    def of_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, rest, some = np.zeros(block.shape), np.zeros(0), False
+        for frame in frames:
+            flat = np.concatenate([rest, *frame["v"]])
+            whole = len(flat) // width * width
+            rest = flat[whole:]
+            rows = flat[:whole].reshape(-1, width) - mean
+            total += rows.T @ (rows @ block)
+            some = some or len(rows) > 0
+        if some:
+            yield pd.DataFrame({"place": np.arange(width), "v": list(total)})
+
+    parts = row_slices(df, features, width).mapInPandas(of_frames, "place int, v array<double>")
+    added = parts.groupBy("place").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
+    out = np.zeros(block.shape)
+    for r in added.select("place", vector_to_array("v").alias("v")).collect():  # as many numbers as the block has
+        out[r["place"]] = r["v"]
+    return out / count
+
+
+def principal_axes(df: DataFrame, features: str, k: int, moments: Moments | None = None, tolerance: float = 1e-7) -> tuple[list[list[float]], list[float]]:
+    """The k leading axes of centred features and the variances along them, by a block Krylov space.
+
+    A block of k + 8 random directions is multiplied by the covariance matrix, one pass over the rows each time; the blocks
+    so far are kept orthogonal, and the best axes within them are found on the driver, which holds width x (k + 8) numbers
+    per pass. It ends when the residuals of the axes are below ``tolerance`` of the largest variance (the variances are then right to about
+    its square), or when the blocks span everything or PASSES passes are over. The entry of an axis that is largest in size is positive.
+    """
+    moments = moments or fit_moments(df, features)
+    mean = np.array(moments.mean)
+    width = len(mean)
+    k = min(k, width)
+    draw = np.random.default_rng(SEED)
+    block = np.linalg.qr(draw.normal(size=(width, min(width, k + 8))))[0]
+    basis, images = np.zeros((width, 0)), np.zeros((width, 0))
+    for _ in range(PASSES):
+        image = _covariance_times(df, features, mean, moments.count, block)
+        basis, images = np.hstack([basis, block]), np.hstack([images, image])
+        small = basis.T @ images
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        best = np.argsort(-values)[:k]
+        axes, values = basis @ vectors[:, best], values[best]
+        residual = np.linalg.norm(images @ vectors[:, best] - axes * values, axis=0)
+        if residual.max() <= tolerance * max(values.max(), 1e-300) or basis.shape[1] >= width:
+            break
+        # The next directions: what the images add to the blocks so far; twice, against rounding.
+        image = image - basis @ (basis.T @ image)
+        image = image - basis @ (basis.T @ image)
+        left, sizes, _ = np.linalg.svd(image, full_matrices=False)
+        block = left[:, sizes > 1e-10 * max(sizes.max(), 1e-300)][:, : width - basis.shape[1]]
+        block = block - basis @ (basis.T @ block)
+        if not block.shape[1]:
+            break
+        block = np.linalg.qr(block)[0]
+    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(k)] < 0, -1, 1)
+    return axes.T.tolist(), values.tolist()
+
+
 def cluster_grid(n_rows: int) -> list[int]:
     return list(range(GRID_STEP, min(GRID_LIMIT, n_rows // ROWS_PER_CLUSTER) + 1, GRID_STEP))
 

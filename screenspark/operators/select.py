@@ -29,7 +29,7 @@ F_TOP_K = 1000
 IMPORTANCE_TREES = 100
 
 
-def _row_slices(df: DataFrame, features: str, width: int) -> DataFrame:
+def row_slices(df: DataFrame, features: str, width: int) -> DataFrame:
     """``(v)``: the feature arrays cut into slices of TILE numbers, slice by slice and row by row, so that a batch of rows is
     bounded however wide the features are."""
     starts = F.sequence(F.lit(1), F.lit(width), F.lit(TILE))
@@ -79,7 +79,7 @@ def correlation_rows(df: DataFrame, features: str, tile_pairs: int = TILE_PAIRS)
     tiles = -(-width // TILE)
     pairs = [(i, j) for i in range(tiles) for j in range(i, tiles)]
     # Every task sends its sums, so wide features are added up in fewer tasks.
-    slices = _row_slices(df, features, width).coalesce(max(8, SENT_NUMBERS // width**2))
+    slices = row_slices(df, features, width).coalesce(max(8, SENT_NUMBERS // width**2))
     parts = None
     for start in range(0, len(pairs), tile_pairs):
         part = slices.mapInPandas(_tile_products(pairs[start : start + tile_pairs], mean, scale), "i int, j int, r int, v array<double>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -218,6 +219,19 @@ def principal_coordinates(spark, sf_dir):
     )
 
 
+@query(
+    "principal_variances",
+    f"""WITH lx AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range({WIDTH}) r(i)),
+        c AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY i) AS v FROM lx)
+        SELECT i::INT AS idx, round(avg(v * v), 6) AS variance FROM c GROUP BY i""",
+)
+def principal_variances(spark, sf_dir):
+    """Variance of every feature, put together again from all principal axes: their squares weighted by the variances along them."""
+    axes, variances = C.principal_axes(vectors(spark, sf_dir), "x", WIDTH)
+    total = (np.array(axes) ** 2 * np.array(variances)[:, None]).sum(axis=0)
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(total)], "idx int, variance double")
+
+
 #: Cluster numbers that are tried: those of a table of 2,500 rows and more.
 GRID = C.cluster_grid(2_500)
 

@@ -74,6 +74,32 @@ def test_grid_search(separable):
     assert len(got.table) == 2 and got.score == max(s for _, s in got.table) and got.best["numTrees"] == 5
 
 
+def test_principal_axes_equal_the_covariance_matrix(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").selectExpr("vec_id", "cast(embedding as array<double>) as x")
+    data = np.array([r["x"] for r in df.collect()])
+    values, vectors = np.linalg.eigh(np.cov(data.T, bias=True))
+    axes, found = C.principal_axes(df, "x", 3)
+    assert found == pytest.approx(values[::-1][:3], rel=1e-9)
+    assert np.abs(np.array(axes) @ vectors[:, ::-1][:, :3]) == pytest.approx(np.eye(3), abs=1e-5)
+    plain, projection = C.project(df, "x", 2)
+    monkeypatch.setattr(C, "WIDE", 10)
+    wide, again = C.project(df, "x", 2)
+    assert again.explained == pytest.approx(projection.explained, abs=1e-6)
+    a, b = (np.array([r["coordinates"] for r in d.orderBy("vec_id").collect()]) for d in (plain, wide))
+    assert np.abs(b - b.mean(axis=0)) == pytest.approx(np.abs(a - a.mean(axis=0)), abs=1e-4)
+
+
+def test_wide_features_are_projected(spark):
+    draw = np.random.default_rng(3)
+    data = draw.normal(size=(40, 3)) @ draw.normal(size=(3, 4500)) * 5 + draw.normal(size=(40, 4500))
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(data)], "id int, x array<double>").coalesce(2)
+    projected, projection = C.project(df, "x", 3)
+    singular = np.linalg.svd(data - data.mean(axis=0), compute_uv=False) ** 2
+    assert projection.explained == pytest.approx((singular / singular.sum())[:3], rel=1e-6)
+    found = np.array([r["coordinates"] for r in projected.orderBy("id").collect()])
+    assert (found**2).sum(axis=0) == pytest.approx(singular[:3], rel=1e-6)
+
+
 def plain_silhouettes(x, c):
     out = []
     for i in range(len(x)):
