@@ -12,6 +12,7 @@ from screenspark.operators import cluster as C
 from screenspark.operators import models as M
 from screenspark.operators import select as S
 from screenspark.operators.clean import long_labels
+from screenspark.operators.many_logistic import fit_many
 from screenspark.operators.metrics import evaluate
 from screenspark.operators.selection_stage import FeatureSelection
 from screenspark.operators.split import stratified_folds
@@ -61,6 +62,14 @@ def logistic_scores(spark, sf_dir):
     return _scores(spark, sf_dir, M.LOGISTIC, FULL)
 
 
+@query("folded_logistic_scores")
+def folded_logistic_scores(spark, sf_dir):
+    """Ten classes and five folds in one fit; every row is scored by the models that left its fold out."""
+    rows = labelled_vectors(spark, sf_dir).withColumn("fold", F.pmod(F.col("vec_id"), F.lit(5)).cast("int"))
+    many = fit_many(rows, "x", [f"is_{c}" for c in CLASSES], "fold")
+    return rounded(many.score(rows, "x", "vec_id", "fold"), "probability")
+
+
 @query("calibrated_svm_scores")
 def calibrated_svm_scores(spark, sf_dir):
     return _scores(spark, sf_dir, M.SVM)
