@@ -150,7 +150,7 @@ def shuffle_into_shards(
     inner, key_names = numbered_columns(rows, *keys)
     numbers = [k for k, c in enumerate(rows.columns) if c.lower() not in ("shard", "slot")]
     columns = [f"c{k}" for k in numbers]
-    kept = inner.select(*{*columns, *key_names})
+    kept = inner.select(*dict.fromkeys([*columns, *key_names]))
     of_key = [F.col(k) for k in key_names]
 
     def draw(name: str) -> Column:
