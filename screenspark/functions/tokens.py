@@ -165,5 +165,6 @@ def packed_tanimoto(left: Column | str, left_size: Column | str, right: Column |
 
 
 def packed_alike(left: Column | str, left_size: Column | str, right: Column | str, right_size: Column | str, similar: float, n_bits: int = N_BITS) -> Column:
-    """Whether two packed sets have a Tanimoto of about ``similar`` or more; never false where it is exactly that."""
+    """Whether two packed sets have a Tanimoto of at least ``similar``, by counts instead of a quotient; exact for limits of up to
+    five decimals, for others to a millionth of a bit."""
     return packed_shared(left, right, n_bits) * (1 + similar) >= (col_of(left_size) + col_of(right_size)) * similar - 1e-6
