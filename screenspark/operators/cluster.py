@@ -30,8 +30,9 @@ CLASS_ROWS_PER_CLUSTER = 10
 # Starts per k and steps of each.
 STARTS = 10
 STEPS = 300
-#: Rows whose distances to as many others are taken at a time.
-BLOCK = 1024
+#: Rows of a block of the silhouettes, at least, and blocks at most: every row moves once per block, so what moves grows with
+#: the rows alone. Distances that a task holds at a time.
+BLOCK, BLOCKS, AT_ONCE = 1024, 48, 1 << 20
 #: Features from which on axes are found without the covariance matrix, and passes over the rows at most.
 WIDE, PASSES = 1000, 40
 
@@ -159,7 +160,7 @@ def _fit_clusters(vectors: DataFrame, k: int, seed: int, starts: int) -> KMeansM
 def silhouettes(df: DataFrame, id_column: str, features: str, cluster: str, block: int = BLOCK) -> DataFrame:
     """``(id, cluster, silhouette)`` by plain Euclidean distance, exact.
 
-    The mean distance of a row to every cluster needs all pairs: rows are cut into blocks, a task takes the distances of two
+    The mean distance of a row to every cluster needs all pairs: rows are cut into BLOCKS blocks at most, a task takes the distances of two
     blocks and returns their sums per row and cluster, and the sums of a row are added. A row alone in its cluster has 0;
     with a single cluster all have NULL. Rows without features or a cluster are left out. Ids are distinct.
     """
@@ -170,7 +171,7 @@ def silhouettes(df: DataFrame, id_column: str, features: str, cluster: str, bloc
     if n_clusters < 2:
         return rows.select(id_column, cluster, F.lit(None).cast("double").alias("silhouette"))
     names = F.array(*[F.lit(r[cluster]) for r in sizes])
-    blocks = -(-n // block)
+    blocks = min(-(-n // block), BLOCKS)
     own = F.pmod(F.xxhash64(F.col(id_column)), F.lit(blocks)).cast("int")
     place = (F.array_position(names, F.col(cluster)) - 1).cast("int")
     placed = rows.select(F.col(id_column).alias("_id"), place.alias("_k"), doubles(features).alias("_x"), own.alias("_at"))
@@ -188,13 +189,21 @@ def silhouettes(df: DataFrame, id_column: str, features: str, cluster: str, bloc
         x, y = np.stack(a["_x"].to_list()), np.stack(b["_x"].to_list())
         centre = y.mean(axis=0)
         x, y = x - centre, y - centre
-        squares = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
-        apart = np.sqrt(np.maximum(squares, 0))
-        if i == j:
-            np.fill_diagonal(apart, 0)
-        out = [(a, apart @ np.eye(n_clusters)[b["_k"].to_numpy()])]
+        of_a, of_b = np.eye(n_clusters)[a["_k"].to_numpy()], np.eye(n_clusters)[b["_k"].to_numpy()]
+        length, sums_a, sums_b = (y * y).sum(axis=1), np.zeros(of_a.shape), np.zeros(of_b.shape)
+        step = max(1, AT_ONCE // len(y))
+        for start in range(0, len(x), step):
+            part = slice(start, start + step)
+            squares = (x[part] * x[part]).sum(axis=1)[:, None] + length[None, :] - 2 * x[part] @ y.T
+            apart = np.sqrt(np.maximum(squares, 0, out=squares), out=squares)
+            if i == j:
+                np.fill_diagonal(apart[:, start:], 0)
+            sums_a[part] = apart @ of_b
+            if i != j:
+                sums_b += apart.T @ of_a[part]
+        out = [(a, sums_a)]
         if i != j:
-            out.append((b, apart.T @ np.eye(n_clusters)[a["_k"].to_numpy()]))
+            out.append((b, sums_b))
         return pd.concat([pd.DataFrame({"_id": of["_id"].to_numpy(), "_k": of["_k"].to_numpy(), "_sums": list(sums)}) for of, sums in out])
 
     parts = dealt.groupBy("_i", "_j").applyInPandas(added, f"_id {kind}, _k int, _sums array<double>")

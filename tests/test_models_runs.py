@@ -221,3 +221,14 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     write_available(stream_predictions(spark, source, schema), sink, state).awaitTermination()
     counts = {r["class"]: r["count"] for r in spark.read.parquet(sink).groupBy("class").count().collect()}
     assert counts == {"Non-toxic": 60, "Moderate": 80, "Toxic": 60}
+
+
+
+def test_silhouettes_move_rows_a_bounded_number_of_times(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    x, c = draw.normal(size=(70, 2)), [int(v) for v in draw.integers(0, 3, 70)]
+    df = spark.createDataFrame([(i, c[i], [float(v) for v in x[i]]) for i in range(70)], "id long, c int, x array<double>")
+    monkeypatch.setattr(C, "BLOCKS", 3)
+    monkeypatch.setattr(C, "AT_ONCE", 50)
+    found = {r["id"]: r["silhouette"] for r in C.silhouettes(df, "id", "x", "c", 4).collect()}
+    assert [found[i] for i in range(70)] == pytest.approx(plain_silhouettes(x, c), abs=1e-6)
