@@ -223,6 +223,21 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     assert counts == {"Non-toxic": 60, "Moderate": 80, "Toxic": 60}
 
 
+def test_targets_run_side_by_side(inputs, tmp_path, monkeypatch):
+    import threading
+
+    features, labels = inputs
+    both = threading.Barrier(2, timeout=60)
+    plain = R.run_target
+
+    def met(spark, table, names, target, folders, base):
+        both.wait()
+        plain(spark, table, names, target, folders, base)
+
+    monkeypatch.setattr(R, "run_target", met)
+    report = R.run_screening(features, labels, NAMES, str(tmp_path / "run"), settings(models=(M.FOREST,)), ["y", "half"])
+    assert report.finished == ["half", "y"] and not report.failed
+
 
 def test_silhouettes_move_rows_a_bounded_number_of_times(spark, monkeypatch):
     draw = np.random.default_rng(8)
