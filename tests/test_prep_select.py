@@ -151,3 +151,11 @@ def test_blocks_side_by_side(spark):
     assert blocks.feature_names(some, "v") == ["y", "one_3"] and [r["v"].toArray().tolist() for r in some.orderBy("id").collect()] == [[0, 1], [4, 0], [0, 1]]
     with pytest.raises(ValueError):
         blocks.variable_block(wide, "f", "v", 100.0)
+
+
+def test_rows_of_a_forest_are_dealt_out_evenly(spark, monkeypatch):
+    rows = spark.range(200).selectExpr("array(cast(id % 9 as double)) AS _x", "cast(id % 2 as double) AS _y").coalesce(1)
+    assert S.spread(rows).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(S, "SPREAD_ROWS", 100)
+    sizes = S.spread(rows).rdd.glom().map(len).collect()
+    assert sum(sizes) == 200 and len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) <= 2 * 200 / len(sizes)
