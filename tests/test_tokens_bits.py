@@ -213,3 +213,12 @@ def test_large_sets_meet_by_size(spark):
     every = list(combinations(range(60), 2))
     assert stats(B.similar_rows(df, ["g"], "bits", 2048)) == expect(rows, every)
     assert stats(B.similar_rows(df, ["g"], "bits", 2048, side="y", block=5)) == expect(rows, [(i, j) for i, j in every if (i - j) % 2])
+
+
+
+def test_pairs_across_sides_meet_only_across(spark):
+    df = spark.createDataFrame([("a", i, [i % 7, 7 + i % 5, 12 + i], int(i < 4)) for i in range(40)], "g string, id long, bits array<int>, y int")
+    met = B.pair_similarity(df, ["g"], "bits", 64, side="y", block=4)._jdf.queryExecution().toString()
+    # One branch of the plan deals the rows of either side out.
+    assert "Union" in met
+    assert B.pair_similarity(df, ["g"], "bits", 64, side="y", block=4).first()["n_pairs"] == 4 * 36
