@@ -215,6 +215,40 @@ def test_large_sets_meet_by_size(spark):
     assert stats(B.similar_rows(df, ["g"], "bits", 2048, side="y", block=5)) == expect(rows, [(i, j) for i, j in every if (i - j) % 2])
 
 
+def test_bits_are_hashed_in_batches(spark, monkeypatch):
+    from hashlib import md5
+
+    import pyarrow as pa
+
+    from screenspark.functions import hashing
+
+    texts = ["a b a", None, "", "x" * 60 + " y " + "z" * 54, "w" * 55, "é\u4e2d q " * 40, "one", "k " + "v" * 53]
+    rows = [None if t is None else t.split() for t in texts] * 3
+    monkeypatch.setattr(hashing, "PIECES", 5)
+    monkeypatch.setattr(hashing, "WORDS", 7)
+
+    def grams(starts, own, ends):
+        import numpy as np
+
+        for n in range(3):
+            i = np.flatnonzero(np.arange(len(own)) + n < ends)
+            yield starts[i], starts[i + n + 1] - 1, None, None, b"", own[i]
+
+    def expected(row):
+        pieces = {" ".join(row[i : i + n]) for n in (1, 2, 3) for i in range(len(row) - n + 1)}
+        return sorted({int(md5(p.encode()).hexdigest()[:8], 16) % 2048 for p in pieces})
+
+    wanted = [None if row is None else expected(row) for row in rows]
+    assert hashing.bit_sets(pa.array(rows, pa.list_(pa.string())), 2048, " ", grams).to_pylist() == wanted
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(rows)], "i int, w array<string>")
+    made = df.select("i", K.gram_bits("w").alias("g"), K.pair_bits("w").alias("p")).orderBy("i")
+    found = made.collect()
+    assert [r["g"] for r in found] == wanted
+    for row, r in zip(rows, found):
+        pairs = None if row is None else {f"{a}|{b}|{d}" for d in (1, 2, 3, 4) for a, b in zip(row, row[d:])}
+        assert r["p"] == (None if row is None else sorted({int(md5(p.encode()).hexdigest()[:8], 16) % 2048 for p in pairs}))
+    assert "ArrowEvalPython" in made._jdf.queryExecution().toString()
+
 
 def test_pairs_across_sides_meet_only_across(spark):
     df = spark.createDataFrame([("a", i, [i % 7, 7 + i % 5, 12 + i], int(i < 4)) for i in range(40)], "g string, id long, bits array<int>, y int")
