@@ -256,3 +256,50 @@ def test_pairs_across_sides_meet_only_across(spark):
     # One branch of the plan deals the rows of either side out.
     assert "Union" in met
     assert B.pair_similarity(df, ["g"], "bits", 64, side="y", block=4).first()["n_pairs"] == 4 * 36
+
+
+@pytest.mark.parametrize("sided", [False, True])
+@pytest.mark.parametrize("kind", ["sparse", "dense", "mixed"])
+def test_tiles_of_near_sets_equal_brute_force(monkeypatch, kind, sided):
+    """First bits leave some pairs open, or all of them (dense sets); strips and steps of pairs end anywhere."""
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(B, "STRIP", 16)
+    monkeypatch.setattr(B, "PAIRS_AT_ONCE", 5)
+    draw = np.random.default_rng(5)
+    share = {"sparse": [0.02, 0.1], "dense": [0.9, 0.95], "mixed": [0.05, 0.5, 0.9]}[kind]
+    base = [draw.random(2048) < s for s in share for _ in range(3)]
+    flags = np.array([base[i % len(base)] ^ (draw.random(2048) < draw.choice([0.001, 0.01, 0.1])) for i in range(70)])
+    one, zero = draw.integers(0, 3, 70), draw.integers(1, 3, 70) * int(sided)
+    one = one if sided else one + 1
+    packed = [np.packbits(f, bitorder="little").tobytes() for f in flags]
+    rows = pd.DataFrame({"_node": range(100, 170), "_size": flags.sum(axis=1), "_one": one, "_zero": zero, "_packed": packed})
+    for met, first in (((0, 0), np.ones(70, bool)), ((0, 1), draw.random(70) < 0.4)):
+        told = B._near_pairs(rows.assign(_i=met[0], _j=met[1], _first=first), 0.8, sided)
+        wanted = {}
+        for i, j in combinations(range(70), 2):
+            value = (flags[i] & flags[j]).sum() / (flags[i] | flags[j]).sum()
+            if value < 0.8 or (met[1] and first[i] == first[j]):
+                continue
+            crossing = not sided or (one[i] and zero[j]) or (zero[i] and one[j])
+            for x, y in ((i, j), (j, i)):
+                ones, zeros, best = wanted.get(100 + x, (0, 0, 0.0))
+                wanted[100 + x] = (ones + one[y], zeros + zero[y], max(best, value if crossing else 0.0))
+        wanted = {n: w for n, w in wanted.items() if w[0] + w[1]}
+        assert {r["_node"]: (r["_ones"], r["_zeros"], r["_best"]) for r in told.to_dict("records")} == wanted
+
+
+def test_blocks_of_similar_sizes_meet(spark):
+    data = [("g", size, n) for size in range(100, 400) for n in range(4)] + [(None, 50, n) for n in range(100)]
+    sets = spark.createDataFrame([(g, size, 1000 * size + n) for g, size, n in data], "g string, _size int, _node long")
+    placed, met = B._blocks_of_sizes(sets, ["g"], 0.8, 40)
+    blocks = placed.groupBy("_block").count().collect()
+    assert placed.count() == 1300 and max(r["count"] for r in blocks) <= 80
+    size = {r["_block"]: (r["g"], r["lo"], r["hi"]) for r in placed.groupBy("g", "_block").agg(F.min("_size").alias("lo"), F.max("_size").alias("hi")).collect()}
+    pairs = {(r["_i"], r["_j"]) for r in met.collect()}
+    for x, (g, lo, hi) in size.items():
+        for y, (h, low, high) in size.items():
+            near = g == h and max(lo, low) * 0.8 <= min(hi, high)
+            assert ((x, y) in pairs or (y, x) in pairs) == near
+            assert x == y or not ((x, y) in pairs and (y, x) in pairs)
