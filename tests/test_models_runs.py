@@ -74,6 +74,33 @@ def test_grid_search(separable):
     assert len(got.table) == 2 and got.score == max(s for _, s in got.table) and got.best["numTrees"] == 5
 
 
+def test_rows_of_large_tables_are_dealt_out_for_the_fits(separable, monkeypatch):
+    """Neither the one task of a single row group nor every shuffle partition passes the rows once per step of a fit."""
+    from screenspark.operators import select as S
+
+    monkeypatch.setattr(S, "SPREAD_ROWS", 200)
+    cores, seen = separable.sparkSession.sparkContext.defaultParallelism, []
+    single = separable.coalesce(1)
+    monkeypatch.setattr(M, "fit_model", lambda kind, table, settings: seen.append((table.rdd.getNumPartitions(), table.count())))
+    M.train_targets(single, "x", ["y", "half"], M.NETWORK, QUICK)
+    assert sorted(seen) == [(cores, 120), (cores, 240)]
+    seen.clear()
+
+    class Search:
+        def __init__(self, **settings):
+            self.points = settings["estimatorParamMaps"]
+
+        def fit(self, table):
+            seen.append((table.rdd.getNumPartitions(), table.count()))
+            self.avgMetrics = [0.5] * len(self.points)
+            return self
+
+    monkeypatch.setattr(M, "CrossValidator", Search)
+    folds = separable.withColumn("fold", F.col("id") % 2).repartition(5 * cores)
+    assert M.grid_search(folds, "x", "y", "fold", grid={"maxDepth": [1]}, settings=QUICK).score == 0.5
+    assert seen == [(cores, 240)]
+
+
 def test_principal_axes_equal_the_covariance_matrix(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").selectExpr("vec_id", "cast(embedding as array<double>) as x")
     data = np.array([r["x"] for r in df.collect()])
