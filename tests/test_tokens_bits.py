@@ -303,3 +303,71 @@ def test_blocks_of_similar_sizes_meet(spark):
             near = g == h and max(lo, low) * 0.8 <= min(hi, high)
             assert ((x, y) in pairs or (y, x) in pairs) == near
             assert x == y or not ((x, y) in pairs and (y, x) in pairs)
+
+
+def _sets_of_all_sizes(draw, n):
+    """Distinct sets of 2048 bits, few to almost all, some near each other; an empty, a full one and some about a digit's limit."""
+    import numpy as np
+
+    flags = [np.zeros(2048, bool), np.ones(2048, bool), *(np.arange(2048) < k for k in (1, 254, 255, 256, 1023, 1024, 1025, 2047))]
+    while len(flags) < n:
+        flags.append(draw.random(2048) < draw.choice([0.002, 0.05, 0.3, 0.6, 0.97]))
+        flags.append(flags[-1] ^ (draw.random(2048) < 0.01))
+    return np.unique(np.array(flags[:n]), axis=0)
+
+
+def test_three_sets_are_counted_by_one_product():
+    import numpy as np
+
+    flags = _sets_of_all_sizes(np.random.default_rng(1), 80)
+    flags, packed = flags.astype(np.float32), np.packbits(flags, axis=1, bitorder="little").view("<u8")
+    for over in (False, True):
+        threes = B._Threes(packed, flags.sum(axis=1), np.ones(len(packed)), np.arange(len(packed)), over)
+        # A third of the rows is multiplied; a full set needs runs of three words, which hold 192 bits.
+        assert threes.numbers.shape == (-(-len(packed) // 3), 2048) and len(threes.runs) == 11
+        shared = np.vstack(threes.shared(flags))[: len(packed)]
+        assert (shared == ((1 - flags if over else flags) @ flags.T)).all()
+
+
+@pytest.mark.parametrize("sided", [False, True])
+def test_numbers_of_tiles_equal_brute_force(monkeypatch, sided):
+    import numpy as np
+    import pandas as pd
+
+    for name, value in (("FIRSTS", 12), ("SECONDS", 9), ("ROWS_AT_ONCE", 3)):
+        monkeypatch.setattr(B, name, value)
+    draw = np.random.default_rng(6)
+    flags = _sets_of_all_sizes(draw, 76)
+    n = len(flags)
+    one, zero = draw.integers(1, 4, n), draw.integers(1, 3, n)
+    packed = [np.packbits(f, bitorder="little").tobytes() for f in flags]
+    rows = pd.DataFrame({"_size": flags.sum(axis=1), "_one": one, "_zero": zero, "_packed": packed})
+    for met, first in (((0, 0), np.ones(n, bool)), ((0, 1), draw.random(n) < 0.4)):
+        if sided:
+            first = draw.random(n) < 0.5
+        values, weights = [], []
+        for i in range(n):
+            for j in range(n):
+                if (first[i] and not first[j]) if sided or met[1] else i <= j:
+                    union = (flags[i] | flags[j]).sum()
+                    weight = one[i] * (one[i] - 1) // 2 if i == j else one[i] * (zero[j] if sided else one[j])
+                    if union and weight:
+                        values.append((flags[i] & flags[j]).sum() / union)
+                        weights.append(weight)
+        values, weights = np.array(values), np.array(weights)
+        found = B._numbers_of_tile(rows.assign(_i=met[0], _j=met[1], _first=first), 0.8, sided)
+        assert (found.n, found.near) == (weights.sum(), weights[values >= 0.8].sum()) and found.near > 0
+        assert [found.sum, found.most, found.least] == pytest.approx([(values * weights).sum(), values.max(), values.min()], rel=1e-12, abs=1e-15)
+
+
+def test_a_set_moves_to_few_blocks_of_all_pairs(spark, monkeypatch):
+    """A group is cut into 16 blocks unless these are full; before, it was into blocks of 1,024 rows."""
+    frame, seen = type(spark.range(1)), []
+    deal = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *on: seen.append(self) or deal(self, n, *on))
+    monkeypatch.setattr(B, "SECONDS", 4)
+    df = spark.range(300).select(F.lit("g").alias("g"), F.array(F.col("id").cast("int")).alias("bits"))
+    out = B.pair_similarity(df, ["g"], "bits", 320).first()
+    assert (out["n_pairs"], out["mean_similarity"], out["n_similar"]) == (300 * 299 // 2, 0.0, 0)
+    dealt = seen[-1]
+    assert dealt.count() == 300 * 16 and dealt.select("_i", "_j").distinct().count() == 16 * 17 // 2
