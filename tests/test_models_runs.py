@@ -274,3 +274,14 @@ def test_silhouettes_move_rows_a_bounded_number_of_times(spark, monkeypatch):
     monkeypatch.setattr(C, "AT_ONCE", 50)
     found = {r["id"]: r["silhouette"] for r in C.silhouettes(df, "id", "x", "c", 4).collect()}
     assert [found[i] for i in range(70)] == pytest.approx(plain_silhouettes(x, c), abs=1e-6)
+
+
+def test_a_failed_model_is_no_result(separable, inputs, tmp_path):
+    """The best of the models that are left is not the best model: the target fails, and has no results."""
+    folds = stratified_folds(separable, "id", "y", n_splits=2)
+    with pytest.raises(RuntimeError, match="unknown"):
+        M.cross_validate(folds, "x", "y", "fold", [M.FOREST, "unknown"], QUICK).whole()
+    features, labels = inputs
+    bad = settings(models=(M.FOREST,), select_in_folds=False, overrides={"half": {"models": (M.FOREST, "unknown")}})
+    report = R.run_screening(features, labels, NAMES, str(tmp_path / "run"), bad, ["y", "half"])
+    assert report.finished == ["y"] and "unknown" in report.failed["half"]
