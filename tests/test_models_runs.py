@@ -285,3 +285,30 @@ def test_a_failed_model_is_no_result(separable, inputs, tmp_path):
     bad = settings(models=(M.FOREST,), select_in_folds=False, overrides={"half": {"models": (M.FOREST, "unknown")}})
     report = R.run_screening(features, labels, NAMES, str(tmp_path / "run"), bad, ["y", "half"])
     assert report.finished == ["y"] and "unknown" in report.failed["half"]
+
+
+def test_a_failed_target_is_no_result(spark, inputs, tmp_path):
+    """The overview of a run with failed targets is an error; results of theirs from earlier runs are not taken for new ones."""
+    features, labels = inputs
+    folder = str(tmp_path / "run")
+    good = settings(models=(M.FOREST,), select_in_folds=False, resume=False)
+    assert R.run_screening(features, labels, NAMES, folder, good, ["half"]).overview.count() == 1
+    bad = R.replace(good, overrides={"half": {"models": ("unknown",)}})
+    report = R.run_screening(features, labels, NAMES, folder, bad, ["y", "half"])
+    with pytest.raises(RuntimeError, match="half"):
+        report.overview
+    assert [r["target"] for r in report.summary.collect()] == ["y"]
+    listed = spark.read.option("header", True).csv(f"{folder}/failures").collect()
+    assert [r["target"] for r in listed] == ["half"] and "unknown" in listed[0]["reason"]
+
+
+@pytest.mark.parametrize("name", ["screening_overview", "model_descriptions", "stored_run_scores"])
+def test_queries_of_runs_end_with_failed_targets(spark, monkeypatch, name):
+    from screenspark.queries import modelling as Q
+
+    own = spark.createDataFrame([(1, [0.5], 1, 0)], "vec_id long, x array<double>, is_0 int, is_1 int")
+    monkeypatch.setattr(Q, "labelled_vectors", lambda spark, sf_dir: own)
+    monkeypatch.setattr(Q, "CLASSES", (0, 1))
+    monkeypatch.setattr(R, "run_screening", lambda *a, **b: R.RunReport(spark.range(1), ["is_1"], {"is_0": "lost"}))
+    with pytest.raises(RuntimeError, match="is_0"):
+        getattr(Q, name)(spark, "unread")
