@@ -312,3 +312,51 @@ def test_queries_of_runs_end_with_failed_targets(spark, monkeypatch, name):
     monkeypatch.setattr(R, "run_screening", lambda *a, **b: R.RunReport(spark.range(1), ["is_1"], {"is_0": "lost"}))
     with pytest.raises(RuntimeError, match="is_0"):
         getattr(Q, name)(spark, "unread")
+
+
+def test_selections_of_all_folds_come_from_the_same_passes(separable, monkeypatch):
+    from screenspark.operators import select as S
+
+    wide = F.concat("x", F.array(F.get("x", F.lit(1)) * 2 + 1, F.lit(3.0)))  # a copy and a constant
+    folds = stratified_folds(separable.withColumn("x", wide), "id", "y", n_splits=3)
+    names = ["a", "b", "c", "d", "b2", "one"]
+    own = SelectionSettings(univariate_k=3, model_top_n=2, importance_trees=5)
+    expected = {f: S.fit_selection(folds if f is None else folds.where(F.col("fold") != f), "x", "y", names, own) for f in (None, 0, 1, 2)}
+    asked = []
+    plain = S.correlation_rows
+    monkeypatch.setattr(S, "correlation_rows", lambda *a, **b: asked.append(a) or plain(*a, **b))
+    found = S.fit_selections(folds, "x", "y", names, "fold", [None, 0, 1, 2], own)
+    assert len(asked) == 1 and list(found) == [None, 0, 1, 2]
+    for f, chosen in found.items():
+        assert chosen.names == expected[f].names and chosen.places == expected[f].places
+        assert [h[:3] for h in chosen.history] == [h[:3] for h in expected[f].history]
+        assert [h[3] for h in chosen.history if h[3] is not None] == pytest.approx([h[3] for h in expected[f].history if h[3] is not None])
+
+
+def test_one_count_of_labels_serves_all_folds(separable):
+    folds = stratified_folds(separable, "id", "y", n_splits=2).persist()
+    found = [
+        {(r["model"], r["fold"], r["metric"]): r["value"] for r in M.cross_validate(folds, "x", "y", "fold", settings=QUICK, **how).rows.collect()}
+        for how in ({}, {"prepare": lambda t, f: t}, {"prepare": lambda t, f: t, "same_rows": True, "held": True})
+    ]
+    assert len(found[0]) == 3 * 2 * 7 and found[0] == pytest.approx(found[1], abs=1e-6) and found[0] == pytest.approx(found[2], abs=1e-6)
+
+
+def test_lean_fits_equal_plain_ones(separable):
+    table = M.training_table(separable, "x", "y", ["id"], {0: 0.75, 1: 1.5})
+    for kind in (M.FOREST, M.LOGISTIC, M.BOOSTED):
+        plain, lean = (M.fit_model(kind, table, QUICK, only_scores=o) for o in (False, True))
+        p, q = ({r["id"]: r["probability"] for r in M.add_probability(m, table).collect()} for m in (plain, lean))
+        assert len(p) == 240 and p == pytest.approx(q)
+
+
+def test_a_run_gives_the_same_results_again(spark, inputs, tmp_path):
+    """Forests draw by place, and the places of the rows of a small table are those of their ids."""
+    features, labels = inputs
+    noise = features.withColumn("features", F.transform(F.slice("features", 2, 3), lambda v: v))
+    runs = []
+    for k, parts in enumerate((2, 5)):
+        folder = str(tmp_path / f"run{k}")
+        R.run_screening(noise.repartition(parts), labels, NAMES[1:], folder, settings(models=(M.FOREST,), select_in_folds=False), ["y"])
+        runs.append({(r["fold"], r["metric"]): r["value"] for r in readers.read_results(spark, f"{folder}/results").collect()})
+    assert len(runs[0]) == 14 and runs[0] == runs[1]

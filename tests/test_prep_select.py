@@ -159,3 +159,28 @@ def test_rows_of_a_forest_are_dealt_out_evenly(spark, monkeypatch):
     monkeypatch.setattr(S, "SPREAD_ROWS", 100)
     sizes = S.spread(rows).rdd.glom().map(len).collect()
     assert sum(sizes) == 200 and len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) <= 2 * 200 / len(sizes)
+
+
+def test_numbers_are_exact(spark):
+    values = [0.0, -0.0, 1e-5, -1.5, 5e-324, 1e300, 0.1 + 0.2, float("inf"), float("-inf"), float("nan")]
+    got = spark.range(1).select(E.numbers(values).alias("v")).first()["v"]
+    assert [repr(v) for v in got] == [repr(v) for v in values]
+
+
+def test_wide_correlations_within_groups(spark, monkeypatch):
+    """Slices of rows of different groups come mixed; every row is added to its own group."""
+    monkeypatch.setattr(S, "TILE", 3)
+    draw = np.random.default_rng(4)
+    data = draw.normal(size=(60, 7))
+    data[::2, 5] = data[::2, 1] * 3 + 1
+    data[1::2, 6] = 2.0
+    df = spark.createDataFrame([(i % 2, [float(v) for v in x]) for i, x in enumerate(data)], "side int, x array<double>").coalesce(2)
+    assert S.correlated_features_by(df, "x", "side") == {0: [5]}
+    for g in (0, 1):
+        rows = S.correlation_rows(df, "x", 2, "side").where(F.col("side") == g).collect()
+        found = {(r["column"], r["first"] + k): c for r in rows for k, c in enumerate(r["correlations"])}
+        part = data[g::2, :6] if g else data[g::2]
+        matrix_of = np.corrcoef(part.T)
+        for i in range(len(matrix_of)):
+            for j in range(i, len(matrix_of)):
+                assert found[i, j] == pytest.approx(matrix_of[i, j], abs=1e-9)
