@@ -157,30 +157,27 @@ def _fit_clusters(vectors: DataFrame, k: int, seed: int, starts: int) -> KMeansM
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
-def silhouettes(df: DataFrame, id_column: str, features: str, cluster: str, block: int = BLOCK) -> DataFrame:
-    """``(id, cluster, silhouette)`` by plain Euclidean distance, exact.
+def _distance_sums(rows: DataFrame, kind: str, offsets: Sequence[int], width: int, n: int, block: int) -> DataFrame:
+    """``(_id, _k, _sums)``: the distances of every row to all others, summed by cluster, for several clusterings at once.
 
-    The mean distance of a row to every cluster needs all pairs: rows are cut into BLOCKS blocks at most, a task takes the distances of two
-    blocks and returns their sums per row and cluster, and the sums of a row are added. A row alone in its cluster has 0;
-    with a single cluster all have NULL. Rows without features or a cluster are left out. Ids are distinct.
+    ``rows`` has ``_id``, the features ``_x`` and ``_k``, the place of the row's cluster in each clustering. The sums of a clustering
+    begin at its offset among ``width`` sums. Distances, which all clusterings share, are taken once.
     """
-    rows = df.where(F.col(cluster).isNotNull() & F.col(features).isNotNull())
-    sizes = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")).orderBy(cluster).collect()  # one row per cluster
-    kind = df.schema[id_column].dataType.simpleString()
-    n_clusters, n = len(sizes), sum(r["n"] for r in sizes)
-    if n_clusters < 2:
-        return rows.select(id_column, cluster, F.lit(None).cast("double").alias("silhouette"))
-    names = F.array(*[F.lit(r[cluster]) for r in sizes])
     blocks = min(-(-n // block), BLOCKS)
-    own = F.pmod(F.xxhash64(F.col(id_column)), F.lit(blocks)).cast("int")
-    place = (F.array_position(names, F.col(cluster)) - 1).cast("int")
-    placed = rows.select(F.col(id_column).alias("_id"), place.alias("_k"), doubles(features).alias("_x"), own.alias("_at"))
+    own = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
+    placed = rows.select("_id", "_k", "_x", own.alias("_at"))
     # A row of block p is the first of the pairs p .. last and the second of the pairs 0 .. p - 1.
     as_first = F.transform(F.sequence("_at", F.lit(blocks - 1)), lambda j: F.struct(F.col("_at").alias("_i"), j.alias("_j")))
     earlier = F.filter(F.sequence(F.lit(0), F.col("_at")), lambda i: i < F.col("_at"))
     as_second = F.transform(earlier, lambda i: F.struct(i.alias("_i"), F.col("_at").alias("_j")))
     dealt = placed.select("_id", "_k", "_x", "_at", F.inline(F.concat(as_first, as_second)))
 
+    def hot(side: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((len(side), width))
+        for offset, places in zip(offsets, np.stack(side["_k"].to_list()).T):
+            out[np.arange(len(side)), offset + places] = 1
+        return out
+
     def added(pair: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pair["_i"].iloc[0]), int(pair["_j"].iloc[0])
         a, b = pair[pair["_at"] == i], pair[pair["_at"] == j]
@@ -189,13 +186,14 @@ def silhouettes(df: DataFrame, id_column: str, features: str, cluster: str, bloc
         x, y = np.stack(a["_x"].to_list()), np.stack(b["_x"].to_list())
         centre = y.mean(axis=0)
         x, y = x - centre, y - centre
-        of_a, of_b = np.eye(n_clusters)[a["_k"].to_numpy()], np.eye(n_clusters)[b["_k"].to_numpy()]
+        of_a, of_b = hot(a), hot(b)
         length, sums_a, sums_b = (y * y).sum(axis=1), np.zeros(of_a.shape), np.zeros(of_b.shape)
         step = max(1, AT_ONCE // len(y))
         for start in range(0, len(x), step):
             part = slice(start, start + step)
-            squares = (x[part] * x[part]).sum(axis=1)[:, None] + length[None, :] - 2 * x[part] @ y.T
-            apart = np.sqrt(np.maximum(squares, 0, out=squares), out=squares)
+            apart = (x[part] * x[part]).sum(axis=1)[:, None] + length[None, :]
+            apart -= 2 * x[part] @ y.T
+            np.sqrt(np.maximum(apart, 0, out=apart), out=apart)
             if i == j:
                 np.fill_diagonal(apart[:, start:], 0)
             sums_a[part] = apart @ of_b
@@ -204,17 +202,62 @@ def silhouettes(df: DataFrame, id_column: str, features: str, cluster: str, bloc
         out = [(a, sums_a)]
         if i != j:
             out.append((b, sums_b))
-        return pd.concat([pd.DataFrame({"_id": of["_id"].to_numpy(), "_k": of["_k"].to_numpy(), "_sums": list(sums)}) for of, sums in out])
-
-    parts = dealt.groupBy("_i", "_j").applyInPandas(added, f"_id {kind}, _k int, _sums array<double>")
-    total = parts.groupBy("_id", "_k").agg(vector_to_array(Summarizer.sum(array_to_vector("_sums"))).alias("_sums"))
-    counts = F.array(*[F.lit(float(r["n"])) for r in sizes])
-    mine = F.get(counts, F.col("_k"))
-    means = F.transform("_sums", lambda s, k: F.when(k != F.col("_k"), s / F.get(counts, k)))
-    told = total.withColumns({"_own": F.get("_sums", F.col("_k")) / F.nullif(mine - 1, F.lit(0.0)), "_next": F.array_min(means)})
+        return pd.concat([pd.DataFrame({"_id": of["_id"].to_numpy(), "_k": list(of["_k"]), "_sums": list(sums)}) for of, sums in out])
+
+    parts = dealt.groupBy("_i", "_j").applyInPandas(added, f"_id {kind}, _k array<int>, _sums array<double>")
+    return parts.groupBy("_id", "_k").agg(vector_to_array(Summarizer.sum(array_to_vector("_sums"))).alias("_sums"))
+
+
+def silhouettes_of_all(df: DataFrame, id_column: str, features: str, clusters: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """``(id, of, cluster, silhouette)`` for several clusterings of the same rows; ``of`` is the place of the clustering.
+
+    All pairs are compared once, whatever the number of clusterings. Clusters of one type; rows without features or one of the
+    clusters are left out.
+    """
+    known = F.col(features).isNotNull()
+    for c in clusters:
+        known = known & F.col(c).isNotNull()
+    rows = df.where(known)
+    kind = df.schema[id_column].dataType.simpleString()
+    named = F.array(*[F.col(c) for c in clusters])
+    # One row per cluster.
+    counted = rows.select(F.posexplode(named).alias("of", "c")).groupBy("of", "c").agg(F.count(F.lit(1)).alias("n")).orderBy("of", "c").collect()
+    sizes = [[(r["c"], r["n"]) for r in counted if r["of"] == k] for k in range(len(clusters))]
+    offsets = np.cumsum([0, *[len(s) for s in sizes]]).tolist()
+    n = sum(m for _, m in sizes[0])
+    names = [F.array(*[F.lit(c) for c, _ in s]) for s in sizes]
+    if not n or all(len(s) < 2 for s in sizes):
+        alone = rows.select(F.col(id_column), F.posexplode(named).alias("of", "cluster"))
+        return alone.withColumn("silhouette", F.lit(None).cast("double"))
+    places = F.array(*[(F.array_position(own, F.col(c)) - 1).cast("int") for own, c in zip(names, clusters)])
+    placed = rows.select(F.col(id_column).alias("_id"), places.alias("_k"), doubles(features).alias("_x"))
+    summed = _distance_sums(placed, kind, offsets[:-1], offsets[-1], n, block)
+    each = [
+        F.struct(F.lit(k).alias("_of"), F.get("_k", F.lit(k)).alias("_place"), F.slice("_sums", offsets[k] + 1, len(s)).alias("_part"))
+        for k, s in enumerate(sizes)
+    ]
+    flat = summed.select("_id", F.inline(F.array(*each)))
+    total = flat.groupBy("_id", "_of", "_place").agg(vector_to_array(Summarizer.sum(array_to_vector("_part"))).alias("_sums"))
+    counts = F.get(F.array(*[F.array(*[F.lit(float(m)) for _, m in s]) for s in sizes]), F.col("_of"))
+    mine = F.get(counts, F.col("_place"))
+    means = F.transform("_sums", lambda s, k: F.when(k != F.col("_place"), s / F.get(counts, k)))
+    told = total.withColumns({"_own": F.get("_sums", F.col("_place")) / F.nullif(mine - 1, F.lit(0.0)), "_next": F.array_min(means)})
     most = F.greatest("_own", "_next")
     value = F.when(mine == 1, 0.0).when(most == 0, 0.0).otherwise((F.col("_next") - F.col("_own")) / F.nullif(most, F.lit(0.0)))
-    return told.select(F.col("_id").alias(id_column), F.get(names, F.col("_k")).alias(cluster), value.alias("silhouette"))
+    value = F.when(F.size("_sums") > 1, value)  # a single cluster has no silhouette
+    cluster = F.get(F.get(F.array(*names), F.col("_of")), F.col("_place"))
+    return told.select(F.col("_id").alias(id_column), F.col("_of").alias("of"), cluster.alias("cluster"), value.alias("silhouette"))
+
+
+def silhouettes(df: DataFrame, id_column: str, features: str, cluster: str, block: int = BLOCK) -> DataFrame:
+    """``(id, cluster, silhouette)`` by plain Euclidean distance, exact.
+
+    The mean distance of a row to every cluster needs all pairs: rows are cut into BLOCKS blocks at most, a task takes the distances of two
+    blocks and returns their sums per row and cluster, and the sums of a row are added. A row alone in its cluster has 0;
+    with a single cluster all have NULL. Rows without features or a cluster are left out. Ids are distinct.
+    """
+    found = silhouettes_of_all(df, id_column, features, [cluster], block)
+    return found.select(id_column, F.col("cluster").alias(cluster), "silhouette")
 
 
 def choose_clusters(
@@ -223,16 +266,21 @@ def choose_clusters(
     """K-means for every k of the grid; the best silhouette wins, the smaller k on a tie.
 
     The silhouette is the squared-Euclidean one, whose work is linear in the rows; with ``id_column`` it is the plain Euclidean
-    one of ``silhouettes``, which compares all pairs. An empty grid means one cluster.
+    one of ``silhouettes``, which compares all pairs, once for all k. An empty grid means one cluster.
     """
     if id_column is not None:
         rows = materialise(df.select(id_column, features))
-        fitted = []
-        for k in grid:
-            model = _fit_clusters(rows.select(array_to_vector(doubles(features)).alias("features")), k, seed, starts)
-            found = silhouettes(assign_clusters(rows, features, Clustering(model, k, [])), id_column, features, "cluster")
-            fitted.append((k, found.agg(F.avg("silhouette")).first()[0] or 0.0, model))
-        best = max(fitted, key=lambda f: (f[1], -f[0]), default=(1, 0.0, None))
+        vectors = rows.select(array_to_vector(doubles(features)).alias("features"))
+        models = [_fit_clusters(vectors, k, seed, starts) for k in grid]
+        if not models:
+            return Clustering(None, 1, [])
+        assigned = rows
+        for place, model in enumerate(models):
+            assigned = assign_clusters(assigned, features, Clustering(model, 0, [])).withColumnRenamed("cluster", f"_cluster{place}")
+        found = silhouettes_of_all(materialise(assigned), id_column, features, [f"_cluster{k}" for k in range(len(models))])
+        mean = {r["of"]: r["s"] or 0.0 for r in found.groupBy("of").agg(F.avg("silhouette").alias("s")).collect()}
+        fitted = [(k, mean.get(place, 0.0), model) for place, (k, model) in enumerate(zip(grid, models))]
+        best = max(fitted, key=lambda f: (f[1], -f[0]))
         return Clustering(best[2], best[0], [(k, s) for k, s, _ in fitted])
     vectors = df.select(array_to_vector(doubles(features)).alias("features")).persist()
     try:

@@ -360,3 +360,20 @@ def test_a_run_gives_the_same_results_again(spark, inputs, tmp_path):
         R.run_screening(noise.repartition(parts), labels, NAMES[1:], folder, settings(models=(M.FOREST,), select_in_folds=False), ["y"])
         runs.append({(r["fold"], r["metric"]): r["value"] for r in readers.read_results(spark, f"{folder}/results").collect()})
     assert len(runs[0]) == 14 and runs[0] == runs[1]
+
+
+def test_clusterings_of_a_grid_share_the_distances(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    x = np.concatenate([draw.normal(size=(40, 2)), draw.normal(5, 1, (30, 2))])
+    c = [[0] * 40 + [1] * 30, [int(v) for v in draw.integers(2, 6, 70)], [7] * 70]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], c[0][i], c[1][i], c[2][i]) for i in range(70)], "id long, x array<double>, a int, b int, one int")
+    found = {(r["of"], r["id"]): (r["cluster"], r["silhouette"]) for r in C.silhouettes_of_all(df, "id", "x", ["a", "b", "one"], 20).collect()}
+    assert len(found) == 210 and all(found[2, i] == (7, None) for i in range(70))
+    for k in (0, 1):
+        expected = plain_silhouettes(x, c[k])
+        assert all(found[k, i][0] == c[k][i] and found[k, i][1] == pytest.approx(expected[i], abs=1e-6) for i in range(70))
+    asked = []
+    plain = C._distance_sums
+    monkeypatch.setattr(C, "_distance_sums", lambda *a: asked.append(a) or plain(*a))
+    C.choose_clusters(df, "x", [2, 3, 4], starts=1, id_column="id")
+    assert len(asked) == 1
